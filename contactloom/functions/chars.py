@@ -5,7 +5,7 @@ so results do not depend on the regex flavour. ``\\z`` is the true end of text.
 """
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 DIGIT = r"\p{Nd}"
 
 LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
@@ -27,7 +27,7 @@ EMAIL_STRICT = (
 # long runs without an @ linear; "@" is not in the class, so nothing is lost.
 EMAIL_TOKEN = r"(?U)\b[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 # The same, ignoring case: four further letters fold to i, k and s.
-_FOLDED = r"İıſK"
+_FOLDED = r"\u0130\u0131\u017f\u212a"
 EMAIL_TOKEN_FOLDED = (
     rf"(?U)\b[a-zA-Z0-9{_FOLDED}._%+-]++@[a-zA-Z0-9{_FOLDED}.-]+\.[a-zA-Z{_FOLDED}]{{2,}}\b"
 )

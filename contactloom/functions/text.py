@@ -26,8 +26,8 @@ def _or_missing(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Printable ASCII and Latin-1 only, single blanks; empty becomes N/A."""
-    kept = F.regexp_replace(c, r"[^\x20-\x7E -ÿ]", "")
-    return _or_missing(F.trim(F.regexp_replace(kept, r"[  ]+", " ")))
+    kept = F.regexp_replace(c, r"[^\x20-\x7E\u00a0-\u00ff]", "")
+    return _or_missing(F.trim(F.regexp_replace(kept, r"[ \u00a0]+", " ")))
 
 
 def clean_phone(c: Column) -> Column:
