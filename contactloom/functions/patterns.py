@@ -154,14 +154,12 @@ def smart_list(
     """Ranked pattern list of a company.
 
     Three flags give eight possible lists, all known beforehand, so choosing
-    the top k needs neither a join nor a window.
+    the top k needs neither a join nor a window: the flags form an index into
+    a constant.
     """
-    result = None
+    lists = []
     for flags in product((False, True), repeat=3):
         found = override(by_category(chosen_categories(*flags)), confidences or {})
-        test = F.lit(True)
-        for column, value in zip((technical, support, large), flags):
-            test = test & (column == F.lit(value))
-        ranked_list = pattern_list(ranked(found, minimum, k))
-        result = F.when(test, ranked_list) if result is None else result.when(test, ranked_list)
-    return result
+        lists.append(pattern_list(ranked(found, minimum, k)))
+    weighted = [F.when(flag, weight).otherwise(0) for flag, weight in ((technical, 4), (support, 2), (large, 1))]
+    return F.get(F.array(*lists), weighted[0] + weighted[1] + weighted[2])

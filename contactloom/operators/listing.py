@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +22,33 @@ def _not_results(c: Column) -> Column:
     return F.lower(c) != "results"
 
 
+def _first_fit(values: list[Column], fits: Callable[[Column], Column]) -> Column:
+    """The first value that fits; each value is worked out once."""
+    return F.get(F.filter(F.array(*values), fits), 0)
+
+
+def _usable(name: Column) -> Column:
+    return (F.length(name) > 1) & _not_results(name)
+
+
 def listing_name(label: Column, href: Column, child: Column) -> Column:
     """Label, else the place part of the link, else inner text; NULL when unusable."""
-    from_label = F.when(_not_results(label) & (F.length(strip(label)) > 1), strip(label))
     part = F.regexp_extract(href, r"/maps/place/([^/]*)", 1)
     # A percent sign that starts no escape stands for itself.
-    decoded = strip(F.try_url_decode(F.regexp_replace(part, r"%(?![0-9A-Fa-f]{2})", "%25")))
-    from_href = F.when(F.length(decoded) > 1, decoded)
-    from_child = F.when(F.length(strip(child)) > 0, strip(child))
-    usable = [F.when(_not_results(n), n) for n in (from_label, from_href, from_child)]
-    name = clean_text(F.coalesce(*usable))
-    return F.when((name != MISSING) & _not_results(name) & (F.length(name) > 1), name)
+    decoded = F.try_url_decode(F.regexp_replace(part, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    picked = _first_fit([strip(label), strip(decoded), strip(child)], _usable)
+    return _first_fit([clean_text(picked)], lambda n: _usable(n) & (n != MISSING))
 
 
 def detail_name(heads: list[Column], title: Column, fallback: Column, title_suffix: str) -> Column:
     """Heading of fitting length, else the page title less its suffix, else the fallback."""
-    tests = []
-    for head in heads:
-        text = strip(head)
-        fits = F.length(text).between(2, 100) & _not_results(text) & ~text.startswith("Results")
-        tests.append((fits, text))
-    short = strip(F.replace(title, F.lit(title_suffix), F.lit("")))
-    tests.append((F.contains(title, F.lit(title_suffix)) & (short != "") & _not_results(short), short))
-    tests.append(((fallback != "") & _not_results(fallback), fallback))
-    return _first(tests, F.lit("Unknown Business"))
+    head = _first_fit(
+        [strip(h) for h in heads],
+        lambda t: F.length(t).between(2, 100) & _not_results(t) & ~t.startswith("Results"),
+    )
+    short = F.when(F.contains(title, F.lit(title_suffix)), F.replace(title, F.lit(title_suffix), F.lit("")))
+    later = _first_fit([strip(short), fallback], lambda t: (t != "") & _not_results(t))
+    return F.coalesce(head, later, F.lit("Unknown Business"))
 
 
 def detail_address(texts: list[Column]) -> Column:
@@ -103,20 +108,21 @@ def guess_email(domain: Column, with_static: bool = True) -> Column:
 
 def company_record(details: DataFrame) -> DataFrame:
     """Cleaned record with an address guess; other columns are kept."""
-    website = clean_website(F.col("website"))
-    guess = F.when(website != MISSING, guess_email(domain_naive(website)))
     cleaned = {
         "name": clean_text(F.col("name")),
         "address": clean_text(F.col("address")),
         "phone": clean_phone(F.col("phone")),
-        "website": website,
+        "website": clean_website(F.col("website")),
         "rating": clean_text(F.col("rating")),
         "review_count": clean_text(F.col("review_count")),
         "category": clean_text(F.col("category")),
-        "email": clean_email(guess),
     }
-    kept = [c for c in details.columns if c not in cleaned]
-    return details.select(*kept, *[cleaned[c].alias(c) for c in cleaned])
+    kept = [c for c in details.columns if c not in cleaned and c != "email"]
+    record = details.select(*kept, *[cleaned[c].alias(c) for c in cleaned])
+    # In steps, so the cleaned website is worked out once, not once per use.
+    site = F.when(F.col("website") != MISSING, domain_naive(F.col("website")))
+    guessed = record.withColumn("_site", site).withColumn("_guess", guess_email(F.col("_site")))
+    return guessed.withColumn("email", clean_email(F.col("_guess"))).drop("_site", "_guess")
 
 
 def accepted_per_query(

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 MAX_HOT = 200
-SAMPLE_ROWS = 50_000
+TRACKED = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, total: int | None = None, max_hot: int = MAX_HOT) -> list:
-    """Keys with more than a ``1 / max_hot`` share of a sample: at most ``max_hot`` values."""
-    total = df.count() if total is None else total
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    counts = df.select(key).sample(share, seed=11).groupBy(key).count().filter(F.col(key).isNotNull())
-    largest = counts.orderBy(F.desc("count")).limit(max_hot).collect()
-    floor = total * share / max_hot
-    return [r[key] for r in largest if r["count"] > max(floor, 50)]
+def hot_keys(df: DataFrame, key: str, max_hot: int = MAX_HOT, at_least: int = 1000) -> list:
+    """Keys holding more than a ``1 / max_hot`` share of the rows: at most ``max_hot`` values.
+
+    One pass over the key column with a bounded sketch and no shuffle of keys.
+    The sketch may overcount; that only spreads a key that did not need it.
+    """
+    top, total = df.agg(
+        F.expr(f"approx_top_k({key}, {max_hot}, {TRACKED})"), F.count(F.lit(1))
+    ).first()
+    floor = max(total / max_hot, at_least)
+    return [entry["item"] for entry in top or [] if entry["count"] > floor and entry["item"] is not None]
 
 
 def salted_join(

@@ -6,7 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMPANIES = T.StructType.fromDDL(
+_TYPES = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _layout(text: str) -> T.StructType:
+    """A layout from ``name type`` pairs, usable before a session exists."""
+    pairs = [column.split(" ") for column in text.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+COMPANIES = _layout(
     "id bigint, name string, address string, phone string, website string, email string, "
     "search_query string, email_methods_used array<string>, email_methods_completed array<string>, "
     "last_email_scan timestamp_ntz"
@@ -26,7 +44,7 @@ CHECK_FLAGS = [
 ]
 CHECK_RESULTS = ["is_reachable", "records", *CHECK_FLAGS]
 
-EMAILS = T.StructType.fromDDL(
+EMAILS = _layout(
     "id bigint, company_id bigint, email string, source string, source_details string, confidence double, "
     "metadata string, created_at timestamp_ntz, is_reachable string, mx_accepts_mail boolean, records string, "
     "is_disposable boolean, is_role_account boolean, is_valid_syntax boolean, can_connect_smtp boolean, "
@@ -34,7 +52,7 @@ EMAILS = T.StructType.fromDDL(
     "check_error string, checked_at timestamp_ntz"
 )
 
-FOUND = T.StructType.fromDDL(
+FOUND = _layout(
     "company_id bigint, method string, method_ord int, seq bigint, email string, source string, "
     "source_details string, confidence double, metadata map<string,string>, found_at timestamp_ntz"
 )

@@ -50,3 +50,11 @@ def expand_queries(templates: DataFrame, countries: list[str], states: list[str]
         .otherwise(F.array(text))
     )
     return templates.withColumn("query", F.explode(queries))
+
+
+def settings_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """A settings-sized table as a list; a larger one is refused, not cut."""
+    rows = df.select(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column}: more than {most} values; join the table instead")
+    return sorted(r[0] for r in rows)
