@@ -7,6 +7,10 @@ so results do not depend on the regex flavour. ``\\z`` is the true end of text.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 DIGIT = r"\p{Nd}"
+# The same white space, one by one, for trimming.
+SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+SPACE_CODES += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE_CHARS = "".join(map(chr, SPACE_CODES))
 
 LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
 DOMAIN = rf"^{LABEL}(?:\.{LABEL})+\z"

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import DIGIT, SPACE, WORD
+from .chars import DIGIT, SPACE, SPACE_CHARS, WORD
 
 MISSING = "N/A"
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def storage_key(c: Column) -> Column:
@@ -62,7 +62,7 @@ def display_list(c: Column, shown: int = 10) -> Column:
 def safe_name(c: Column) -> Column:
     """A value usable as a file name."""
     replaced = F.translate(c, '<>:"/\\|?*', "_________")
-    stripped = F.regexp_replace(replaced, r"^[ .]+|[ .]+\z", "")
+    stripped = F.btrim(replaced, F.lit(" ."))
     return F.coalesce(F.nullif(stripped, F.lit("")), F.lit("unnamed"))
 
 

@@ -33,40 +33,53 @@ def _without_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(r"/\.{1,2}(?:/|\z)"), resolved).otherwise(path)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """An href as seen from a page: absolute, NULL when it is no web link."""
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
-    site = F.regexp_extract(base, r"^[^:]+://[^/?#]*", 0)
-    plain = F.regexp_replace(base, r"(?s)[?#].*\z", "")
+def _base_parts(url: Column) -> Column:
+    """What relative links build on: scheme, site, page without query, folder."""
+    plain = F.regexp_replace(url, r"(?s)[?#].*\z", "")
     folder = F.coalesce(F.nullif(F.regexp_extract(plain, r"^[^:]+://[^/]*(/.*/|/)", 1), F.lit("")), F.lit("/"))
+    return F.struct(
+        F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1).alias("scheme"),
+        F.regexp_extract(url, r"^[^:]+://[^/?#]*", 0).alias("site"),
+        plain.alias("plain"),
+        folder.alias("folder"),
+    )
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """An href as seen from a page (its ``_base_parts``): absolute, NULL when it is no web link."""
     path = F.regexp_extract(href, r"^[^?#]*", 0)
     rest = F.regexp_extract(href, r"(?s)[?#].*", 0)
     return (
-        F.when(href.rlike(r"^(?i:https?)://"), href)
+        F.when(href.startswith("/") & ~href.startswith("//"), F.concat(base["site"], _without_dot_segments(path), rest))
+        .when(href.rlike(r"^(?i:https?)://"), href)
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.lit(None))
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, _without_dot_segments(path), rest))
-        .when(path == "", F.concat(plain, rest))
-        .otherwise(F.concat(site, _without_dot_segments(F.concat(folder, path)), rest))
+        .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
+        .when(path == "", F.concat(base["plain"], rest))
+        .otherwise(F.concat(base["site"], _without_dot_segments(F.concat(base["folder"], path)), rest))
     )
 
 
 def page_links(pages: DataFrame, ignore_queries: bool = True) -> DataFrame:
-    """Distinct (host, src, dst) links between pages of one host."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
-    raw = pages.select(
+    """Distinct (host, src, dst) links between pages of one host.
+
+    Links are resolved and filtered inside the page's row; only those of the
+    same site become rows.
+    """
+    based = pages.select(
         domain_strict(F.col("url")).alias("host"),
-        F.col("url").alias("base"),
-        F.explode(F.array_distinct(hrefs)).alias("href"),
+        page_address(F.col("url"), ignore_queries).alias("src"),
+        _base_parts(F.col("url")).alias("base"),
+        F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)).alias("hrefs"),
     )
-    target = resolve(F.col("base"), F.replace("href", F.lit("&amp;"), F.lit("&")))
-    linked = raw.select("host", page_address(F.col("base"), ignore_queries).alias("src"), target.alias("target"))
-    same_site = domain_strict(F.col("target")) == F.col("host")
-    return (
-        linked.filter(same_site)
-        .select("host", "src", page_address(F.col("target"), ignore_queries).alias("dst"))
-        .distinct()
+
+    def target(href: Column) -> Column:
+        decoded = F.replace(href, F.lit("&amp;"), F.lit("&"))
+        return page_address(resolve(F.col("base"), decoded), ignore_queries)
+
+    same_site = F.filter(
+        F.transform(F.array_distinct("hrefs"), target), lambda t: domain_strict(t) == F.col("host")
     )
+    return based.select("host", "src", F.explode(F.array_distinct(same_site)).alias("dst")).distinct()
 
 
 def pages_in_scope(

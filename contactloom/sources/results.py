@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.emails import basic_tokens, is_email_basic, split_existing
+from ..functions.chars import SPACE
 from ..functions.text import storage_key, strip
 
 # A JSON string, quotes excluded; possessive, so long strings cannot overflow.
 JSON_STRING = r'"((?:[^"\\]++|\\.)*+)"'
+# A string that starts with a mark allowed in addresses.
+MARKED = rf"(?m)^[{SPACE}]*[.%+\-][a-zA-Z0-9._%+\-]*@"
 
 
 def read_result_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,24 +25,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def result_emails(body: Column) -> Column:
+def all_strings(body: Column) -> Column:
+    """Every string of a JSON document, keys included, decoded, one per line.
+
+    A line break never belongs to an address, so neighbours stay apart.
+    """
+    raw = F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0))
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]")), "array<string>")
+    return F.array_join(decoded, "\n")
+
+
+def result_emails(document: Column, strings: Column) -> Column:
     """Addresses in the known fields and in any string of a JSON document.
 
     The search runs over decoded strings, so escapes do not leak into
     addresses. An unreadable document gives an empty list.
     """
-    document = F.try_parse_json(body)
-    fields = F.flatten(F.array(*[_field(document, name) for name in ("emails", "email", "people")]))
-    whole = F.transform(F.filter(fields, is_email_basic), storage_key)
-
-    # All strings, keys included, decoded at once as one JSON list.
-    raw = F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0))
-    decoded = F.from_json(F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]")), "array<string>")
-    # A line break never belongs to an address, so joined strings stay apart.
-    tokens = basic_tokens(F.array_join(decoded, "\n"))
     none = F.array().cast("array<string>")
+    fields = F.flatten(F.array(*[_field(document, name) for name in ("emails", "email", "people")]))
+    # The token search finds every whole address but those that start with a
+    # mark, where it finds the rest only; so the fields are rarely looked at.
+    whole = F.when(
+        strings.rlike(MARKED), F.filter(F.transform(fields, storage_key), is_email_basic)
+    ).otherwise(none)
     return F.when(document.isNull(), none).otherwise(
-        F.array_distinct(F.concat(whole, F.coalesce(tokens, none)))
+        F.array_distinct(F.concat(whole, F.coalesce(basic_tokens(strings), none)))
     )
 
 
@@ -56,7 +66,16 @@ def _field(document: Column, name: str) -> Column:
 
 def emails_from_results(results: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Distinct (keys, email) of many result documents."""
-    return results.select(*keys, F.explode(result_emails(F.col(body))).alias("email")).distinct()
+    # A document without an @, escaped or not, has nothing to find.
+    hopeful = results.filter(F.contains(body, F.lit("@")) | F.contains(body, F.lit("\\u0040")))
+    # Parsing and decoding are steps of their own, done once per row. The list is
+    # exploded as an expression: a named column would be worked out again in the
+    # filter Spark derives from it.
+    parsed = hopeful.select(
+        *keys, F.try_parse_json(body).alias("_document"), all_strings(F.col(body)).alias("_strings")
+    )
+    found = result_emails(F.col("_document"), F.col("_strings"))
+    return parsed.select(*keys, F.explode(found).alias("email")).distinct()
 
 
 def emails_from_lines(lines: DataFrame, line: str = "line") -> DataFrame:

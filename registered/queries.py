@@ -16,7 +16,7 @@ from contactloom.operators import checks, links, listing, queues, rank, reports,
 from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, StaticFinder
 from contactloom.plans import check as check_plans
 from contactloom.plans import find as find_plans
-from contactloom.session import new_path
+from contactloom.session import new_path, written
 from contactloom.sources import results, sinks, tables
 from contactloom.streaming import jobs
 
@@ -376,7 +376,7 @@ def _(spark, sf):
 WHERE {S.email_domain('email')} IN (SELECT {S.domain_normalized('target')} FROM target_domains)""",
 )
 def _(spark, sf):
-    found = results.emails_from_results(read(spark, sf, "result_json"), ["company_id"])
+    found = written(results.emails_from_results(read(spark, sf, "result_json"), ["company_id"]), "found")
     return store.in_domains(found, read(spark, sf, "target_domains"))
 
 
