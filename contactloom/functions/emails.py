@@ -34,14 +34,14 @@ def extract_emails(text: Column) -> Column:
 
     Texts without an @ never reach the regex.
     """
-    tokens = F.regexp_extract_all(text, F.lit(EMAIL_TOKEN_FOLDED), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(EMAIL_TOKEN_FOLDED), F.lit(1))
     valid = F.filter(F.transform(tokens, F.lower), is_email_strict)
     return F.when(F.contains(text, F.lit("@")), F.array_distinct(valid)).otherwise(_none())
 
 
 def basic_tokens(text: Column) -> Column:
     """Address tokens of a text that pass the basic test, lower case, repeats kept."""
-    tokens = F.regexp_extract_all(text, F.lit(EMAIL_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(EMAIL_TOKEN), F.lit(1))
     return F.when(F.contains(text, F.lit("@")), F.transform(tokens, F.lower)).otherwise(_none())
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 # compared with a value up to this size (its window group limit).
 GROUP_LIMIT = 1000
 SAMPLE_ROWS = 20_000
+# Slice bounds become constants of the plan, so their number is limited; a
+# slice that outgrows memory is sorted on disk.
+MAX_SLICES = 400
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -61,7 +64,7 @@ def row_numbers(
     The order must be total, nulls first.
     """
     spark = df.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
     key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)])
     keyed = df.withColumn("_key", key)
     sliced = keyed.withColumn("_slice", _slice_of(keyed, slices))

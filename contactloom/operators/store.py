@@ -15,6 +15,8 @@ from .skew import hot_keys, salted_join
 EMAIL_KEY = ["company_id", "email"]
 # Listed addresses come after all found ones of the same method.
 EXISTING_SEQ = 1 << 40
+# Two key columns of at most some hundred bytes a row.
+BROADCAST_ROWS = 500_000
 
 
 def dedupe_first(found: DataFrame, order: list[str], keep: str = "first") -> DataFrame:
@@ -34,7 +36,23 @@ def new_email_rows(found: DataFrame, stored: DataFrame, order: list[str], keep:
 
     Dedup and anti join share the shuffle on (company_id, email).
     """
-    fresh = dedupe_first(found, order, keep).join(stored.select(*EMAIL_KEY), EMAIL_KEY, "left_anti")
+    return email_rows(dedupe_first(found, order, keep).join(stored.select(*EMAIL_KEY), EMAIL_KEY, "left_anti"))
+
+
+def not_stored(batch: DataFrame, n_rows: int, stored: DataFrame) -> DataFrame:
+    """Rows of a deduped, written batch that a (much larger) store lacks.
+
+    A batch of checked size is broadcast, so the store is scanned in place and
+    only its matches move. A larger batch meets the store in a shuffle.
+    """
+    known = stored.select(*EMAIL_KEY)
+    if n_rows <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(batch.select(*EMAIL_KEY)), EMAIL_KEY, "left_semi")
+    return batch.join(known, EMAIL_KEY, "left_anti")
+
+
+def email_rows(fresh: DataFrame) -> DataFrame:
+    """Deduped finder rows in the layout of the address table."""
     columns = set(fresh.columns)
     if "metadata" in columns:
         filled = F.size("metadata") > 0
@@ -178,8 +196,9 @@ def domain_members(emails: DataFrame, column: str = "email") -> DataFrame:
     """Distinct (domain, address) of strictly valid addresses.
 
     One row per member instead of one set per domain: a domain may hold a third
-    of all addresses and would not fit a cell.
+    of all addresses and would not fit a cell. The domain follows from the
+    address, so only addresses are shuffled, and each is judged once.
     """
-    value = F.col(column)
-    valid = emails.filter(is_email_strict(value))
-    return valid.select(F.lower(F.split_part(value, F.lit("@"), F.lit(2))).alias("domain"), value.alias("email")).distinct()
+    distinct = emails.select(F.col(column).alias("email")).distinct()
+    domain = F.lower(F.split_part("email", F.lit("@"), F.lit(2))).alias("domain")
+    return distinct.filter(is_email_strict(F.col("email"))).select(domain, "email")

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema
-from ..operators.store import new_email_rows
+from ..operators.store import EMAIL_KEY, dedupe_first, email_rows, not_stored
 from ..session import written
 
 
@@ -33,6 +33,14 @@ def insert_new_emails(found: DataFrame, path: str, order: list[str]) -> DataFram
     """
     spark = found.sparkSession
     stored = read_table(spark, path, schema.EMAILS)
-    added = written(new_email_rows(found, stored, order), "added-emails")
+    batch = written(email_rows(dedupe_first(found, order)), "batch-emails")
+    added = written(not_stored(batch, batch.count(), stored), "added-emails")
     added.write.mode("append").parquet(path)
     return added
+
+
+def save_bucketed(emails: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A snapshot bucketed by the address key, so merges and checks need not shuffle it."""
+    writer = emails.write.bucketBy(buckets, *EMAIL_KEY).sortBy(*EMAIL_KEY).option("path", path)
+    writer.mode("overwrite").saveAsTable(table)
+    return emails.sparkSession.table(table)
