@@ -49,9 +49,11 @@ def resolve(base: Column, href: Column) -> Column:
     """An href as seen from a page (its ``_base_parts``): absolute, NULL when it is no web link."""
     path = F.regexp_extract(href, r"^[^?#]*", 0)
     rest = F.regexp_extract(href, r"(?s)[?#].*", 0)
+    full_site = F.regexp_extract(href, r"^[^:]+://[^/?#]*", 0)
+    full_path = F.regexp_extract(href, r"^[^:]+://[^/?#]*([^?#]*)", 1)
     return (
         F.when(href.startswith("/") & ~href.startswith("//"), F.concat(base["site"], _without_dot_segments(path), rest))
-        .when(href.rlike(r"^(?i:https?)://"), href)
+        .when(href.rlike(r"^(?i:https?)://"), F.concat(full_site, _without_dot_segments(full_path), rest))
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.lit(None))
         .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
         .when(path == "", F.concat(base["plain"], rest))

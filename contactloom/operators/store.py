@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.emails import email_domain, is_email_strict
@@ -54,7 +55,7 @@ def not_stored(batch: DataFrame, n_rows: int, stored: DataFrame) -> DataFrame:
 def email_rows(fresh: DataFrame) -> DataFrame:
     """Deduped finder rows in the layout of the address table."""
     columns = set(fresh.columns)
-    if "metadata" in columns:
+    if "metadata" in columns and isinstance(fresh.schema["metadata"].dataType, T.MapType):
         filled = F.size("metadata") > 0
         fresh = fresh.withColumn("metadata", F.when(filled, F.to_json("metadata")))
     if "found_at" in columns:
