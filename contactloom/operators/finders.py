@@ -1,8 +1,8 @@
 """Finders: companies in, address rows out, one DataFrame per method.
 
 Built-in finders are column expressions and joins. A user's own finder is any
-object with ``name``, ``enabled``, ``valid`` and ``find``; it may use a Pandas
-UDF or ``mapInPandas`` inside.
+object with ``name``, ``enabled``, ``find`` and ``attempts``; it may use a
+Pandas UDF or ``mapInPandas`` inside.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import patterns as P
-from ..functions.domains import domain_static, domain_strict
+from ..functions.domains import domain_static, domain_strict, is_valid_domain
 from ..functions.emails import extract_emails
 from ..sources.results import emails_from_results
-from .queues import has_website, with_domain, with_valid_domain
+from .queues import has_website, site_domain, with_domain, with_valid_domain
 from .rank import top_n_per_group
 from .skew import grid_join, hot_keys, salted_join
 
@@ -28,14 +28,11 @@ class Finder(Protocol):
     name: str
     enabled: bool
 
-    def valid(self, companies: DataFrame) -> DataFrame:
-        """The companies this finder can work on."""
-
     def find(self, companies: DataFrame, as_of: str, method_ord: int) -> DataFrame:
-        """Rows in the FOUND layout for valid companies."""
+        """Rows in the FOUND layout for the companies the finder can work on."""
 
-    def succeeded(self, companies: DataFrame) -> DataFrame:
-        """(company_id) of valid companies whose run did not fail."""
+    def attempts(self, companies: DataFrame) -> DataFrame:
+        """(company_id, valid, succeeded) of every company: could it be worked on, did the run not fail."""
 
 
 def _found(
@@ -76,8 +73,10 @@ class StaticFinder:
     def valid(self, companies: DataFrame) -> DataFrame:
         return with_valid_domain(companies)
 
-    def succeeded(self, companies: DataFrame) -> DataFrame:
-        return self.valid(companies).select(F.col("id").alias("company_id"))
+    def attempts(self, companies: DataFrame) -> DataFrame:
+        usable = F.coalesce(has_website(F.col("website")), F.lit(False))
+        valid = usable & is_valid_domain(domain_static(F.col("website")))
+        return companies.select(F.col("id").alias("company_id"), valid.alias("valid"), valid.alias("succeeded"))
 
     def patterns(self) -> Column:
         if self.smart:
@@ -117,10 +116,15 @@ class HarvestFinder:
         usable = companies.filter(has_website(F.col("website")))
         return with_domain(usable, self.clean_domains, self.skip_invalid)
 
-    def succeeded(self, companies: DataFrame) -> DataFrame:
-        """Companies with at least one result file; the rest failed and stay open."""
-        answered = self.results.select("company_id").distinct()
-        return self.valid(companies).select(F.col("id").alias("company_id")).join(answered, "company_id", "left_semi")
+    def attempts(self, companies: DataFrame) -> DataFrame:
+        """A company without any result file failed and stays open."""
+        answered = self.results.select("company_id").distinct().withColumn("_answered", F.lit(True))
+        rows = companies.select(
+            F.col("id").alias("company_id"),
+            site_domain(F.col("website"), self.clean_domains, self.skip_invalid).isNotNull().alias("valid"),
+        )
+        joined = rows.join(answered, "company_id", "left")
+        return joined.select("company_id", "valid", (F.col("valid") & F.col("_answered").isNotNull()).alias("succeeded"))
 
     def find(self, companies: DataFrame, as_of: str, method_ord: int = 1) -> DataFrame:
         # Repeats go before the join, partly on the map side.
@@ -154,12 +158,19 @@ class SiteFinder:
         usable = companies.filter(has_website(F.col("website")))
         return with_domain(usable, self.clean_domains, self.skip_invalid)
 
-    def succeeded(self, companies: DataFrame) -> DataFrame:
-        """Companies whose site is in the archive."""
+    def attempts(self, companies: DataFrame) -> DataFrame:
+        """A company whose site is not in the archive failed and stays open."""
         archived = self.pages.select(domain_strict(F.col("url")).alias("domain")).distinct()
-        targets = self.valid(companies).select(F.col("id").alias("company_id"), "domain")
-        hot = hot_keys(targets, "domain")
-        return salted_join(targets, archived, "domain", "left_semi", F.col("company_id"), hot).select("company_id")
+        rows = companies.select(
+            F.col("id").alias("company_id"),
+            site_domain(F.col("website"), self.clean_domains, self.skip_invalid).alias("domain"),
+        )
+        known = archived.withColumn("_archived", F.lit(True))
+        joined = salted_join(rows, known, "domain", "left", F.col("company_id"), hot_keys(rows, "domain"))
+        valid = F.col("domain").isNotNull()
+        return joined.select(
+            "company_id", valid.alias("valid"), (valid & F.col("_archived").isNotNull()).alias("succeeded")
+        )
 
     def addresses(self) -> DataFrame:
         """Distinct (domain, email) of the archive; a site of many pages shrinks before any join."""

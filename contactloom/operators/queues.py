@@ -27,13 +27,18 @@ def has_real_website(website: Column) -> Column:
     return has_website(website) & ~website.ilike("%n/a%") & (F.lower(website) != "n")
 
 
-def bulk_queue(companies: DataFrame, method: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Companies with a real website and the method not completed, by id.
+def open_for(companies: DataFrame, method: str) -> DataFrame:
+    """Companies with a real website and the method not completed, in no order.
 
     ``companies.email_methods_completed`` is an array.
     """
     open_ = has_real_website(F.col("website")) & ~_completed(F.col("email_methods_completed"), F.lit(method))
-    return capped_first(companies.filter(open_), ["id"], limit, offset)
+    return companies.filter(open_)
+
+
+def bulk_queue(companies: DataFrame, method: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The open companies by id, or a page of them."""
+    return capped_first(open_for(companies, method), ["id"], limit, offset)
 
 
 def needing_method(companies: DataFrame, method: str, limit: int | None = None) -> DataFrame:
@@ -52,12 +57,14 @@ def needing_any_method(companies: DataFrame, methods: list[str], limit: int | No
     return top_n_per_group(rows, ["needed_method"], ["id"], limit) if limit else rows
 
 
+def never_checked(emails: DataFrame, source: str | None = None) -> DataFrame:
+    open_ = emails.filter(F.col("checked_at").isNull())
+    return open_.filter(F.col("source") == source) if source else open_
+
+
 def unchecked(emails: DataFrame, limit: int | None = None, source: str | None = None) -> DataFrame:
     """Addresses never checked, oldest first."""
-    open_ = emails.filter(F.col("checked_at").isNull())
-    if source:
-        open_ = open_.filter(F.col("source") == source)
-    return capped_first(open_, ["created_at", "id"], limit)
+    return capped_first(never_checked(emails, source), ["created_at", "id"], limit)
 
 
 def budget(emails: DataFrame, max_requests: int | None, source: str | None = None) -> DataFrame:
@@ -81,13 +88,18 @@ def with_valid_domain(companies: DataFrame, clean: bool = True) -> DataFrame:
     return companies.filter(has_website(website) & is_valid_domain(domain_static(website)))
 
 
-def with_domain(companies: DataFrame, clean: bool = True, skip_invalid: bool = True) -> DataFrame:
-    """Adds ``domain`` under the invalid-domain policy and drops rows without one."""
-    website = F.col("website")
+def site_domain(website: Column, clean: bool = True, skip_invalid: bool = True) -> Column:
+    """Domain of a company under the invalid-domain policy; NULL drops the company."""
     if not clean:
         domain = domain_record(website)
     elif skip_invalid:
         domain = domain_strict(website)
     else:
         domain = F.coalesce(domain_strict(website), website)
-    return companies.withColumn("domain", F.nullif(domain, F.lit(""))).filter(F.col("domain").isNotNull())
+    return F.nullif(domain, F.lit(""))
+
+
+def with_domain(companies: DataFrame, clean: bool = True, skip_invalid: bool = True) -> DataFrame:
+    """Adds ``domain`` and drops companies without one."""
+    domain = site_domain(F.col("website"), clean, skip_invalid)
+    return companies.withColumn("domain", domain).filter(F.col("domain").isNotNull())

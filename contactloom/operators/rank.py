@@ -34,7 +34,7 @@ def top_n_per_group(
         kept = df.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= n)
     else:
         kept = rank_within_groups(df, keys, order, rank).filter(F.col(rank) <= n)
-    return kept if rank_col else kept.drop(rank)
+    return kept.withColumn(rank, F.col(rank).cast("long")) if rank_col else kept.drop(rank)
 
 
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[str | Column], rank_col: str) -> DataFrame:

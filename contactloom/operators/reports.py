@@ -1,4 +1,4 @@
-"""Counts and summaries; one pass over the table each."""
+"""Counts and summaries, each from as few pruned scans as it needs."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def _rows(totals: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def email_stats(emails: DataFrame) -> DataFrame:
-    """total, checked, unchecked, companies, and one row per source, from one scan."""
+    """total, checked, unchecked, companies (one scan of two columns), and one row per source."""
     checked = F.col("checked_at").isNotNull()
     per_source = emails.groupBy("source").agg(_count().alias("n"))
     totals = emails.agg(
@@ -112,24 +112,34 @@ def top_domains(sizes: DataFrame, n: int = 10) -> DataFrame:
     return sizes.filter(F.col("n_emails") > 0).orderBy(F.desc("n_emails"), "domain").limit(n)
 
 
-def workflow_counters(companies: DataFrame, found: DataFrame) -> DataFrame:
-    """Per company: addresses found before any dedup, and methods that found some."""
+def workflow_counters(companies: DataFrame, found: DataFrame, methods: list[str]) -> DataFrame:
+    """Per company: addresses found before any dedup, and the methods that ran.
+
+    Counted per company and method first, so a company of many rows is small
+    before it is gathered.
+    """
     per_method = found.groupBy("company_id", "method").agg(_count().alias("n"))
-    per_company = per_method.groupBy("company_id").agg(
-        F.sum("n").alias("emails_found"), _count().alias("methods_with_emails")
-    )
+    per_company = per_method.groupBy("company_id").agg(F.sum("n").alias("n"), _count().alias("m"))
     ids = companies.select(F.col("id").alias("company_id"))
-    joined = ids.join(per_company, "company_id", "left")
-    return joined.select(
+    return ids.join(per_company, "company_id", "left").select(
         "company_id",
-        F.coalesce("emails_found", F.lit(0)).cast("long").alias("emails_found"),
-        F.coalesce("methods_with_emails", F.lit(0)).cast("long").alias("methods_with_emails"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("emails_found"),
+        F.coalesce("m", F.lit(0)).cast("long").alias("methods_with_emails"),
+        F.lit(",".join(methods)).alias("methods_used"),
     )
 
 
-def workflow_totals(counters: DataFrame) -> DataFrame:
-    """Companies processed and addresses found in all."""
-    return counters.agg(_count().alias("companies_processed"), F.sum("emails_found").alias("total_emails_found"))
+def workflow_totals(counters: DataFrame, checked: DataFrame) -> DataFrame:
+    """Companies processed, addresses found, and found addresses with a good reply."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = counters.select(one.alias("c"), F.col("emails_found").alias("f"), none.alias("k")).unionByName(
+        checked.select(none.alias("c"), none.alias("f"), one.alias("k"))
+    )
+    return rows.agg(
+        F.sum("c").alias("companies_processed"),
+        F.sum("f").alias("total_emails_found"),
+        F.sum("k").alias("total_emails_checked"),
+    )
 
 
 def run_counts(found: DataFrame, added: DataFrame) -> DataFrame:

@@ -30,15 +30,17 @@ def salted_join(
 
     Only lookup rows of hot keys are repeated; the rest moves once. Exact for
     inner, left, left_semi and left_anti whatever ``hot`` contains, because a
-    fact row meets every lookup row of its key exactly once.
+    fact row meets every lookup row of its key exactly once. NULL keys never
+    match, so where they stay in the result they are spread as well.
     """
-    if not hot:
+    keeps_nulls = how in ("left", "left_anti")
+    if not hot and not keeps_nulls:
         return facts.join(lookup, key, how)
-    is_hot = F.col(key).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = facts.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    right = lookup.withColumn("_salt", F.explode(copies))
+    spread_out = F.col(key).isin(hot)
+    own = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    left = facts.withColumn("_salt", F.when(spread_out | F.col(key).isNull(), own).otherwise(F.lit(0)))
+    copies = F.when(spread_out, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.filter(F.col(key).isNotNull()).withColumn("_salt", F.explode(copies))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

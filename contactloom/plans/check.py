@@ -69,10 +69,8 @@ def check_pipeline(
 ) -> DataFrame:
     """Queue, budget, replies, new snapshot."""
     bounds = [n for n in (limit, max_requests) if n]
-    queue = queues.unchecked(emails, min(bounds) if bounds else None, source)
-    if not bounds:
-        queue = emails.filter(F.col("checked_at").isNull())
-        queue = queue.filter(F.col("source") == source) if source else queue
+    # Order matters only where a bound cuts the queue.
+    queue = queues.unchecked(emails, min(bounds), source) if bounds else queues.never_checked(emails, source)
     return checked_snapshot(emails, replies, as_of, checker, queue)
 
 

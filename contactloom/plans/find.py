@@ -12,6 +12,7 @@ from ..operators import queues, reports, store
 from ..operators.finders import Finder, Registry
 from ..session import written
 from ..sources.results import existing_emails
+from .check import Checker, ReplyLogChecker
 
 ARRIVAL = ["method_ord", "seq"]
 
@@ -42,17 +43,13 @@ def run_log(
         )
     result = None
     for method_ord, finder in finders:
-        valid = finder.valid(companies).select(F.col("id").alias("company_id"))
-        done = finder.succeeded(companies).select("company_id", F.lit(True).alias("_done"))
-        rows = valid.join(done, "company_id", "left").select("company_id", F.coalesce("_done", F.lit(False)).alias("completed"))
-        if track_policy == "cli":
-            # A company without a usable domain has nothing left to try.
-            judged = rows.withColumnRenamed("completed", "_judged")
-            ids = companies.select(F.col("id").alias("company_id"))
-            rows = ids.join(judged, "company_id", "left").select(
-                "company_id", F.coalesce("_judged", F.lit(True)).alias("completed")
-            )
-        rows = rows.select("company_id", F.lit(finder.name).alias("method"), "completed", F.lit(method_ord).alias("run_no"))
+        tried = finder.attempts(companies)
+        # Under ``cli`` a company without a usable domain has nothing left to try.
+        completed = F.col("succeeded") if track_policy == "finder" else F.col("succeeded") | ~F.col("valid")
+        rows = tried.filter(F.col("valid")) if track_policy == "finder" else tried
+        rows = rows.select(
+            "company_id", F.lit(finder.name).alias("method"), completed.alias("completed"), F.lit(method_ord).alias("run_no")
+        )
         result = rows if result is None else result.unionByName(rows)
     return result
 
@@ -79,9 +76,10 @@ def bulk_find(
 
     Found rows are written once, since counting, storing and tracking all read them.
     """
-    queue = queues.bulk_queue(companies, finder.name, limit, offset)
     if limit or offset:
-        queue = written(queue, "queue")
+        queue = written(queues.bulk_queue(companies, finder.name, limit, offset), "queue")
+    else:
+        queue = queues.open_for(companies, finder.name)
     named = queue.withColumn("name", F.coalesce("name", F.lit("Unknown Company")))
     found = finder.find(named, as_of, 0)
     if existing and "existing" in companies.columns:
@@ -111,19 +109,25 @@ def complete_workflow(
     methods: list[str] | None = None,
     replies: DataFrame | None = None,
     track_policy: str = "workflow",
+    checker: Checker = ReplyLogChecker(),
 ) -> WorkflowResult:
     """Find, store, track, check and count; the new snapshots are returned, not swapped in."""
-    from .check import checked_snapshot
-
     found = written(find_emails(companies, registry, as_of, methods), "found")
     added = store.new_email_rows(found, stored, ARRIVAL)
     emails = schema.conform(stored, schema.EMAILS).select(*schema.EMAILS.fieldNames()).unionByName(added)
+    keys = found.select("company_id", store.storage_key(F.col("email")).alias("email"))
+    checked = keys.limit(0)
     if replies is not None:
-        touched = found.select("company_id", store.storage_key(F.col("email")).alias("email")).distinct()
-        asked = replies.join(touched, store.EMAIL_KEY, "left_semi")
-        emails = checked_snapshot(emails, asked, as_of)
+        results = checker.check(keys.distinct(), replies)
+        emails = store.apply_check_results(emails, results, as_of, store.EMAIL_KEY)
+        checked = keys.join(results.filter(~F.col("is_error")), store.EMAIL_KEY, "left_semi")
     log = run_log(companies, found, registry.selected(methods), track_policy)
-    counters = reports.workflow_counters(companies, found)
+    wanted = registry.available() if methods is None else methods
+    counters = reports.workflow_counters(companies, found, wanted)
     return WorkflowResult(
-        found, emails, store.update_methods(companies, log, as_of), counters, reports.workflow_totals(counters)
+        found,
+        emails,
+        store.update_methods(companies, log, as_of),
+        counters,
+        reports.workflow_totals(counters, checked),
     )

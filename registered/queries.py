@@ -968,23 +968,31 @@ def _(spark, sf):
 
 @query(
     "workflow_counters",
-    """SELECT c.id AS company_id, count(c2.email) AS emails_found, count(DISTINCT c2.source) AS methods_with_emails
+    """SELECT c.id AS company_id, count(c2.email) AS emails_found, count(DISTINCT c2.source) AS methods_with_emails,
+  'static,harvester,scraper' AS methods_used
 FROM companies c LEFT JOIN candidates c2 ON c2.company_id = c.id GROUP BY c.id""",
 )
 def _(spark, sf):
     found = read(spark, sf, "candidates").withColumnRenamed("source", "method")
-    return reports.workflow_counters(read(spark, sf, "companies"), found)
+    return reports.workflow_counters(read(spark, sf, "companies"), found, METHODS)
 
 
 @query(
     "workflow_totals",
-    """SELECT (SELECT count(*) FROM companies) AS companies_processed, (SELECT count(*) FROM all_found)
-  AS total_emails_found""",
+    """SELECT (SELECT count(*) FROM companies) AS companies_processed,
+  (SELECT count(*) FROM all_found) AS total_emails_found,
+  (SELECT count(*) FROM all_found WHERE (company_id, lower(email)) IN (
+    SELECT (company_id, email) FROM flat WHERE NOT is_error)) AS total_emails_checked""",
 )
 def _(spark, sf):
-    c = tracked_companies(spark, sf)
-    found = find_plans.find_emails(c, finder_registry(spark, sf), AS_OF)
-    return reports.workflow_totals(reports.workflow_counters(c, found))
+    done = find_plans.complete_workflow(
+        tracked_companies(spark, sf),
+        read(spark, sf, "stored_emails"),
+        finder_registry(spark, sf),
+        AS_OF,
+        replies=read(spark, sf, "replies"),
+    )
+    return done.totals
 
 
 @query(

@@ -145,7 +145,9 @@ def test_complete_workflow(spark, registry):
     assert emails[1, "x@a.com"]["is_reachable"] == "safe" and emails[1, "x@a.com"]["source"] == "harvester"
     assert emails[2, "info@b.com"]["check_error"] == "timeout"
     assert emails[4, "info@c.com"]["checked_at"] is None
-    assert done.totals.first().asDict() == {"companies_processed": 4, "total_emails_found": 10}
+    assert done.totals.first().asDict() == {
+        "companies_processed": 4, "total_emails_found": 10, "total_emails_checked": 2,
+    }
     assert {r["id"]: r["email_methods_completed"] for r in done.companies.collect()} == {
         1: ["static", "harvester", "scraper"], 2: ["static"], 3: None, 4: ["static"],
     }
@@ -175,11 +177,8 @@ def test_user_finder(spark):
     class Shouting:
         name, enabled = "shouting", True
 
-        def valid(self, c):
-            return c
-
-        def succeeded(self, c):
-            return c.select(F.col("id").alias("company_id"))
+        def attempts(self, c):
+            return c.select(F.col("id").alias("company_id"), F.lit(True).alias("valid"), F.lit(True).alias("succeeded"))
 
         def find(self, c, as_of, method_ord):
             def shout(frames):

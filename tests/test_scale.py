@@ -29,11 +29,12 @@ def test_hot_keys(spark, skewed):
     assert skew.hot_keys(skewed.limit(0), "k") == []
 
 
+@pytest.mark.parametrize("hot", [[], [7, 11]])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, skewed, how):
+def test_salted_join_equals_plain_join(spark, skewed, how, hot):
     lookup = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x")).filter("k % 2 = 1")
     plain = skewed.join(lookup, "k", how)
-    salted = skew.salted_join(skewed, lookup, "k", how, F.col("id"), [7, 11])
+    salted = skew.salted_join(skewed, lookup, "k", how, F.col("id"), hot)
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.select(salted.columns).collect()))
 
 
