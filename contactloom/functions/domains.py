@@ -6,6 +6,9 @@ They differ in case, port, ``www.`` and user info on purpose; pipelines use
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +16,10 @@ from .chars import DOMAIN, DOMAIN_STRICT
 from .text import strip
 
 
-def _without_breaks(c: Column, scheme: str) -> Column:
+def _without_breaks(c: Column, *schemes: str) -> Column:
     """A URL with a known scheme loses tabs and line breaks anywhere in it."""
-    return F.when(c.rlike(rf"^{scheme}://"), F.translate(c, "\t\r\n", "")).otherwise(c)
+    known = [c.startswith(f"{scheme}://") for scheme in schemes]
+    return F.when(reduce(or_, known), F.translate(c, "\t\r\n", "")).otherwise(c)
 
 
 def domain_record(website: Column) -> Column:
@@ -29,21 +33,21 @@ def domain_record(website: Column) -> Column:
 
 def domain_static(website: Column) -> Column:
     """Host part, ``www.`` dropped before lowering, trimmed last; blank stays ''."""
-    text = _without_breaks(website, "https?")
+    text = _without_breaks(website, "http", "https")
     host = F.regexp_extract(text, r"^(?:https?://)?+(?:www\.)?+([^/?#]*)", 1)
     return F.coalesce(strip(F.lower(host)), F.lit(""))
 
 
 def domain_strict(website: Column) -> Column:
     """Trimmed first; NULL unless a well-formed name with at least one dot."""
-    text = _without_breaks(strip(website), "https?")
+    text = _without_breaks(strip(website), "http", "https")
     host = F.regexp_extract(text, r"^(?:https?://)?+(?:www\.)?+([^/?#]*)", 1)
     return F.when(host.rlike(DOMAIN), F.lower(host))
 
 
 def domain_normalized(website: Column) -> Column:
     """As the strict form, but also ``ftp(s)://``, no port, and no validity test."""
-    text = _without_breaks(strip(website), "(?:https?|ftps?)")
+    text = _without_breaks(strip(website), "http", "https", "ftp", "ftps")
     host = F.regexp_extract(text, r"^(?:(?:https?|ftps?)://)?+(?:www\.)?+([^/?#:]*)", 1)
     return F.nullif(F.lower(host), F.lit(""))
 

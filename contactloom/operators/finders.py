@@ -19,6 +19,7 @@ from ..functions import patterns as P
 from ..functions.domains import domain_static, domain_strict, is_valid_domain
 from ..functions.emails import extract_emails
 from ..sources.results import emails_from_results
+from .links import page_address, pages_in_scope
 from .queues import has_website, site_domain, with_domain, with_valid_domain
 from .rank import top_n_per_group
 from .skew import grid_join, hot_keys, salted_join
@@ -68,6 +69,7 @@ class StaticFinder:
     confidences: Mapping[str, float] = field(default_factory=dict)
     match: str = "substring"
     enabled: bool = True
+    priority: int = 100
     name: str = "static"
 
     def valid(self, companies: DataFrame) -> DataFrame:
@@ -110,6 +112,7 @@ class HarvestFinder:
     clean_domains: bool = True
     skip_invalid: bool = True
     enabled: bool = True
+    priority: int = 100
     name: str = "harvester"
 
     def valid(self, companies: DataFrame) -> DataFrame:
@@ -143,15 +146,22 @@ class HarvestFinder:
 
 @dataclass(frozen=True)
 class SiteFinder:
-    """Addresses on the archived pages of a company's own site."""
+    """Addresses on the archived pages of a company's own site.
+
+    With a depth or a URL cap only pages reached from the site's root count;
+    otherwise every archived page of the host does.
+    """
 
     pages: DataFrame
     depth: int = -1
+    limit_urls: int | None = None
+    ignore_queries: bool = True
     confidence: float = 0.9
     limit: int | None = None
     clean_domains: bool = True
     skip_invalid: bool = True
     enabled: bool = True
+    priority: int = 100
     name: str = "scraper"
 
     def valid(self, companies: DataFrame) -> DataFrame:
@@ -172,17 +182,30 @@ class SiteFinder:
             "company_id", valid.alias("valid"), (valid & F.col("_archived").isNotNull()).alias("succeeded")
         )
 
+    def pages_in_scope(self) -> DataFrame:
+        if self.depth < 0 and not self.limit_urls:
+            return self.pages
+        address = page_address(F.col("url"), self.ignore_queries)
+        placed = self.pages.withColumns({"_host": domain_strict(F.col("url")), "_address": address})
+        roots = placed.filter(F.col("_address").rlike(r"^https?://[^/]+/\z"))
+        reached = pages_in_scope(roots, self.pages, self.depth, self.limit_urls, self.ignore_queries)
+        kept = reached.select(F.col("host").alias("_host"), F.col("url").alias("_address"))
+        return placed.join(kept, ["_host", "_address"], "left_semi").drop("_host", "_address")
+
     def addresses(self) -> DataFrame:
         """Distinct (domain, email) of the archive; a site of many pages shrinks before any join."""
         return (
-            self.pages.filter(F.contains("html", F.lit("@")))
+            self.pages_in_scope()
+            .filter(F.contains("html", F.lit("@")))
             .select(domain_strict(F.col("url")).alias("domain"), F.explode(extract_emails(F.col("html"))).alias("email"))
             .distinct()
         )
 
     def find(self, companies: DataFrame, as_of: str, method_ord: int = 2) -> DataFrame:
         targets = self.valid(companies).select(F.col("id").alias("company_id"), "domain")
-        hot = hot_keys(targets, "domain")
+        # Hosts of many pages stand for hosts of many addresses: only URLs are read.
+        hosts = self.pages.select(domain_strict(F.col("url")).alias("domain"))
+        hot = sorted({*hot_keys(targets, "domain"), *hot_keys(hosts, "domain")})
         rows = grid_join(targets, self.addresses(), "domain", F.col("company_id"), F.col("email"), hot)
         if self.limit:
             rows = top_n_per_group(rows, ["company_id"], ["email"], self.limit)
@@ -195,7 +218,10 @@ class SiteFinder:
 
 
 class Registry:
-    """Finders by name, in the order they run."""
+    """Finders by name. They run in the order asked for, else by priority (low first), then as added.
+
+    The order decides which finder an address found twice belongs to.
+    """
 
     def __init__(self, *finders: Finder):
         self.finders: dict[str, Finder] = {}
@@ -210,6 +236,8 @@ class Registry:
 
     def selected(self, methods: list[str] | None = None) -> list[tuple[int, Finder]]:
         """Enabled finders among the wanted methods with their order; unknown names are skipped."""
-        wanted = self.available() if methods is None else methods
-        known = [self.finders[m] for m in dict.fromkeys(wanted) if m in self.finders]
+        if methods is None:
+            known = sorted(self.finders.values(), key=lambda f: getattr(f, "priority", 100))
+        else:
+            known = [self.finders[m] for m in dict.fromkeys(methods) if m in self.finders]
         return list(enumerate(f for f in known if f.enabled))

@@ -90,12 +90,9 @@ def with_valid_domain(companies: DataFrame, clean: bool = True) -> DataFrame:
 
 def site_domain(website: Column, clean: bool = True, skip_invalid: bool = True) -> Column:
     """Domain of a company under the invalid-domain policy; NULL drops the company."""
-    if not clean:
-        domain = domain_record(website)
-    elif skip_invalid:
-        domain = domain_strict(website)
-    else:
-        domain = F.coalesce(domain_strict(website), website)
+    if clean and skip_invalid:
+        return domain_strict(website)
+    domain = F.coalesce(domain_strict(website), website) if clean else domain_record(website)
     return F.nullif(domain, F.lit(""))
 
 

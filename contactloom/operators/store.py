@@ -117,7 +117,7 @@ def in_domains(emails: DataFrame, targets: DataFrame, column: str = "email", tar
 
 def orphans(emails: DataFrame, companies: DataFrame) -> DataFrame:
     """Addresses whose company is missing."""
-    known = companies.select(F.col("id").alias("company_id")).distinct()
+    known = companies.select(F.col("id").alias("company_id"))
     hot = hot_keys(emails, "company_id")
     return salted_join(emails, known, "company_id", "left_anti", F.col("email"), hot)
 

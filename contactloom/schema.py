@@ -63,13 +63,21 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Every column of the schema in order, missing ones as NULL, further ones kept at the end."""
-    present = set(df.columns)
-    wanted = [
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
+    """Every column of the schema in order, missing ones as NULL, further ones kept at the end.
+
+    A list stored as JSON text becomes a list; unreadable text becomes NULL.
+    """
+    present = {f.name: f.dataType for f in df.schema.fields}
+
+    def value(field: T.StructField):
+        if field.name not in present:
+            return F.lit(None).cast(field.dataType)
+        if isinstance(field.dataType, T.ArrayType) and isinstance(present[field.name], T.StringType):
+            return F.from_json(field.name, field.dataType)
+        return F.col(field.name).cast(field.dataType)
+
     extra = [c for c in df.columns if c not in schema.fieldNames()]
-    return df.select(*wanted, *extra)
+    return df.select(*[value(f).alias(f.name) for f in schema.fields], *extra)
 
 
 def instant(as_of: str):

@@ -192,3 +192,27 @@ def test_user_finder(spark):
     found = find_plans.find_emails(tracked(spark, [(1, "a", "x.com")]), registry, AS_OF)
     assert sorted(r["email"] for r in found.collect()) == ["A@loud.org", "info@x.com"]
     assert [f.name for _, f in Registry(StaticFinder(enabled=False), Shouting()).selected()] == ["shouting"]
+
+
+def test_priority_orders_methods(spark, registry):
+    late = Registry(StaticFinder(priority=200), *[registry.finders[m] for m in ("harvester", "scraper")])
+    assert [f.name for _, f in late.selected()] == ["harvester", "scraper", "static"]
+    assert [f.name for _, f in late.selected(["static", "nope", "scraper"])] == ["static", "scraper"]
+
+
+@pytest.mark.parametrize(
+    "depth,limit_urls,want", [(-1, None, "deep far home next"), (1, None, "home"), (2, None, "home next"), (-1, 2, "home next")]
+)
+def test_site_depth(spark, depth, limit_urls, want):
+    pages = spark.createDataFrame(
+        [
+            (1, "https://www.s.org", '<a href="/n">n</a> home@s.org'),
+            (2, "https://www.s.org/n?x=1", '<a href="d">d</a> next@s.org'),
+            (3, "https://www.s.org/d", "deep@s.org"),
+            (4, "https://www.s.org/unlinked", "far@s.org"),
+        ],
+        "page_id bigint, url string, html string",
+    )
+    found = SiteFinder(pages, depth, limit_urls).find(companies(spark, [(1, "S", "s.org")]), AS_OF)
+    assert sorted(locals_of(found)) == want.split()
+    assert {r["metadata"]["crawl_depth"] for r in found.collect()} == {str(depth)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from contactloom import schema
 from contactloom.operators import queues, rank, reports, store
 from contactloom.session import new_path
-from contactloom.sources import sinks, tables
+from contactloom.sources import results, sinks, tables
 
 ORDER = ["method_ord", "seq"]
 FOUND = "company_id bigint, email string, source string, method_ord int, seq bigint, confidence double"
@@ -68,6 +68,22 @@ def test_missing_columns_read_as_null(spark):
     assert row["name"] == "n" and row["email_methods_used"] is None
 
 
+def test_method_lists_stored_as_text(spark):
+    raw = spark.createDataFrame([(1, '["static"]'), (2, "broken"), (3, None)], "id bigint, email_methods_used string")
+    rows = schema.conform(raw, schema.COMPANIES).orderBy("id").collect()
+    assert [r["email_methods_used"] for r in rows] == [["static"], None, None]
+
+
+def test_result_and_line_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"emails": ["a@x.com"],\n "note": "b@x.com"}')
+    (tmp_path / "b.json").write_text("broken c@x.com")
+    (tmp_path / "lines.txt").write_text("A@x.com\r\n not one\n\nb@x.com")
+    files = results.read_result_files(spark, f"{tmp_path}/*.json")
+    assert sorted(r["email"] for r in results.emails_from_results(files, ["path"]).collect()) == ["a@x.com", "b@x.com"]
+    lines = results.read_lines(spark, f"{tmp_path}/lines.txt")
+    assert sorted(r["email"] for r in results.emails_from_lines(lines).collect()) == ["a@x.com", "b@x.com"]
+
+
 def test_bucketed_store_is_not_shuffled(spark):
     emails = schema.conform(
         spark.range(100).select(F.col("id").alias("company_id"), F.concat("id", F.lit("@x.com")).alias("email")),
