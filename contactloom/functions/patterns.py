@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,10 +112,7 @@ def ranked(patterns: Iterable[Pattern], minimum: float, k: int) -> list[Pattern]
 def _mentions(text: Column, words: list[str], match: str) -> Column:
     if match == "word":
         return text.rlike(rf"(?<![{WORD}])(?:{'|'.join(words)})(?![{WORD}])")
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
 
 
 def category_flags(name: Column, website: Column, match: str = "substring") -> tuple[Column, Column, Column]:
@@ -128,19 +128,24 @@ def chosen_categories(technical: bool, support: bool, large: bool) -> list[str]:
     return chosen + (["hr", "marketing"] if large else [])
 
 
-def pattern_list(patterns: Iterable[Pattern]) -> Column:
-    """A constant array of pattern structs."""
-    items = [
-        F.struct(
-            F.lit(p.name).alias("pattern"),
-            F.lit(p.confidence).alias("confidence"),
-            F.lit(p.category).alias("category"),
-            F.lit(p.description).alias("description"),
-        )
+_ITEM = "struct<pattern:string,confidence:double,category:string,description:string>"
+
+
+def _constant(value, kind: str) -> Column:
+    """A nested constant; Spark folds it into a literal before anything runs."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _items(patterns: Iterable[Pattern]) -> list[dict]:
+    return [
+        {"pattern": p.name, "confidence": p.confidence, "category": p.category, "description": p.description}
         for p in patterns
     ]
-    kind = "array<struct<pattern:string,confidence:double,category:string,description:string>>"
-    return F.array(*items).cast(kind)
+
+
+def pattern_list(patterns: Iterable[Pattern]) -> Column:
+    """A constant array of pattern structs."""
+    return _constant(_items(patterns), f"array<{_ITEM}>")
 
 
 def smart_list(
@@ -160,6 +165,6 @@ def smart_list(
     lists = []
     for flags in product((False, True), repeat=3):
         found = override(by_category(chosen_categories(*flags)), confidences or {})
-        lists.append(pattern_list(ranked(found, minimum, k)))
+        lists.append(_items(ranked(found, minimum, k)))
     weighted = [F.when(flag, weight).otherwise(0) for flag, weight in ((technical, 4), (support, 2), (large, 1))]
-    return F.get(F.array(*lists), weighted[0] + weighted[1] + weighted[2])
+    return F.get(_constant(lists, f"array<array<{_ITEM}>>"), weighted[0] + weighted[1] + weighted[2])
