@@ -12,6 +12,9 @@ SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *rang
 SPACE_CODES += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE_CHARS = "".join(map(chr, SPACE_CODES))
 
+# A terminal control sequence.
+ANSI_CODE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
+
 LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
 DOMAIN = rf"^{LABEL}(?:\.{LABEL})+\z"
 DOMAIN_STRICT = rf"^(?:{LABEL}\.)+(?:[a-zA-Z0-9][a-zA-Z0-9\-]{{0,61}}[a-zA-Z0-9])\z"
@@ -38,7 +41,7 @@ def _address_token(letters: str) -> str:
     good when no @ follows: later starts would reach the same end.
     """
     run, word = rf"[{letters}0-9._%+-]", rf"[{letters}0-9_]"
-    entry = rf"(?:\G|(?<!{run}))(?:\B(?:{word}++|[.%+-]++))?+\b"
+    entry = rf"(?:\G|(?<!{run}))(?={run})(?:\B(?:{word}++|[.%+-]++))?+\b"
     return rf"(?U){entry}({run}++@[{letters}0-9.-]+\.[{letters}]{{2,}}\b)"
 
 

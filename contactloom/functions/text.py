@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import DIGIT, SPACE, SPACE_CHARS, WORD
+from .chars import ANSI_CODE, DIGIT, SPACE, SPACE_CHARS, WORD
 
 MISSING = "N/A"
 
@@ -68,6 +68,4 @@ def safe_name(c: Column) -> Column:
 
 def strip_ansi(c: Column) -> Column:
     """Drop terminal colour codes and line ends."""
-    return F.regexp_replace(
-        F.regexp_replace(c, r"[\r\n]+\z", ""), r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", ""
-    )
+    return F.regexp_replace(F.regexp_replace(c, r"[\r\n]+\z", ""), ANSI_CODE, "")

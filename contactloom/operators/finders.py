@@ -97,7 +97,7 @@ class StaticFinder:
         metadata = F.create_map(
             F.lit("pattern"), F.col("p.pattern"), F.lit("category"), F.col("p.category"), F.lit("domain"), "domain"
         )
-        details = F.concat(F.lit("Static pattern: "), "p.description")
+        details = F.concat(F.lit(schema.STATIC_DETAILS), "p.description")
         return _found(rows, self.name, method_ord, as_of, details, F.col("p.confidence"), metadata)
 
 
@@ -212,7 +212,7 @@ class SiteFinder:
         metadata = F.create_map(
             F.lit("domain"), F.col("domain"), F.lit("crawl_depth"), F.lit(str(self.depth))
         )
-        details = F.lit(f"Website crawling with depth {self.depth}")
+        details = F.lit(f"{schema.SITE_DETAILS}{self.depth}")
         rows = rows.withColumn("seq", F.lit(0))
         return _found(rows, self.name, method_ord, as_of, details, F.lit(self.confidence), metadata)
 

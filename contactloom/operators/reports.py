@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from .queues import has_website
 from .store import domain_members
 
@@ -69,19 +70,8 @@ def metric_report(companies: DataFrame, emails: DataFrame) -> DataFrame:
         _count(source == "scraper").alias("scraper"),
         _count(F.col("is_reachable").isNotNull()).alias("checked"),
     )
-    company_rows = _rows(
-        company_totals, {"companies": "Total Companies", "with_website": "Companies with Websites"}
-    )
-    email_rows = _rows(
-        email_totals,
-        {
-            "emails": "Total Emails",
-            "static": "Static Emails",
-            "harvester": "Harvester Emails",
-            "scraper": "Scraper Emails",
-            "checked": "Checked Emails",
-        },
-    )
+    company_rows = _rows(company_totals, schema.COMPANY_METRICS)
+    email_rows = _rows(email_totals, schema.EMAIL_METRICS)
     return company_rows.unionByName(email_rows)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..functions.emails import email_domain, is_email_strict
+from ..functions.emails import is_email_strict
 from ..functions.domains import domain_normalized
 from ..functions.text import storage_key
 from .rank import first_wins
@@ -81,9 +81,9 @@ def merge_existing(found: DataFrame, existing: DataFrame, method: str, method_or
         (F.col("place") + F.lit(EXISTING_SEQ)).alias("seq"),
         "email",
         F.lit("existing").alias("source"),
-        F.lit("Pre-existing email from database").alias("source_details"),
+        F.lit(schema.EXISTING_DETAILS).alias("source_details"),
         F.lit(0.95).alias("confidence"),
-        F.create_map(F.lit("origin"), F.lit("database_column")).alias("metadata"),
+        F.create_map(*[F.lit(x) for pair in schema.EXISTING_ORIGIN.items() for x in pair]).alias("metadata"),
         schema.instant(as_of).alias("found_at"),
     )
     return found.unionByName(rows)
@@ -101,18 +101,23 @@ def match_replies(emails: DataFrame, replies: DataFrame, order: list[str] | None
     return emails.join(keyed.select(*EMAIL_KEY, *carried), EMAIL_KEY)
 
 
+def _domain_part(value: Column) -> Column:
+    return F.lower(F.split_part(value, F.lit("@"), F.lit(2)))
+
+
 def in_domain(emails: DataFrame, target: str, column: str = "email") -> DataFrame:
-    """Strictly valid addresses of one domain."""
-    wanted = domain_normalized(F.lit(target))
-    return emails.filter(email_domain(F.col(column)) == wanted)
+    """Strictly valid addresses of one domain; the cheap comparison goes first."""
+    value = F.col(column)
+    return emails.filter((_domain_part(value) == domain_normalized(F.lit(target))) & is_email_strict(value))
 
 
 def in_domains(emails: DataFrame, targets: DataFrame, column: str = "email", target: str = "target") -> DataFrame:
-    """Strictly valid addresses whose domain is among the targets."""
-    facts = emails.withColumn("_domain", email_domain(F.col(column)))
+    """Strictly valid addresses whose domain is among the targets; only matches are judged."""
+    value = F.col(column)
+    facts = emails.withColumn("_domain", _domain_part(value))
     wanted = targets.select(domain_normalized(F.col(target)).alias("_domain")).distinct()
-    hot = hot_keys(facts, "_domain")
-    return salted_join(facts, wanted, "_domain", "left_semi", F.col(column), hot).drop("_domain")
+    matched = salted_join(facts, wanted, "_domain", "left_semi", value, hot_keys(facts, "_domain"))
+    return matched.drop("_domain").filter(is_email_strict(value))
 
 
 def orphans(emails: DataFrame, companies: DataFrame) -> DataFrame:
@@ -201,5 +206,5 @@ def domain_members(emails: DataFrame, column: str = "email") -> DataFrame:
     address, so only addresses are shuffled, and each is judged once.
     """
     distinct = emails.select(F.col(column).alias("email")).distinct()
-    domain = F.lower(F.split_part("email", F.lit("@"), F.lit(2))).alias("domain")
-    return distinct.filter(is_email_strict(F.col("email"))).select(domain, "email")
+    valid = distinct.filter(is_email_strict(F.col("email")))
+    return valid.select(_domain_part(F.col("email")).alias("domain"), "email")

@@ -80,7 +80,7 @@ def bulk_find(
         queue = written(queues.bulk_queue(companies, finder.name, limit, offset), "queue")
     else:
         queue = queues.open_for(companies, finder.name)
-    named = queue.withColumn("name", F.coalesce("name", F.lit("Unknown Company")))
+    named = queue.withColumn("name", F.coalesce("name", F.lit(schema.UNNAMED_COMPANY)))
     found = finder.find(named, as_of, 0)
     if existing and "existing" in companies.columns:
         found = store.merge_existing(found, existing_emails(named), finder.name, 0, as_of)

@@ -31,6 +31,21 @@ COMPANIES = _layout(
 )
 COMPANY_INSERT = ["name", "address", "phone", "website", "email", "search_query"]
 
+# Texts of stored rows and of the metric report.
+STATIC_DETAILS = "Static pattern: "
+SITE_DETAILS = "Website crawling with depth "
+EXISTING_DETAILS = "Pre-existing email from database"
+EXISTING_ORIGIN = {"origin": "database_column"}
+UNNAMED_COMPANY = "Unknown Company"
+COMPANY_METRICS = {"companies": "Total Companies", "with_website": "Companies with Websites"}
+EMAIL_METRICS = {
+    "emails": "Total Emails",
+    "static": "Static Emails",
+    "harvester": "Harvester Emails",
+    "scraper": "Scraper Emails",
+    "checked": "Checked Emails",
+}
+
 CHECK_FLAGS = [
     "mx_accepts_mail",
     "is_disposable",

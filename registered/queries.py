@@ -15,6 +15,7 @@ from contactloom.functions import text as X
 from contactloom.operators import checks, links, listing, queues, rank, reports, store
 from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, StaticFinder
 from contactloom.plans import check as check_plans
+from contactloom.plans import discover as discover_plans
 from contactloom.plans import find as find_plans
 from contactloom.session import new_path, written
 from contactloom.sources import results, sinks, tables
@@ -78,9 +79,9 @@ def _(spark, sf):
     return tables.by_id(read(spark, sf, "companies_big"), 42)
 
 
-def _records(spark, sf) -> DataFrame:
+def _raw_details(spark, sf) -> DataFrame:
     d = read(spark, sf, "details")
-    fields = d.select(
+    return d.select(
         "id",
         "search_query",
         listing.detail_name(
@@ -95,7 +96,10 @@ def _records(spark, sf) -> DataFrame:
         listing.review_count([F.col("reviews_label"), F.col("reviews_text")]).alias("review_count"),
         listing.detail_category([F.col("category_1"), F.col("category_2")]).alias("category"),
     )
-    return listing.company_record(fields)
+
+
+def _records(spark, sf) -> DataFrame:
+    return listing.company_record(_raw_details(spark, sf))
 
 
 RECORD_EMAIL = (
@@ -656,6 +660,18 @@ def _(spark, sf):
     return listing.accepted_per_query(named, stored, 5, ["arrival"]).select("id", "name", "search_query")
 
 
+@query(
+    "discover_companies",
+    f"""SELECT r.name, r.address, r.phone, r.website, {RECORD_EMAIL.replace('website', 'r.website')} AS email,
+  a.search_query FROM (
+  SELECT *, row_number() OVER (PARTITION BY search_query ORDER BY arrival) AS pos FROM accepted) a
+JOIN record r ON r.id = a.id WHERE a.pos <= 20""",
+)
+def _(spark, sf):
+    listings, stored = read(spark, sf, "listings"), read(spark, sf, "stored_companies")
+    return discover_plans.discover(listings, _raw_details(spark, sf), stored, 20, ["arrival"])
+
+
 # Scalars
 
 
