@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import domain_strict
-from ..session import written
+from ..session import new_path, written
 from .rank import top_n_per_group
 
 
@@ -94,28 +92,34 @@ def pages_in_scope(
     """(host, url, depth) reached from the home pages in ``seeds.url``.
 
     Depth 1 is the home page, 2 adds what it links to, -1 follows links until
-    nothing new appears. Each hop is written out, so no plan grows with depth
+    nothing new appears. Every hop is written as one partition of a table, and
+    all hops before are read back as that table: plans do not grow with depth,
     and a lost executor costs one hop. A cap keeps the nearest URLs of a host.
     """
+    spark = pages.sparkSession
+    root = new_path(spark, "scope")
+    layout = "host string, url string, depth int"
+
+    def keep(step: DataFrame, depth: int) -> DataFrame:
+        path = f"{root}/depth={depth}"
+        step.write.parquet(path)
+        return spark.read.schema("host string, url string").parquet(path)
+
     home = seeds.select(
         domain_strict(F.col("url")).alias("host"), page_address(F.col("url"), ignore_queries).alias("url")
     )
-    level = written(home.filter(F.col("host").isNotNull()).distinct().withColumn("depth", F.lit(1)), "scope")
-    levels = [level]
+    level = keep(home.filter(F.col("host").isNotNull()).distinct(), 1)
     edges = written(page_links(pages, ignore_queries), "links") if depth != 1 else None
     hop = 1
-    while depth < 0 or hop < depth:
+    while (depth < 0 or hop < depth) and not level.isEmpty():
         hop += 1
-        visited = reduce(DataFrame.unionByName, levels).select("host", "url")
+        visited = spark.read.schema(layout).parquet(root).select("host", "url")
         step = (
             level.join(edges.withColumnRenamed("src", "url"), ["host", "url"])
             .select("host", F.col("dst").alias("url"))
             .distinct()
             .join(visited, ["host", "url"], "left_anti")
         )
-        level = written(step.withColumn("depth", F.lit(hop)), "scope")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    reached = reduce(DataFrame.unionByName, levels)
+        level = keep(step, hop)
+    reached = spark.read.schema(layout).parquet(root)
     return top_n_per_group(reached, ["host"], ["depth", "url"], limit_urls) if limit_urls else reached

@@ -408,11 +408,11 @@ SNAPSHOT_COLUMNS = [
   f.records, {FLAG_LIST},
   CASE WHEN f.is_error THEN f.check_error ELSE e.check_error END AS check_error,
   CASE WHEN f.id IS NOT NULL THEN {STAMP} ELSE e.checked_at END AS checked_at
-FROM emails e LEFT JOIN flat f ON f.id = e.id AND f.company_id % 2 = 0""",
+FROM emails e LEFT JOIN flat f ON f.id = e.id AND f.check_error IS DISTINCT FROM 'no_response'""",
 )
 def _(spark, sf):
     emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
-    answered = read(spark, sf, "replies").filter("company_id % 2 = 0")
+    answered = read(spark, sf, "replies").filter("reply <> ''")
     flat = checks.flatten_replies(answered)
     return store.apply_check_results(emails, flat, AS_OF).select(*SNAPSHOT_COLUMNS)
 
@@ -951,16 +951,14 @@ def _(spark, sf):
 
 FOUND_SIZES = """
 SELECT d.domain, count(DISTINCT f.email) AS n_emails FROM (SELECT DISTINCT domain FROM company_domains) d
-LEFT JOIN (SELECT domain, email FROM static_found WHERE contains(email, 'u') AND NOT starts_with(domain, 'm.')) f
-ON f.domain = d.domain GROUP BY d.domain"""
+LEFT JOIN site_found f ON f.domain = d.domain GROUP BY d.domain"""
 
 
 def _found_sizes(spark, sf) -> DataFrame:
     c = tracked_companies(spark, sf)
     processed = queues.with_domain(c.filter(queues.has_website(F.col("website"))))
-    found = StaticFinder().find(c, AS_OF).select(F.col("metadata")["domain"].alias("domain"), "email")
-    found = found.filter(F.contains("email", F.lit("u")) & ~F.col("domain").startswith("m."))
-    return reports.found_per_domain(processed, found)
+    found = SiteFinder(read(spark, sf, "pages")).find(c, AS_OF)
+    return reports.found_per_domain(processed, found.select(F.col("metadata")["domain"].alias("domain"), "email"))
 
 
 @query(

@@ -81,7 +81,7 @@ FROM lineitem""",
 SELECT company_id, source AS method, confidence > 0.5 AS completed, seq AS run_no FROM candidates""",
     "target_domains": """
 SELECT concat('https://www.U', user_id, '.example.com/x?y') AS target FROM events
-WHERE event_type = 'signup' AND value > 60""",
+WHERE event_type = 'signup'""",
     "listings": """
 SELECT page_id AS id, page_id AS arrival, search_query, title, url,
   CASE page_id % 4 WHEN 0 THEN 'Results' WHEN 1 THEN CAST(NULL AS VARCHAR(9)) WHEN 2 THEN concat('  ', title, ' ')
