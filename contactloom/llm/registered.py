@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, pieces, quality_rules, secrets
+from contactloom.session import new_path
+
+from . import decontaminate, language_id, line_spread, pieces, quality_rules, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +56,34 @@ def _(spark, sf):
     return pieces.encode_documents(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op5_warc", warc.ORACLE)
+def _(spark, sf):
+    path = new_path(spark, "warc")
+    warc.save_pages(table(spark, sf, "pages"), path)
+    return warc.load(spark, path, payload=False).select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query("op6_sharding", sharding.ORACLE)
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sharding.assign_shards(sized).drop("family")
+
+
 @query("op9_secrets")
 def _(spark, sf):
     return secrets.find_secrets(table(spark, sf, "documents"))
+
+
+@query("op10_line_spread", line_spread.ORACLE)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    done = line_spread.remove_lines(docs)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return done.filter("text is not null").select("doc_id", "n_lines", "n_removed", digest.alias("clean_sha256"))
