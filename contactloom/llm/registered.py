@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactloom.session import new_path
 
-from . import decontaminate, jaccard_join, language_id, line_spread, pieces, quality_rules, secrets, sharding, warc
+from . import decontaminate, jaccard_join, language_id, line_spread, pieces, quality_rules, secrets, sharding, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,11 @@ def _(spark, sf):
     return sharding.assign_shards(sized).drop("family")
 
 
+@query("op7_suffix_dedup")
+def _(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op8_jaccard_join")
 def _(spark, sf):
     return jaccard_join.join_documents(table(spark, sf, "documents"))
