@@ -26,12 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges-large")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges-small")
+        state = written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
         after = _mark(state)
         if after == before:
             break

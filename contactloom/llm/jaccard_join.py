@@ -32,8 +32,8 @@ PERCENT = 90
 SHINGLE = 3
 # Texts joined in one task; pivots of a larger region; divisions before what is left is joined block by block.
 REGION, PIVOTS, LEVELS = 256, 16, 4
-# A region that keeps more than this share of its parent isn't divided again.
-SHRINK = 0.7
+# Where the regions of a division hold more than so many times its texts, it is not worth it.
+SPREAD = 3
 # Shingles with hashes below are counted over all documents, so that rare ones can come first: a fifth of all.
 ZONE = np.uint64((1 << 64) // 5)
 # Different texts a task remembers, to hand on the shingles of copies once.
@@ -90,17 +90,19 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(shingle, sig, spare): of every text the shingles in the zone, or its first shingles where these are more.
+    """(shingle, sig, spare, size_class): of every text the shingles in the zone, or its first shingles where these are more.
 
     ``spare`` says how many of the text's shingles in the zone are no first
-    shingles. Copies met in one task come once.
+    shingles. Linked texts are of one size class or of neighbouring ones.
+    Copies met in one task come once.
     """
+    ratio = -1.001 * np.log(PERCENT / 100)  # a little wide, so that rounding parts no pair
 
     def run(batches):
         vocabulary, seen = Words(), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out, owners, spares = [], [], []
+                out, owners, spares, classes = [], [], [], []
                 for text in utf8(part.column("text")):
                     found = shingles(text, vocabulary)
                     if not len(found) or (sig := signature(found)) in seen:
@@ -112,16 +114,17 @@ def _candidates(docs: DataFrame) -> DataFrame:
                     taken = max(needed, inside)
                     out.append(found[:taken])
                     owners.append(np.full(taken, sig, np.int64))
-                    spares.append(np.full(taken, taken - needed, np.int64))
+                    spares.append(np.full(taken, taken - needed, np.int32))
+                    classes.append(np.full(taken, int(np.log(len(found)) / ratio + 1e-6), np.int32))
                 if out:
-                    columns = [np.concatenate(out).view(np.int64), np.concatenate(owners), np.concatenate(spares)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "sig", "spare"])
+                    columns = [np.concatenate(out).view(np.int64), np.concatenate(owners), np.concatenate(spares), np.concatenate(classes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "sig", "spare", "size_class"])
 
-    return docs.mapInArrow(run, "shingle long, sig long, spare long")
+    return docs.mapInArrow(run, "shingle long, sig long, spare int, size_class int")
 
 
 def _islands(docs: DataFrame) -> DataFrame:
-    """(sig, region) of the texts that share a first shingle with another text.
+    """(sig, region) of the texts that share a first shingle with another text of their size.
 
     All texts share one order of shingles: those of the zone first, the rarer
     the earlier, then all others by hash. Shingles of one text alone come
@@ -136,8 +139,10 @@ def _islands(docs: DataFrame) -> DataFrame:
     latest = Window.partitionBy("sig").orderBy(zone, F.desc("times"), F.desc("shingle"))
     # Beyond the zone nothing is spare: there all candidates are first shingles.
     first = met.withColumn("_last", F.row_number().over(latest)).filter(F.col("_last") > F.col("spare")).drop("_last")
-    shared = first.groupBy("shingle").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
-    edges = first.join(shared.select("shingle", "low"), "shingle").select(F.col("sig").alias("u"), F.col("low").alias("v"))
+    # A text stands in its own class and in the one below, so texts of neighbouring classes meet.
+    placed = first.select("shingle", "sig", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("size_class"))
+    shared = placed.groupBy("shingle", "size_class").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
+    edges = placed.join(shared.drop("high"), ["shingle", "size_class"]).select(F.col("sig").alias("u"), F.col("low").alias("v"))
     return components(edges).select(F.col("node").alias("sig"), F.col("component").alias("region"))
 
 
@@ -285,48 +290,53 @@ def _divided(rows: DataFrame, level: int) -> DataFrame:
                 label = r["label"]
                 for i in np.flatnonzero(100 * inter >= PERCENT * union).tolist():
                     if pivots[i][0] != r["sig"]:
-                        out.append((1, None, r["sig"], None, None, pivots[i][0], None, None))
+                        out.append((1, None, r["sig"], None, None, pivots[i][0], None, r["region"]))
                     if label is None:
                         label = pivots[i][0]
                 for i in np.flatnonzero(far <= far[home] + 2 * threshold + 1e-9).tolist():
-                    out.append((0, pivots[i][0], r["sig"], r["text"], bool(r["core"] and i == home), label, r["size"], r["region"]))
+                    out.append((0, pivots[i][0], r["sig"], r["text"], r["core"], label, i == home, r["region"]))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["kind", "pivot", "sig", "text", "core", "label", "parent", "region"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()))],
+                    ["kind", "pivot", "sig", "text", "core", "label", "home", "region"],
                 )
 
     laid = spread.unionByName(members).repartition("region", "part").sortWithinPartitions("region", "part", "kind")
-    return laid.mapInArrow(run, "kind int, pivot long, sig long, text string, core boolean, label long, parent long, region long")
+    return laid.mapInArrow(run, "kind int, pivot long, sig long, text string, core boolean, label long, home boolean, region long")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows with the size of their region, without regions that have nothing to compare: no text at home, or all linked with one pivot."""
+    sizes = rows.groupBy("region").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.max("core").alias("any_core"),
+        (F.count("label") == F.count(F.lit(1))).alias("all_labelled"),
+        (F.min("label") == F.max("label")).alias("one_label"),
+    )
+    return rows.join(sizes.filter("size > 1 and any_core and not (all_labelled and one_label)").select("region", "size"), "region")
 
 
 def _links(members: DataFrame) -> DataFrame:
     """(u, v) links that connect the texts of every region as all links would; members (region, sig, text)."""
-    rows = members.select(
-        "region", "sig", "text", F.lit(True).alias("core"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("long").alias("parent")
-    )
+    rows = members.select("region", "sig", "text", F.lit(True).alias("core"), F.lit(None).cast("long").alias("label"))
     found = []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("region").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.max("core").alias("any_core"),
-            (F.count("label") == F.count(F.lit(1))).alias("all_labelled"),
-            (F.min("label") == F.max("label")).alias("one_label"),
-        )
-        # Nothing to compare: no text at home, or all linked with one pivot.
-        open_regions = sizes.filter("size > 1 and any_core and not (all_labelled and one_label)").select("region", "size")
-        sized = written(rows.join(open_regions, "region"), "regions")
-        large = (F.col("size") > REGION) & (F.col("parent").isNull() | (F.col("size") <= SHRINK * F.col("parent")))
-        if level == LEVELS:
-            large = F.lit(False)
+        sized = written(_open(rows), "regions")
+        large = F.col("size") > REGION if level < LEVELS else F.lit(False)
         found.append(written(_joined(_blocks(sized.filter(~large))), "region-links"))
         more = sized.filter(large)
         if more.isEmpty():
             break
         cut = written(_divided(more, level), "voronoi")
         found.append(cut.filter("kind = 1").select(F.col("sig").alias("u"), F.col("label").alias("v")))
-        rows = cut.filter("kind = 0").select(
-            F.xxhash64("region", "pivot").alias("region"), "sig", "text", "core", "label", "parent"
+        texts = cut.filter("kind = 0")
+        spread = texts.groupBy("region").agg((F.count(F.lit(1)) > SPREAD * F.count_if("home")).alias("wide"))
+        judged = texts.join(spread, "region")
+        # All texts near all pivots: the division is undone, what it linked is kept.
+        whole = judged.filter("wide and home").select("region", "sig", "text", "core", "label")
+        found.append(written(_joined(_blocks(_open(whole))), "region-links"))
+        rows = judged.filter("not wide").select(
+            F.xxhash64("region", "pivot").alias("region"), "sig", "text", F.expr("core and home").alias("core"), "label"
         )
     out = found[0]
     for part in found[1:]:

@@ -11,6 +11,14 @@ import xxhash
 VOCABULARY = 1_000_000
 
 
+class _Numbering(dict):
+    """Numbers a key the first time it is asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Words:
     """Numbers for words, and a hash of each; a number holds within one text."""
 
@@ -18,7 +26,7 @@ class Words:
         self._reset()
 
     def _reset(self):
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbering()
         self.hashes = np.zeros(1 << 16, np.uint64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -26,7 +34,7 @@ class Words:
             self._reset()
         number = self.number
         start = len(number)
-        out = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        out = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         if len(number) > start:
             if len(number) > len(self.hashes):
                 self.hashes = np.resize(self.hashes, 2 * len(number))
