@@ -59,9 +59,21 @@ def json_items(items: Column) -> Column:
     return F.array_join(F.transform(items, quoted), ", ")
 
 
+def is_json(text: Column) -> Column:
+    """Whether a short text is JSON as a whole.
+
+    The parsers stop after the first value, so text behind it is only noticed
+    inside brackets; no ending is right inside both kinds.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return listed.isNotNull() & named.isNotNull()
+
+
 def emails_from_json(text: Column) -> Column:
     """Distinct strictly valid strings of a JSON list; anything else gives an empty list."""
-    parsed = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
+    whole = text.rlike(r"^\s*\[") & is_json(text)
+    parsed = F.when(whole, F.from_json(text, "array<string>"))
     return F.array_distinct(F.filter(F.coalesce(parsed, _none()), is_email_strict))
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import domain_record, domain_static, domain_strict, is_valid_domain
+from ..functions.emails import is_json
 from .rank import capped_first, top_n_per_group
 
 
 def method_list(stored: Column) -> Column:
-    """Method names from JSON text; NULL or unreadable text counts as none."""
-    return F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+    """Method names from JSON text; NULL and text that as a whole is no JSON list count as none."""
+    parsed = F.when(is_json(stored), F.from_json(stored, "array<string>"))
+    return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
 def _completed(methods: Column, method: Column) -> Column:

@@ -27,30 +27,27 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 def top_n_per_group(
     df: DataFrame, keys: list[str], order: list[str | Column], n: int, rank_col: str | None = None
 ) -> DataFrame:
-    """The first n rows of every group in the given total order."""
+    """The first n rows of every group in the given total order, ascending or descending, for every n."""
     rank = rank_col or "_rank"
-    if n <= GROUP_LIMIT:
-        within = Window.partitionBy(*keys).orderBy(*order)
-        kept = df.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= n)
-    else:
-        kept = rank_within_groups(df, keys, order, rank).filter(F.col(rank) <= n)
+    rows = _trimmed(df, keys, order, n) if n > GROUP_LIMIT else df
+    within = Window.partitionBy(*keys).orderBy(*order)
+    kept = rows.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= n)
     return kept.withColumn(rank, F.col(rank).cast("long")) if rank_col else kept.drop(rank)
 
 
-def rank_within_groups(df: DataFrame, keys: list[str], order: list[str | Column], rank_col: str) -> DataFrame:
-    """Exact rank in each group when groups may outgrow a task.
+def _trimmed(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of every part of a group, which hold the first n of the group.
 
-    All rows are numbered over (keys, order); the rank is the distance to the
-    first number of the group.
+    Beyond GROUP_LIMIT Spark does not trim before a shuffle; this does, over as
+    many parts as there are shuffle partitions, so a hot group never moves
+    whole on its key.
     """
-    numbered = row_numbers(df, [*keys, *order], "_no")
-    starts = numbered.groupBy(*keys).agg(F.min("_no").alias("_start"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = numbered.alias("r").join(starts.alias("s"), same)
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        (F.col("r._no") - F.col("s._start") + 1).alias(rank_col),
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(parts))
+    spread = df.withColumn("_part", part)
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return spread.withColumn("_place", F.row_number().over(within)).filter(F.col("_place") <= n).drop("_part", "_place")
 
 
 def row_numbers(

@@ -133,10 +133,12 @@ def apply_check_results(
     """New snapshot of the addresses.
 
     A success overwrites the result columns and leaves an old ``check_error``;
-    an error writes only ``check_error``. Both set ``checked_at``.
+    an error writes only ``check_error``. Both set ``checked_at``. Of several
+    results for one key a success counts before an error, so rows never multiply.
     """
     fields = [*schema.CHECK_RESULTS, "check_error", "is_error"]
-    fresh = results.select(*key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
+    single = first_wins(results, key, ["is_error", F.xxhash64(*fields)])
+    fresh = single.select(*key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     joined = emails.join(fresh, key, "left")
     hit = F.col("_hit").isNotNull()
     failed = F.coalesce(F.col("_new_is_error"), F.lit(False))

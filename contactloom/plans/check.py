@@ -31,10 +31,12 @@ class ReplyLogChecker:
 
     def check(self, emails: DataFrame, replies: DataFrame) -> DataFrame:
         keyed = replies.withColumn("email", storage_key(F.col("email")))
-        # One reply per address before anything else moves.
-        single = first_wins(keyed, store.EMAIL_KEY, list(self.order) or ["reply"])
-        asked = single.join(emails.select(*store.EMAIL_KEY), store.EMAIL_KEY, "left_semi")
-        return checks.flatten_replies(asked, failure=self.failure)
+        # Only replies to asked addresses are ranked, so the rest of the log isn't sorted.
+        asked = keyed.join(emails.select(*store.EMAIL_KEY), store.EMAIL_KEY, "left_semi")
+        # Without an order of arrival a reply with content goes before an empty one.
+        empty = F.coalesce(F.length("reply"), F.lit(0)) == 0
+        single = first_wins(asked, store.EMAIL_KEY, list(self.order) or [empty, "reply"])
+        return checks.flatten_replies(single, failure=self.failure)
 
 
 @dataclass(frozen=True)

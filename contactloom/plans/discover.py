@@ -23,7 +23,8 @@ def discover(
     named = listings.withColumn("name", name).select("id", "search_query", "name", *arrival)
     accepted = accepted_per_query(named, stored, per_query, arrival)
     fields = details.drop("search_query").withColumnRenamed("name", "_detail")
-    opened = accepted.select("id", "search_query", F.col("name").alias("_listed")).join(fields, "id")
-    # A detail page without a name of its own keeps the listed one.
+    opened = accepted.select("id", "search_query", F.col("name").alias("_listed")).join(fields, "id", "left")
+    # A detail page without a name of its own keeps the listed one, and so does a
+    # listing whose details failed; its other fields are missing values.
     raw = opened.withColumn("name", F.coalesce("_detail", "_listed")).drop("_detail", "_listed")
     return company_record(raw).select(*schema.COMPANY_INSERT)

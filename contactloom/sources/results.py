@@ -35,11 +35,27 @@ def all_strings(body: Column) -> Column:
     return F.array_join(decoded, "\n")
 
 
-def result_emails(document: Column, strings: Column) -> Column:
+def readable(body: Column, document: Column) -> Column:
+    """Whether a document counts as JSON.
+
+    The variant parser also refuses repeated keys and very large documents; an
+    object whose keys can be listed to its end is read all the same, by its strings.
+    """
+    listed = F.json_object_keys(body).isNotNull() & F.rtrim(F.right(body, F.lit(64))).endswith("}")
+    return document.isNotNull() | F.coalesce(listed, F.lit(False))
+
+
+def rejected_results(results: DataFrame, body: str = "body") -> DataFrame:
+    """The documents that give nothing because they are no JSON, for a count or a closer look."""
+    return results.filter(~readable(F.col(body), F.try_parse_json(body)))
+
+
+def result_emails(document: Column, strings: Column, usable: Column | None = None) -> Column:
     """Addresses in the known fields and in any string of a JSON document.
 
     The search runs over decoded strings, so escapes do not leak into
-    addresses. An unreadable document gives an empty list.
+    addresses. A document that is not ``usable`` (by default one the variant
+    parser can't read) gives an empty list.
     """
     none = F.array().cast("array<string>")
     fields = F.flatten(F.array(*[_field(document, name) for name in ("emails", "email", "people")]))
@@ -48,8 +64,8 @@ def result_emails(document: Column, strings: Column) -> Column:
     whole = F.when(
         strings.rlike(MARKED), F.filter(F.transform(fields, storage_key), is_email_basic)
     ).otherwise(none)
-    return F.when(document.isNull(), none).otherwise(
-        F.array_distinct(F.concat(whole, F.coalesce(basic_tokens(strings), none)))
+    return F.when(document.isNull() if usable is None else ~usable, none).otherwise(
+        F.array_distinct(F.concat(F.coalesce(whole, none), F.coalesce(basic_tokens(strings), none)))
     )
 
 
@@ -71,10 +87,14 @@ def emails_from_results(results: DataFrame, keys: list[str], body: str = "body")
     # Parsing and decoding are steps of their own, done once per row. The list is
     # exploded as an expression: a named column would be worked out again in the
     # filter Spark derives from it.
-    parsed = hopeful.select(
-        *keys, F.try_parse_json(body).alias("_document"), all_strings(F.col(body)).alias("_strings")
+    read = hopeful.withColumn("_document", F.try_parse_json(body))
+    parsed = read.select(
+        *keys,
+        "_document",
+        all_strings(F.col(body)).alias("_strings"),
+        readable(F.col(body), F.col("_document")).alias("_usable"),
     )
-    found = result_emails(F.col("_document"), F.col("_strings"))
+    found = result_emails(F.col("_document"), F.col("_strings"), F.col("_usable"))
     return parsed.select(*keys, F.explode(found).alias("email")).distinct()
 
 

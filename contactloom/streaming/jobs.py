@@ -22,9 +22,15 @@ from ..sources.sinks import insert_new_emails, read_table
 from ..operators.queues import has_real_website
 
 
-def file_stream(spark: SparkSession, path: str, layout, pattern: str | None = None) -> DataFrame:
-    """Parquet files arriving in a folder, one per micro-batch trigger."""
-    reader = spark.readStream.schema(layout).option("maxFilesPerTrigger", 1)
+def file_stream(
+    spark: SparkSession, path: str, layout, pattern: str | None = None, most_files: int | None = None, most_bytes: str | None = None
+) -> DataFrame:
+    """Parquet files arriving in a folder; a micro-batch takes all there are, or the given files or bytes at most."""
+    reader = spark.readStream.schema(layout)
+    if most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    if most_bytes:
+        reader = reader.option("maxBytesPerTrigger", most_bytes)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)

@@ -408,12 +408,11 @@ SNAPSHOT_COLUMNS = [
   f.records, {FLAG_LIST},
   CASE WHEN f.is_error THEN f.check_error ELSE e.check_error END AS check_error,
   CASE WHEN f.id IS NOT NULL THEN {STAMP} ELSE e.checked_at END AS checked_at
-FROM emails e LEFT JOIN flat f ON f.id = e.id AND f.check_error IS DISTINCT FROM 'no_response'""",
+FROM emails e LEFT JOIN flat f ON f.id = e.id""",
 )
 def _(spark, sf):
     emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
-    answered = read(spark, sf, "replies").filter("reply <> ''")
-    flat = checks.flatten_replies(answered)
+    flat = checks.flatten_replies(read(spark, sf, "replies"))
     return store.apply_check_results(emails, flat, AS_OF).select(*SNAPSHOT_COLUMNS)
 
 
@@ -662,10 +661,12 @@ def _(spark, sf):
 
 @query(
     "discover_companies",
-    f"""SELECT r.name, r.address, r.phone, r.website, {RECORD_EMAIL.replace('website', 'r.website')} AS email,
+    f"""SELECT coalesce(r.name, {S.clean_text('a.name')}) AS name, coalesce(r.address, 'N/A') AS address,
+  coalesce(r.phone, 'N/A') AS phone, coalesce(r.website, 'N/A') AS website,
+  CASE WHEN r.id IS NULL THEN 'N/A' ELSE {RECORD_EMAIL.replace('website', 'r.website')} END AS email,
   a.search_query FROM (
   SELECT *, row_number() OVER (PARTITION BY search_query ORDER BY arrival) AS pos FROM accepted) a
-JOIN record r ON r.id = a.id WHERE a.pos <= 20""",
+LEFT JOIN record r ON r.id = a.id WHERE a.pos <= 20""",
 )
 def _(spark, sf):
     listings, stored = read(spark, sf, "listings"), read(spark, sf, "stored_companies")
@@ -1081,6 +1082,17 @@ def _(spark, sf):
     return rank.top_n_per_group(c, ["source"], ["found_at", "seq"], 2000, "pos").select("source", "seq", "pos")
 
 
+@query(
+    "cap_per_group_desc",
+    """SELECT source, seq, pos FROM (SELECT source, seq, row_number() OVER (PARTITION BY source
+  ORDER BY found_at DESC, seq DESC) AS pos FROM candidates) t WHERE pos <= 1500""",
+)
+def _(spark, sf):
+    c = read(spark, sf, "candidates").select("source", "seq", "found_at")
+    order = [F.desc("found_at"), F.desc("seq")]
+    return rank.top_n_per_group(c, ["source"], order, 1500, "pos").select("source", "seq", "pos")
+
+
 @query("page_companies", "SELECT id, name, website FROM companies_big ORDER BY id LIMIT 50 OFFSET 100")
 def _(spark, sf):
     return rank.capped_first(read(spark, sf, "companies_big"), ["id"], 50, 100)
@@ -1130,7 +1142,7 @@ def _(spark, sf):
     # Several files, so several micro-batches repeat pairs of earlier ones.
     found.repartition(3, "source").write.parquet(arriving)
     target = new_path(spark, "deduped")
-    stream = jobs.file_stream(spark, arriving, found.schema)
+    stream = jobs.file_stream(spark, arriving, found.schema, most_files=1)
     jobs.dedupe_into(stream, target, new_path(spark, "progress"), ARRIVAL)
     return jobs.store_contents(spark, target).select("company_id", "email")
 

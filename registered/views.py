@@ -121,7 +121,8 @@ SELECT page_id AS id, search_query,
 FROM (SELECT page_id, url, concat('pages in ', regexp_extract(html, '<html lang="([a-z]+)"', 1)) AS search_query,
     regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1,
     regexp_extract(html, '<b>([^<]*)', 1) AS bold, regexp_extract(html, '<p>([^<]*)</p>', 1) AS para
-  FROM pages) t""",
+  FROM pages) t
+WHERE page_id % 9 <> 4""",
     "templates": """
 SELECT p_partkey AS id, CASE p_partkey % 4
   WHEN 0 THEN concat(p_type, ' makers in ', '$', '{country}')
