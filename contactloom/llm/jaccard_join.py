@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from contactloom.session import written
 
-from .batches import one_column, slices, utf8
+from .batches import arrow_schema, one_column, slices, utf8
 from .components import components
 from .vocabulary import Words
 
@@ -68,62 +68,62 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-# ---- the two scans
+# ---- the scan
 
+SCAN = "kind int, doc_id long, n long, sig long, shingle long, spare int, size_class int"
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, size and signature of every document; no signature without words."""
 
-    def run(batches):
-        vocabulary = Words()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [shingles(t, vocabulary) for t in utf8(part.column("text"))]
-                columns = [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([signature(s) if len(s) else None for s in found], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sig"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, sig long")
+def _scan(docs: DataFrame) -> DataFrame:
+    """Kind 0: doc_id, size and signature of every document; no signature without words.
 
-
-def _candidates(docs: DataFrame) -> DataFrame:
-    """(shingle, sig, spare, size_class): of every text the shingles in the zone, or its first shingles where these are more.
-
-    ``spare`` says how many of the text's shingles in the zone are no first
-    shingles. Linked texts are of one size class or of neighbouring ones.
-    Copies met in one task come once.
+    Kind 1: of every text the shingles in the zone, or its first shingles where
+    these are more. ``spare`` says how many of the text's shingles in the zone
+    are no first shingles. Linked texts are of one size class or of
+    neighbouring ones. Copies met in one task come once.
     """
     ratio = -1.001 * np.log(PERCENT / 100)  # a little wide, so that rounding parts no pair
+    out = arrow_schema(SCAN)
+
+    def rows(kind, **columns):
+        size = len(next(iter(columns.values())))
+        given = {"kind": np.full(size, kind, np.int32)} | columns
+        arrays = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in out]
+        return pa.RecordBatch.from_arrays(arrays, schema=out)
 
     def run(batches):
         vocabulary, seen = Words(), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out, owners, spares, classes = [], [], [], []
+                sizes, sigs = [], []
+                taken, owners, spares, classes = [], [], [], []
                 for text in utf8(part.column("text")):
                     found = shingles(text, vocabulary)
-                    if not len(found) or (sig := signature(found)) in seen:
+                    sizes.append(len(found))
+                    sigs.append(sig := signature(found) if len(found) else None)
+                    if sig is None or sig in seen:
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(sig)
                     needed = prefix_length(len(found))
-                    inside = int(np.searchsorted(found, ZONE))
-                    taken = max(needed, inside)
-                    out.append(found[:taken])
-                    owners.append(np.full(taken, sig, np.int64))
-                    spares.append(np.full(taken, taken - needed, np.int32))
-                    classes.append(np.full(taken, int(np.log(len(found)) / ratio + 1e-6), np.int32))
-                if out:
-                    columns = [np.concatenate(out).view(np.int64), np.concatenate(owners), np.concatenate(spares), np.concatenate(classes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "sig", "spare", "size_class"])
-
-    return docs.mapInArrow(run, "shingle long, sig long, spare int, size_class int")
-
-
-def _islands(docs: DataFrame) -> DataFrame:
+                    n = max(needed, int(np.searchsorted(found, ZONE)))
+                    taken.append(found[:n])
+                    owners.append(np.full(n, sig, np.int64))
+                    spares.append(np.full(n, n - needed, np.int32))
+                    classes.append(np.full(n, int(np.log(len(found)) / ratio + 1e-6), np.int32))
+                yield rows(0, doc_id=part.column("doc_id").to_pylist(), n=sizes, sig=sigs)
+                if taken:
+                    yield rows(
+                        1,
+                        shingle=np.concatenate(taken).view(np.int64),
+                        sig=np.concatenate(owners),
+                        spare=np.concatenate(spares),
+                        size_class=np.concatenate(classes),
+                    )
+
+    return docs.mapInArrow(run, SCAN)
+
+
+def _islands(rows: DataFrame) -> DataFrame:
     """(sig, region) of the texts that share a first shingle with another text of their size.
 
     All texts share one order of shingles: those of the zone first, the rarer
@@ -131,7 +131,6 @@ def _islands(docs: DataFrame) -> DataFrame:
     before all that are shared and meet nothing, so only shared ones are
     ranked: a text drops its ``spare`` most common ones.
     """
-    rows = _candidates(docs)
     # The zone is told from the others by the sign of the hash, read as a number.
     counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "jaccard-counts")
     met = written(rows.join(counts, "shingle").distinct(), "jaccard-shared")
@@ -358,12 +357,14 @@ def join_documents(documents: DataFrame) -> DataFrame:
     smallest, unless alone. Repeated rows come out as often. Other columns are
     left out.
 
-    Texts are read where they lie for signatures, for shingle counts and for
-    first shingles; only texts that share a first shingle are joined.
+    One scan gives signatures and shingles; the texts are read once more, and
+    only those that share a first shingle are joined.
     """
     docs = one_column(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = written(_nodes(docs), "jaccard-nodes")
-    islands = written(_islands(docs), "jaccard-islands")
+    scanned = written(_scan(docs), "jaccard-scan")
+    nodes = scanned.filter("kind = 0").select("doc_id", "n", "sig")
+    candidates = scanned.filter("kind = 1").select("shingle", "sig", "spare", "size_class")
+    islands = written(_islands(candidates), "jaccard-islands")
     first = nodes.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     wanted = islands.join(first, "sig")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("region", "sig", "text", "first")
