@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from contactloom.session import written
 
 from .batches import arrow_schema, one_column, slices, utf8
+from .hot import join_counted
 
 LENGTH, GRAM = 400, 32
 # Bytes looked at at once; small enough for the processor's cache.
@@ -227,7 +228,7 @@ def _with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "gram long, key binary, first long, open boolean, bytes binary")
 
 
-def _indexed(rows: DataFrame) -> DataFrame:
+def _indexed(rows: DataFrame, tasks: int) -> DataFrame:
     """What the index families find. Kind 0: repeated bytes (key, start, stop).
 
     Kind 1, for grams dealt to several tasks: windows not yet met twice or
@@ -252,7 +253,7 @@ def _indexed(rows: DataFrame) -> DataFrame:
             family.add(pending)
         yield from _found(family, owners)
 
-    laid = rows.repartition(_tasks(rows), "gram", "salt")
+    laid = rows.repartition(tasks, "gram", "salt")
     return laid.mapInArrow(run, "kind int, key binary, start long, stop long, head_print binary, open boolean")
 
 
@@ -294,21 +295,22 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     grams = rows.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
     )
-    often = grams.filter("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
-    met = rows.join(often, "gram")
+    often = written(grams.filter("n > 1").select("gram", "n", (F.col("low") < F.col("high")).alias("mixed")), "suffix-grams")
+    met = written(join_counted(rows, often, ["gram"], "n").drop("n"), "suffix-met")
     # Texts from several tasks come several times with one key: that too is a repeated text.
     groups = met.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.min_by(F.struct("key", "first", "last"), "key").alias("one")
     )
     groups = written(groups, "suffix-groups")
-    whole = met.join(groups.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    whole = join_counted(met, groups.filter("n > 1").select("gram", "context", "n"), ["gram", "context"], "n")
     spans = whole.select("key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     wanted = groups.filter("mixed").select("gram", "one.*", (F.col("n") == 1).alias("open"))
     data = written(_with_bytes(texts, wanted), "suffix-bytes")
     share = data.groupBy("gram").agg(F.ceil(F.sum(F.octet_length("bytes")) / TASK_BYTES).cast("int").alias("salts"))
-    split = data.join(share.filter("salts > 1"), "gram", "left").withColumn("split", F.col("salts").isNotNull())
+    share = written(share.filter("salts > 1"), "suffix-shares")
+    split = join_counted(data, share, ["gram"], "salts", "left").withColumn("split", F.col("salts").isNotNull())
     salted = split.withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.coalesce("salts", F.lit(1))))
-    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes")), "suffix-found")
+    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes"), _tasks(data)), "suffix-found")
     across = found.filter("kind = 1")
     twice = across.groupBy("head_print").count().filter("count > 1").select("head_print")
     late = across.filter("open").join(twice, "head_print", "left_semi")
