@@ -25,6 +25,7 @@ from contactloom.session import written
 
 from .batches import arrow_schema, one_column, slices, utf8
 from .components import components
+from .hot import join_counted
 from .vocabulary import Words
 
 # Link when 100 * intersection >= PERCENT * union.
@@ -133,7 +134,7 @@ def _islands(rows: DataFrame) -> DataFrame:
     """
     # The zone is told from the others by the sign of the hash, read as a number.
     counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "jaccard-counts")
-    met = written(rows.join(counts, "shingle").distinct(), "jaccard-shared")
+    met = written(join_counted(rows, counts, ["shingle"], "times").distinct(), "jaccard-shared")
     zone = F.col("shingle").between(0, int(ZONE) - 1)
     latest = Window.partitionBy("sig").orderBy(zone, F.desc("times"), F.desc("shingle"))
     # Beyond the zone nothing is spare: there all candidates are first shingles.
@@ -312,15 +313,16 @@ def _open(rows: DataFrame) -> DataFrame:
         (F.count("label") == F.count(F.lit(1))).alias("all_labelled"),
         (F.min("label") == F.max("label")).alias("one_label"),
     )
-    return rows.join(sizes.filter("size > 1 and any_core and not (all_labelled and one_label)").select("region", "size"), "region")
+    kept = sizes.filter("size > 1 and any_core and not (all_labelled and one_label)").select("region", "size")
+    return join_counted(rows, written(kept, "region-sizes"), ["region"], "size")
 
 
 def _links(members: DataFrame) -> DataFrame:
-    """(u, v) links that connect the texts of every region as all links would; members (region, sig, text)."""
-    rows = members.select("region", "sig", "text", F.lit(True).alias("core"), F.lit(None).cast("long").alias("label"))
+    """(u, v) links that connect the texts of every region as all links would; members (region, size, sig, text)."""
+    rows = members.select("region", "size", "sig", "text", F.lit(True).alias("core"), F.lit(None).cast("long").alias("label"))
     found = []
     for level in range(LEVELS + 1):
-        sized = written(_open(rows), "regions")
+        sized = written(_open(rows) if level else rows, "regions")
         large = F.col("size") > REGION if level < LEVELS else F.lit(False)
         found.append(written(_joined(_blocks(sized.filter(~large))), "region-links"))
         more = sized.filter(large)
@@ -329,8 +331,10 @@ def _links(members: DataFrame) -> DataFrame:
         cut = written(_divided(more, level), "voronoi")
         found.append(cut.filter("kind = 1").select(F.col("sig").alias("u"), F.col("label").alias("v")))
         texts = cut.filter("kind = 0")
-        spread = texts.groupBy("region").agg((F.count(F.lit(1)) > SPREAD * F.count_if("home")).alias("wide"))
-        judged = texts.join(spread, "region")
+        spread = texts.groupBy("region").agg(
+            F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > SPREAD * F.count_if("home")).alias("wide")
+        )
+        judged = join_counted(texts, written(spread, "region-spread"), ["region"], "n")
         # All texts near all pivots: the division is undone, what it linked is kept.
         whole = judged.filter("wide and home").select("region", "sig", "text", "core", "label")
         found.append(written(_joined(_blocks(_open(whole))), "region-links"))
@@ -365,9 +369,11 @@ def join_documents(documents: DataFrame) -> DataFrame:
     nodes = scanned.filter("kind = 0").select("doc_id", "n", "sig")
     candidates = scanned.filter("kind = 1").select("shingle", "sig", "spare", "size_class")
     islands = written(_islands(candidates), "jaccard-islands")
+    sizes = islands.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    islands = join_counted(islands, sizes, ["region"], "size")
     first = nodes.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     wanted = islands.join(first, "sig")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("region", "sig", "text", "first")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("region", "size", "sig", "text")
     found = components(_links(_one_text(texts)))
     named = first.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig")
@@ -391,8 +397,8 @@ def _one_text(texts: DataFrame) -> DataFrame:
                 ]
                 yield part.filter(pa.array(own, pa.bool_()))
 
-    checked = texts.select("region", "sig", "text").mapInArrow(run, "region long, sig long, text string")
-    return checked.groupBy("region", "sig").agg(F.min("text").alias("text"))
+    checked = texts.select("region", "size", "sig", "text").mapInArrow(run, "region long, size long, sig long, text string")
+    return checked.groupBy("region", "size", "sig").agg(F.min("text").alias("text"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
