@@ -10,6 +10,7 @@ own, since one short pattern would shorten every jump.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -93,22 +94,21 @@ class Searcher:
             tables.search(numbers, hit, items)
 
 
-def item_groups(benchmark: DataFrame, most: int = PASS_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items in groups of about ``most`` bytes of text, one group in memory at a time being the bound.
+def item_groups(benchmark: DataFrame, most: int = PASS_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in groups of about ``most`` bytes of text, one in memory at a time; at least one group, if an empty one.
 
     Rows without id or without a word take no part.
     """
     rows = one_column(benchmark, "item_id", "text").filter("item_id is not null and text is not null")
-    groups: list[list[tuple[str, bytes]]] = [[]]
-    held = 0
+    group, held = [], 0
     for row in rows.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         text = row["text"].encode()
-        if groups[-1] and held + len(text) > most:
-            groups.append([])
-            held = 0
-        groups[-1].append((row["item"], text))
+        if group and held + len(text) > most:
+            yield group
+            group, held = [], 0
+        group.append((row["item"], text))
         held += len(text)
-    return groups
+    yield group
 
 
 def find_items(documents: DataFrame, benchmark: DataFrame, most: int = PASS_BYTES) -> DataFrame:
@@ -122,16 +122,13 @@ def find_items(documents: DataFrame, benchmark: DataFrame, most: int = PASS_BYTE
     The search moves no rows. A benchmark beyond ``most`` bytes is searched in
     groups, one pass over the documents each, with the marks handed on.
     """
-    groups = item_groups(benchmark, most)
     added = [f.split()[0] for f in FOUND.split(", ")]
     kept = [c for c in documents.columns if c not in added and c not in ("_hit", "_items")]
     if "text" not in kept:
         raise ValueError("documents need a column text")
     state = documents.select(*kept, F.lit(b"").alias("_hit"), F.array().cast("array<string>").alias("_items"))
-    for i, items in enumerate(groups):
-        state = _pass(state, items)
-        if i + 1 < len(groups):
-            state = written(state, "decontaminate-pass")
+    for i, items in enumerate(item_groups(benchmark, most)):
+        state = _pass(written(state, "decontaminate-pass") if i else state, items)
     return _judged(state, kept)
 
 
