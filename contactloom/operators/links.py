@@ -9,6 +9,9 @@ from ..functions.domains import domain_strict
 from ..session import new_path, written
 from .rank import top_n_per_group
 
+# A link as pages write it: any case, blanks around the sign, either quote or none.
+HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
 
 def page_address(url: Column, ignore_queries: bool = True) -> Column:
     """URL without fragment (and query), with at least ``/`` as path."""
@@ -69,11 +72,12 @@ def page_links(pages: DataFrame, ignore_queries: bool = True) -> DataFrame:
         domain_strict(F.col("url")).alias("host"),
         page_address(F.col("url"), ignore_queries).alias("src"),
         _base_parts(F.col("url")).alias("base"),
-        F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)).alias("hrefs"),
+        F.regexp_extract_all("html", F.lit(HREF), F.lit(1)).alias("hrefs"),
     )
 
     def target(href: Column) -> Column:
-        decoded = F.replace(href, F.lit("&amp;"), F.lit("&"))
+        bare = F.regexp_replace(href, r"""^["']|["']\z""", "")
+        decoded = F.replace(bare, F.lit("&amp;"), F.lit("&"))
         return page_address(resolve(F.col("base"), decoded), ignore_queries)
 
     same_site = F.filter(

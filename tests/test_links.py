@@ -69,3 +69,10 @@ def test_scope_cap_keeps_the_nearest(spark, pages):
     seeds = spark.createDataFrame([("http://site.org/",)], "url string")
     rows = links.pages_in_scope(seeds, pages, -1, limit_urls=2).collect()
     assert sorted((r["depth"], r["url"]) for r in rows) == [(1, "http://site.org/"), (2, "http://site.org/a")]
+
+
+def test_spellings_of_href(spark):
+    html = """<a href='/q'>1</a><A HREF="/r">2</A><a href=/t>3</a><a href = "/u?x=1&amp;y=2">4</a><a data-hrefs="/no">5</a>"""
+    pages = spark.createDataFrame([(1, "https://a.com/", html)], "page_id long, url string, html string")
+    got = {r.dst for r in links.page_links(pages, ignore_queries=False).collect()}
+    assert got == {"https://a.com/q", "https://a.com/r", "https://a.com/t", "https://a.com/u?x=1&y=2"}
