@@ -19,7 +19,7 @@ from ..functions import patterns as P
 from ..functions.domains import domain_static, domain_strict, is_valid_domain
 from ..functions.emails import extract_emails
 from ..sources.results import emails_from_results
-from .links import page_address, pages_in_scope
+from .links import page_address, pages_in_scope, site_key
 from .queues import has_website, site_domain, with_domain, with_valid_domain
 from .rank import top_n_per_group
 from .skew import grid_join, hot_keys, salted_join
@@ -148,8 +148,9 @@ class HarvestFinder:
 class SiteFinder:
     """Addresses on the archived pages of a company's own site.
 
-    With a depth or a URL cap only pages reached from the site's root count;
-    otherwise every archived page of the host does.
+    With a depth or a URL cap only pages reached from the site's root count, or
+    from the archived page nearest to it where the root is missing; otherwise
+    every archived page of the host does.
     """
 
     pages: DataFrame
@@ -186,9 +187,12 @@ class SiteFinder:
         if self.depth < 0 and not self.limit_urls:
             return self.pages
         address = page_address(F.col("url"), self.ignore_queries)
-        placed = self.pages.withColumns({"_host": domain_strict(F.col("url")), "_address": address})
-        roots = placed.filter(F.col("_address").rlike(r"^https?://[^/]+/\z"))
-        reached = pages_in_scope(roots, self.pages, self.depth, self.limit_urls, self.ignore_queries)
+        placed = self.pages.withColumns({"_host": domain_strict(F.col("url")), "_address": site_key(address)})
+        # Fewest steps, then shortest: the root itself, and where it is missing the page nearest to it.
+        steps = F.size(F.split("_address", "/"))
+        nearest = F.min(F.struct(steps, F.length("_address"), "_address", "url")).alias("first")
+        roots = placed.filter(F.col("_host").isNotNull()).groupBy("_host").agg(nearest).select("first.url")
+        reached = pages_in_scope(roots, self.pages, self.depth, self.limit_urls, self.ignore_queries, by_site_key=True)
         kept = reached.select(F.col("host").alias("_host"), F.col("url").alias("_address"))
         return placed.join(kept, ["_host", "_address"], "left_semi").drop("_host", "_address")
 
@@ -206,7 +210,11 @@ class SiteFinder:
         # Hosts of many pages stand for hosts of many addresses: only URLs are read.
         hosts = self.pages.select(domain_strict(F.col("url")).alias("domain"))
         hot = sorted({*hot_keys(targets, "domain"), *hot_keys(hosts, "domain")})
-        rows = grid_join(targets, self.addresses(), "domain", F.col("company_id"), F.col("email"), hot)
+        addresses = self.addresses()
+        if self.limit:
+            # Companies of one host share one list, so a shared host never multiplies more than the cap.
+            addresses = top_n_per_group(addresses, ["domain"], ["email"], self.limit)
+        rows = grid_join(targets, addresses, "domain", F.col("company_id"), F.col("email"), hot)
         if self.limit:
             rows = top_n_per_group(rows, ["company_id"], ["email"], self.limit)
         metadata = F.create_map(

@@ -19,6 +19,11 @@ def page_address(url: Column, ignore_queries: bool = True) -> Column:
     return F.regexp_replace(cut, r"^(https?://[^/]+)\z", "$1/")
 
 
+def site_key(url: Column) -> Column:
+    """Host and the rest of an address: one key for every scheme, port, host case and ``www.``."""
+    return F.concat(domain_strict(url), F.regexp_extract(url, r"(?s)^[^:]+://[^/?#]*(.*)", 1))
+
+
 def _without_dot_segments(path: Column) -> Column:
     """``.`` and ``..`` steps resolved; ``path`` starts with a slash."""
     steps = F.split(F.substring(path, 2, 1 << 30), "/")
@@ -92,9 +97,13 @@ def pages_in_scope(
     depth: int = -1,
     limit_urls: int | None = None,
     ignore_queries: bool = True,
+    by_site_key: bool = False,
 ) -> DataFrame:
     """(host, url, depth) reached from the home pages in ``seeds.url``.
 
+    With ``by_site_key`` the addresses are site keys, so a link meets a page
+    archived under another scheme or with ``www.``.
+
     Depth 1 is the home page, 2 adds what it links to, -1 follows links until
     nothing new appears. Every hop is written as one partition of a table, and
     all hops before are read back as that table: plans do not grow with depth,
@@ -109,11 +118,17 @@ def pages_in_scope(
         step.write.parquet(path)
         return spark.read.schema("host string, url string").parquet(path)
 
+    def name(address: Column) -> Column:
+        return site_key(address) if by_site_key else address
+
     home = seeds.select(
-        domain_strict(F.col("url")).alias("host"), page_address(F.col("url"), ignore_queries).alias("url")
+        domain_strict(F.col("url")).alias("host"), name(page_address(F.col("url"), ignore_queries)).alias("url")
     )
     level = keep(home.filter(F.col("host").isNotNull()).distinct(), 1)
-    edges = written(page_links(pages, ignore_queries), "links") if depth != 1 else None
+    if depth != 1:
+        links = page_links(pages, ignore_queries)
+        named = links.select("host", name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
+        edges = written(named.distinct() if by_site_key else links, "links")
     hop = 1
     while (depth < 0 or hop < depth) and not level.isEmpty():
         hop += 1

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 # Spark trims every group to its first rows before the shuffle when a rank is
 # compared with a value up to this size (its window group limit).
 GROUP_LIMIT = 1000
-SAMPLE_ROWS = 20_000
-# Slice bounds become constants of the plan, so their number is limited; a
-# slice that outgrows memory is sorted on disk.
-MAX_SLICES = 400
+# A page that ends within so many rows is sorted in one task.
+PAGE_ROWS = 10_000
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -53,25 +53,23 @@ def _trimmed(df: DataFrame, keys: list[str], order: list[str | Column], n: int)
 def row_numbers(
     df: DataFrame, order: list[str | Column], number_col: str, slices: int | None = None
 ) -> DataFrame:
-    """1, 2, 3, ... over a total order, with no window over all rows.
+    """1, 2, 3, ... over a total order, ascending or descending, with no window over all rows.
 
-    A sample gives slice bounds, which become constants of the plan; rows are
-    numbered inside their slice and shifted by the sizes of the slices before.
-    Any bounds give the same numbers, so the sample need not be repeatable.
-    The order must be total, nulls first.
+    Rows are dealt into slices by ranges of the order and written once with the
+    number of their slice; they are numbered inside it and shifted by the sizes
+    of the slices before. Any bounds give the same numbers. There are as many
+    slices as shuffle partitions, so they keep their size as a cluster grows.
     """
-    spark = df.sparkSession
-    slices = min(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
-    key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)])
-    keyed = df.withColumn("_key", key)
-    sliced = keyed.withColumn("_slice", _slice_of(keyed, slices))
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = written(dealt, "slices")
 
     # At most one row per slice.
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_slice", F.coalesce(before, F.lit(0)).alias("_before"))
 
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy("_key"))
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
     return (
         sliced.withColumn("_in_slice", within)
         .join(F.broadcast(offsets), "_slice")
@@ -79,31 +77,6 @@ def row_numbers(
     )
 
 
-def _slice_of(keyed: DataFrame, slices: int) -> Column:
-    """Slice number of ``_key``: a balanced comparison with sampled bounds."""
-    total = keyed.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    sample = keyed.select("_key").sample(share, seed=7).orderBy("_key")
-    # Number of sampled rows is about SAMPLE_ROWS whatever the size of the data.
-    drawn = [r["_key"] for r in sample.collect()]
-    wanted = [drawn[len(drawn) * i // slices] for i in range(1, slices)] if drawn else []
-    bounds = list(dict.fromkeys(wanted))
-    kind = keyed.schema["_key"].dataType
-
-    def constant(row) -> Column:
-        # Zone-free timestamps go through text, so no clock zone touches them.
-        texts = [str(v) if isinstance(f.dataType, T.TimestampNTZType) and v else v for v, f in zip(row, kind.fields)]
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(texts, kind.fields)])
-
-    def choose(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("_key") < constant(bounds[mid]), choose(lo, mid)).otherwise(choose(mid + 1, hi))
-
-    return choose(0, len(bounds))
-
-
 def batches(df: DataFrame, order: list[str | Column], batch_size: int) -> DataFrame:
     """Zero-based batch number in queue order."""
     numbered = row_numbers(df, order, "_no")
@@ -112,8 +85,18 @@ def batches(df: DataFrame, order: list[str | Column], batch_size: int) -> DataFr
 
 
 def capped_first(df: DataFrame, order: list[str | Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Skip ``offset`` rows, take ``limit``; 0 or None takes all."""
-    ordered = df.orderBy(*order)
-    if offset:
-        ordered = ordered.offset(offset)
-    return ordered.limit(limit) if limit else ordered
+    """Skip ``offset`` rows, take ``limit``; 0 or None takes all.
+
+    The first PAGE_ROWS rows fit a task. Pages that reach further are cut out
+    by row numbers, so no task holds all rows before them.
+    """
+    if not offset and not limit:
+        return df.orderBy(*order)
+    if limit and offset + limit <= PAGE_ROWS:
+        ordered = df.orderBy(*order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    place = F.col("_place")
+    kept = row_numbers(df, order, "_place").filter(place > offset)
+    if limit:
+        kept = kept.filter(place <= offset + limit)
+    return kept.orderBy("_place").drop("_place")

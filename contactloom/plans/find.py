@@ -54,6 +54,12 @@ def run_log(
     return result
 
 
+def _added(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Found addresses the store lacks; a small batch leaves the store where it is."""
+    batch = written(store.dedupe_first(found, ARRIVAL), "batch")
+    return store.email_rows(store.not_stored(batch, batch.count(), stored))
+
+
 @dataclass(frozen=True)
 class BulkResult:
     found: DataFrame
@@ -85,7 +91,7 @@ def bulk_find(
     if existing and "existing" in companies.columns:
         found = store.merge_existing(found, existing_emails(named), finder.name, 0, as_of)
     found = written(found, "found")
-    added = store.new_email_rows(found, stored, ARRIVAL)
+    added = _added(found, stored)
     log = run_log(named, found, [(0, finder)], track_policy)
     return BulkResult(
         found, added, store.update_methods(companies, log, as_of), reports.run_counts(found, added)
@@ -113,12 +119,12 @@ def complete_workflow(
 ) -> WorkflowResult:
     """Find, store, track, check and count; the new snapshots are returned, not swapped in."""
     found = written(find_emails(companies, registry, as_of, methods), "found")
-    added = store.new_email_rows(found, stored, ARRIVAL)
+    added = _added(found, stored)
     emails = schema.conform(stored, schema.EMAILS).select(*schema.EMAILS.fieldNames()).unionByName(added)
     keys = found.select("company_id", store.storage_key(F.col("email")).alias("email"))
     checked = keys.limit(0)
     if replies is not None:
-        results = checker.check(keys.distinct(), replies)
+        results = written(checker.check(keys.distinct(), replies), "results")
         emails = store.apply_check_results(emails, results, as_of, store.EMAIL_KEY)
         checked = keys.join(results.filter(~F.col("is_error")), store.EMAIL_KEY, "left_semi")
     log = run_log(companies, found, registry.selected(methods), track_policy)
