@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from contactloom.session import new_path
 
-from . import decontaminate, jaccard_join, language_id, line_spread, pieces, quality_rules, secrets, sharding, suffix_dedup, warc
+from . import collocations, decontaminate, jaccard_join, language_id, line_spread, pieces, quality_rules, secrets, sharding
+from . import suffix_dedup, token_files, warc, word_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +98,20 @@ def _(spark, sf):
     done = line_spread.remove_lines(docs)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return done.filter("text is not null").select("doc_id", "n_lines", "n_removed", digest.alias("clean_sha256"))
+
+
+@query("op11_word_runs")
+def _(spark, sf):
+    return word_runs.find_runs(table(spark, sf, "documents"), loop=True)
+
+
+@query("op12_token_files")
+def _(spark, sf):
+    import public_tokenizers
+
+    return token_files.written_ids(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_collocations", collocations.ORACLE)
+def _(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
