@@ -107,7 +107,9 @@ def pages_in_scope(
     Depth 1 is the home page, 2 adds what it links to, -1 follows links until
     nothing new appears. Every hop is written as one partition of a table, and
     all hops before are read back as that table: plans do not grow with depth,
-    and a lost executor costs one hop. A cap keeps the nearest URLs of a host.
+    and a lost executor costs one hop. A cap keeps the nearest URLs of a host:
+    each hop takes what is left of the host's budget, in order of address, and
+    hosts without any are walked no further.
     """
     spark = pages.sparkSession
     root = new_path(spark, "scope")
@@ -124,7 +126,8 @@ def pages_in_scope(
     home = seeds.select(
         domain_strict(F.col("url")).alias("host"), name(page_address(F.col("url"), ignore_queries)).alias("url")
     )
-    level = keep(home.filter(F.col("host").isNotNull()).distinct(), 1)
+    home = home.filter(F.col("host").isNotNull()).distinct()
+    level = keep(top_n_per_group(home, ["host"], ["url"], limit_urls) if limit_urls else home, 1)
     if depth != 1:
         links = page_links(pages, ignore_queries)
         named = links.select("host", name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
@@ -133,12 +136,17 @@ def pages_in_scope(
     while (depth < 0 or hop < depth) and not level.isEmpty():
         hop += 1
         visited = spark.read.schema(layout).parquet(root).select("host", "url")
+        if limit_urls:
+            spent = visited.groupBy("host").agg(F.count(F.lit(1)).alias("_spent")).filter(F.col("_spent") < limit_urls)
+            level = level.join(spent, "host", "left_semi")
         step = (
             level.join(edges.withColumnRenamed("src", "url"), ["host", "url"])
             .select("host", F.col("dst").alias("url"))
             .distinct()
             .join(visited, ["host", "url"], "left_anti")
         )
+        if limit_urls:
+            ranked = top_n_per_group(step, ["host"], ["url"], limit_urls, "_rank").join(spent, "host")
+            step = ranked.filter(F.col("_rank") <= limit_urls - F.col("_spent")).select("host", "url")
         level = keep(step, hop)
-    reached = spark.read.schema(layout).parquet(root)
-    return top_n_per_group(reached, ["host"], ["depth", "url"], limit_urls) if limit_urls else reached
+    return spark.read.schema(layout).parquet(root)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import storage_key
 from ..operators import checks, queues, store
-from ..operators.rank import first_wins
+from ..operators.rank import batches, first_wins
+from ..session import written
 
 
 class Checker(Protocol):
@@ -76,6 +77,43 @@ def check_pipeline(
     return checked_snapshot(emails, replies, as_of, checker, queue)
 
 
+@dataclass(frozen=True)
+class CheckRun:
+    """The new snapshot, and a row for each batch: batch_no, n_queued, n_answered, n_errors."""
+
+    snapshot: DataFrame
+    batches: DataFrame
+
+
+def check_run(
+    emails: DataFrame,
+    replies: DataFrame,
+    as_of: str,
+    batch_size: int,
+    limit: int | None = None,
+    source: str | None = None,
+    max_requests: int | None = None,
+    checker: Checker = ReplyLogChecker(),
+) -> CheckRun:
+    """``check_pipeline`` over a queue dealt into batches, oldest addresses first.
+
+    Batches are numbers, not jobs: all are answered in one join, whatever their
+    size. A batch whose addresses all failed shows in its row. The numbered queue and the results
+    are written once, since snapshot and report read both.
+    """
+    bounds = [n for n in (limit, max_requests) if n]
+    queue = queues.unchecked(emails, min(bounds), source) if bounds else queues.never_checked(emails, source)
+    numbered = written(batches(queue, ["created_at", "id"], batch_size), "check-queue")
+    results = written(checker.check(numbered.drop("batch_no"), replies), "check-results")
+    met = numbered.select(*store.EMAIL_KEY, "batch_no").join(results.select(*store.EMAIL_KEY, "is_error"), store.EMAIL_KEY, "left")
+    report = met.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("n_queued"),
+        F.count("is_error").alias("n_answered"),
+        F.count_if(F.col("is_error")).alias("n_errors"),
+    )
+    return CheckRun(store.apply_check_results(emails, results, as_of, store.EMAIL_KEY), report)
+
+
 def n_checked(snapshot: DataFrame, as_of: str) -> DataFrame:
     """Number of addresses a run marked as checked."""
     return snapshot.agg(F.count_if(F.col("checked_at") == schema.instant(as_of)).alias("n_checked"))

@@ -11,6 +11,8 @@ from ..functions.text import storage_key, strip
 
 # A JSON string, quotes excluded; possessive, so long strings cannot overflow.
 JSON_STRING = r'"((?:[^"\\]++|\\.)*+)"'
+# Numbers that writers of JSON use though JSON has none of them.
+NO_NUMBER = r"-?\b(?:NaN|Infinity)\b"
 # A string that starts with a mark allowed in addresses.
 MARKED = rf"(?m)^[{SPACE}]*[.%+\-][a-zA-Z0-9._%+\-]*@"
 
@@ -38,11 +40,24 @@ def all_strings(body: Column) -> Column:
 def readable(body: Column, document: Column) -> Column:
     """Whether a document counts as JSON.
 
-    The variant parser also refuses repeated keys and very large documents; an
-    object whose keys can be listed to its end is read all the same, by its strings.
+    The variant parser also refuses repeated keys, very large documents and the
+    numbers NaN and Infinity; an object whose keys can be listed to its end, and
+    a list of any size whose items can be counted, is read all the same, by its strings.
+    Only documents the variant parser refuses are looked at again. What has text
+    behind the document is none.
     """
-    listed = F.json_object_keys(body).isNotNull() & F.rtrim(F.right(body, F.lit(64))).endswith("}")
-    return document.isNotNull() | F.coalesce(listed, F.lit(False))
+    bare = F.regexp_replace(F.regexp_replace(body, JSON_STRING, '""'), NO_NUMBER, "0")
+    listed = F.json_object_keys(bare).isNotNull() & F.rtrim(F.right(body, F.lit(64))).endswith("}")
+    counted = F.json_array_length(bare).isNotNull() & F.rtrim(F.right(body, F.lit(64))).endswith("]")
+    return (document.isNotNull() & nothing_behind(body)) | F.coalesce(listed, F.lit(False)) | F.coalesce(counted, F.lit(False))
+
+
+def nothing_behind(body: Column) -> Column:
+    """Whether a document the variant parser reads is all there is: as the only item of a list it makes a list of one.
+
+    An item with text behind it, or a second document, breaks the list.
+    """
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
 
 
 def rejected_results(results: DataFrame, body: str = "body") -> DataFrame:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators.store import EMAIL_KEY, dedupe_first, email_rows, not_stored
+from ..operators.store import EMAIL_KEY, apply_check_results, dedupe_first, email_rows, not_stored, update_methods
 from ..session import written
+from .keyed import KeyedTable
+
+# Buckets of a new keyed table: each should hold some hundred MB in the end.
+BUCKETS = 16
 
 
 def append_companies(df: DataFrame, path: str) -> None:
@@ -44,3 +49,30 @@ def save_bucketed(emails: DataFrame, table: str, path: str, buckets: int) -> Dat
     writer = emails.write.bucketBy(buckets, *EMAIL_KEY).sortBy(*EMAIL_KEY).option("path", path)
     writer.mode("overwrite").saveAsTable(table)
     return emails.sparkSession.table(table)
+
+
+def email_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    """Addresses by (company, address): small batches and updates neither read nor write the rest."""
+    return KeyedTable(spark, path, schema.EMAILS, EMAIL_KEY, buckets)
+
+
+def company_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, path, schema.COMPANIES, ["id"], buckets)
+
+
+def insert_found(table: KeyedTable, found: DataFrame, order: list[str], stream: str | None = None, batch: int = 0) -> DataFrame:
+    """Insert-or-ignore of found addresses; returns what was added. A batch of a stream is taken once."""
+    return table.insert(email_rows(dedupe_first(found, order)), stream, batch)
+
+
+def save_check_results(
+    table: KeyedTable, results: DataFrame, as_of: str, stream: str | None = None, batch: int = 0
+) -> DataFrame:
+    """Check results into the stored addresses they belong to, by natural key; returns the changed rows."""
+    return table.update(results, lambda rows: apply_check_results(rows, results, as_of, EMAIL_KEY), stream, batch)
+
+
+def save_method_runs(table: KeyedTable, runs: DataFrame, as_of: str, stream: str | None = None, batch: int = 0) -> DataFrame:
+    """A log of method runs into the companies it names; returns the changed rows."""
+    keys = runs.select(F.col("company_id").alias("id"))
+    return table.update(keys, lambda rows: update_methods(rows, runs, as_of), stream, batch)

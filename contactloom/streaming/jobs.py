@@ -1,8 +1,10 @@
 """Structured Streaming jobs over arriving files.
 
 The stored table, not stream state, decides what is new, so a repeat is ignored
-for ever and state does not grow. A micro-batch that is retried finds its own
-rows stored and adds nothing.
+for ever and state does not grow. A micro-batch is committed with the name of
+its stream, which is the checkpoint, and its number: replayed after a failure it
+adds nothing, and two streams into one table never store an address twice. Only
+the parts of the table that may hold a batch's keys are read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..operators.finders import StaticFinder
 from ..operators.listing import guess_email
 from ..functions.domains import domain_naive
 from ..functions.text import clean_email
-from ..sources.sinks import insert_new_emails, read_table
+from ..sources.sinks import BUCKETS, email_table, insert_found
 from ..operators.queues import has_real_website
 
 
@@ -48,11 +50,14 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return query
 
 
-def dedupe_into(found: DataFrame, store_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+def dedupe_into(
+    found: DataFrame, store_path: str, checkpoint: str, order: list[str], buckets: int = BUCKETS
+) -> StreamingQuery:
     """Found addresses into the store; (company, address) pairs stored before are ignored."""
+    table = email_table(found.sparkSession, store_path, buckets)
 
-    def each(batch: DataFrame, _: int) -> None:
-        insert_new_emails(batch, store_path, order)
+    def each(batch: DataFrame, n: int) -> None:
+        insert_found(table, batch, order, checkpoint, n)
 
     return run_available(found, checkpoint, each)
 
@@ -63,11 +68,18 @@ def dedupe_within(found: DataFrame, event_time: str, delay: str) -> DataFrame:
 
 
 def enrich_into(
-    companies: DataFrame, store_path: str, checkpoint: str, as_of: str, inline: bool = True, finder: StaticFinder = StaticFinder()
+    companies: DataFrame,
+    store_path: str,
+    checkpoint: str,
+    as_of: str,
+    inline: bool = True,
+    finder: StaticFinder = StaticFinder(),
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Each arriving company gets its role addresses stored, or a single guess when not inline."""
+    table = email_table(companies.sparkSession, store_path, buckets)
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, n: int) -> None:
         if inline:
             rows = finder.find(batch, as_of)
         else:
@@ -88,22 +100,23 @@ def enrich_into(
                 )
                 .filter(F.col("email") != "N/A")
             )
-        insert_new_emails(rows, store_path, ["method_ord", "seq"])
+        insert_found(table, rows, ["method_ord", "seq"], checkpoint, n)
 
     return run_available(companies, checkpoint, each)
 
 
 def poll_into(
-    emails: DataFrame, seen_path: str, checkpoint: str
+    emails: DataFrame, seen_path: str, checkpoint: str, buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Unchecked addresses of arriving snapshots, each handed out once."""
+    """Unchecked addresses of arriving snapshots, each handed out once. ``leases`` hands out again what stays open."""
+    table = email_table(emails.sparkSession, seen_path, buckets)
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, n: int) -> None:
         open_ = batch.filter(F.col("checked_at").isNull())
-        insert_new_emails(open_, seen_path, ["created_at", "id"])
+        insert_found(table, open_, ["created_at", "id"], checkpoint, n)
 
     return run_available(emails, checkpoint, each)
 
 
 def store_contents(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schema.EMAILS)
+    return email_table(spark, path).rows()

@@ -14,12 +14,13 @@ from contactloom.functions import patterns as P
 from contactloom.functions import text as X
 from contactloom.operators import checks, links, listing, queues, rank, reports, store
 from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, StaticFinder
+from contactloom.operators.guarded import GuardedChecker, GuardedFinder
 from contactloom.plans import check as check_plans
 from contactloom.plans import discover as discover_plans
 from contactloom.plans import find as find_plans
 from contactloom.session import new_path, written
 from contactloom.sources import results, sinks, tables
-from contactloom.streaming import jobs
+from contactloom.streaming import jobs, leases
 
 from . import sqltext as S
 from .views import read
@@ -1156,3 +1157,212 @@ def _(spark, sf):
     stream = jobs.file_stream(spark, arriving, emails.schema)
     jobs.poll_into(stream, target, new_path(spark, "progress"))
     return jobs.store_contents(spark, target).select("company_id", "email", "source")
+
+
+@query(
+    "stream_pending_again",
+    "SELECT company_id, email, source, 2 AS attempts FROM emails WHERE checked_at IS NULL AND id % 3 = 1",
+)
+def _(spark, sf):
+    """Three rounds: all open addresses, none while they are leased, and after the lease those no check closed."""
+    arriving = new_path(spark, "arriving-emails")
+    emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
+    target, progress, rounds = new_path(spark, "leases"), new_path(spark, "progress"), []
+
+    def poll(now: str) -> None:
+        stream = jobs.file_stream(spark, arriving, emails.schema)
+        leases.poll_with_leases(stream, target, progress, lambda: now, 3600, lambda handed, _: rounds.append(handed), buckets=4)
+
+    emails.write.parquet(arriving)
+    poll("2024-06-01 00:00:00")
+    emails.limit(0).coalesce(1).write.mode("append").parquet(arriving)
+    poll("2024-06-01 00:59:59")
+    closed = emails.filter("checked_at IS NULL AND id % 3 <> 1").withColumn("checked_at", schema.instant(AS_OF))
+    closed.write.mode("append").parquet(arriving)
+    poll("2024-06-01 01:00:00")
+    return rounds[-1].select("company_id", "email", "source", "attempts")
+
+
+# A table that is changed without being rewritten
+
+CHANGED = f"""SELECT e.company_id, e.email, e.source, e.confidence, e.created_at,
+  CASE WHEN f.id IS NOT NULL AND NOT f.is_error THEN f.is_reachable ELSE e.is_reachable END AS is_reachable,
+  f.records, {FLAG_LIST},
+  CASE WHEN f.is_error THEN f.check_error ELSE e.check_error END AS check_error,
+  CASE WHEN f.id IS NOT NULL THEN {STAMP} ELSE e.checked_at END AS checked_at
+FROM emails e LEFT JOIN flat f ON f.id = e.id AND f.id % 50 IN (7, 8)"""
+
+
+@query("update_delta", CHANGED)
+def _(spark, sf):
+    table = sinks.email_table(spark, new_path(spark, "delta-emails"), 8)
+    table.insert(schema.conform(read(spark, sf, "emails"), schema.EMAILS))
+    flat = checks.flatten_replies(read(spark, sf, "replies"))
+    sinks.save_check_results(table, flat.filter("id % 50 = 7"), AS_OF, "checks", 0)
+    table.compact(["0", "1"])
+    sinks.save_check_results(table, flat.filter("id % 50 IN (7, 8)"), AS_OF, "checks", 1)
+    sinks.save_check_results(table, flat, AS_OF, "checks", 1)  # a replay
+    return table.rows().select(*SNAPSHOT_COLUMNS)
+
+
+@query("update_methods_delta", f"SELECT * FROM ({_tracking_sql('SELECT * FROM runs WHERE company_id % 10 = 3')}) t")
+def _(spark, sf):
+    table = sinks.company_table(spark, new_path(spark, "delta-companies"), 4)
+    table.insert(tracked_companies(spark, sf))
+    sinks.save_method_runs(table, read(spark, sf, "runs").filter("company_id % 10 = 3"), AS_OF)
+    return _tracking(table.rows())
+
+
+@query("insert_keyed", f"SELECT company_id, email, source FROM ({S.first_wins('candidates', 'method_ord, seq')}) t")
+def _(spark, sf):
+    """Three writers, of which the last one's batch arrives twice."""
+    table = sinks.email_table(spark, new_path(spark, "keyed-emails"), 8)
+    found = read(spark, sf, "candidates")
+    for ordinal in (0, 1, 2, 2):
+        sinks.insert_found(table, found.filter(F.col("method_ord") == ordinal), ARRIVAL, "finders", ordinal)
+    return table.rows().select("company_id", "email", "source")
+
+
+# Check runs in batches
+
+
+BUDGETED = "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS no FROM emails WHERE checked_at IS NULL) q WHERE no <= 100"
+
+
+@query(
+    "check_pipeline_budget",
+    f"""SELECT e.company_id, e.email, e.source, e.confidence, e.created_at,
+  CASE WHEN f.id IS NOT NULL AND NOT f.is_error THEN f.is_reachable ELSE e.is_reachable END AS is_reachable,
+  f.records, {FLAG_LIST},
+  CASE WHEN f.is_error THEN f.check_error ELSE e.check_error END AS check_error,
+  CASE WHEN f.id IS NOT NULL THEN {STAMP} ELSE e.checked_at END AS checked_at
+FROM emails e LEFT JOIN ({BUDGETED}) b ON b.id = e.id LEFT JOIN flat f ON f.id = b.id""",
+)
+def _(spark, sf):
+    emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
+    run = check_plans.check_run(emails, read(spark, sf, "replies"), AS_OF, batch_size=30, max_requests=100)
+    return run.snapshot.select(*SNAPSHOT_COLUMNS)
+
+
+@query(
+    "check_run_batches",
+    """SELECT (no - 1) // 40 AS batch_no, count(*) AS n_queued, count(f.id) AS n_answered,
+  count(*) FILTER (f.is_error) AS n_errors
+FROM (SELECT id, row_number() OVER (ORDER BY created_at, id) AS no FROM emails WHERE checked_at IS NULL) b
+LEFT JOIN flat f ON f.id = b.id AND b.id % 5 <> 0 GROUP BY ALL""",
+)
+def _(spark, sf):
+    emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
+    replies = read(spark, sf, "replies").filter("id % 5 <> 0")
+    return check_plans.check_run(emails, replies, AS_OF, batch_size=40).batches
+
+
+@query(
+    "guarded_checker",
+    """SELECT company_id, email, CASE WHEN id % 11 <> 0 THEN 'safe' END AS is_reachable,
+  CASE WHEN id % 11 = 0 THEN concat('ValueError: no answer for ', email) END AS check_error, id % 11 = 0 AS is_error
+FROM emails WHERE checked_at IS NULL""",
+)
+def _(spark, sf):
+    def answer(frame):
+        for email, reply in zip(frame["email"], frame["reply"]):
+            if reply is None:
+                raise ValueError(f"no answer for {email}")
+        return frame[["company_id", "email"]].assign(is_reachable="safe")
+
+    open_ = read(spark, sf, "emails").filter("checked_at IS NULL")
+    replies = open_.select("company_id", "email", F.when(F.col("id") % 11 != 0, F.lit("ok")).alias("reply"))
+    done = GuardedChecker("user", answer).check(open_, replies)
+    return done.select("company_id", "email", "is_reachable", "check_error", "is_error")
+
+
+# Finders of users, odd documents, bounded site visits
+
+
+@query(
+    "guarded_finder",
+    """SELECT id AS company_id, CASE WHEN id % 7 <> 0 THEN concat('sales@c', id, '.example.com') END AS email,
+  CASE WHEN id % 7 = 0 THEN concat('ValueError: company ', id) END AS error
+FROM companies_big""",
+)
+def _(spark, sf):
+    def find(frame):
+        if (frame["id"] % 7 == 0).any():
+            raise ValueError(f"company {frame['id'].iloc[0]}")
+        return frame.assign(company_id=frame["id"], email=[f"sales@c{i}.example.com" for i in frame["id"]], confidence=0.5)
+
+    companies = read(spark, sf, "companies_big")
+    finder = GuardedFinder("user", find)
+    found = finder.find(companies, AS_OF, 0).select("company_id", "email", F.lit(None).cast("string").alias("error"))
+    return found.unionByName(finder.errors(companies).select("company_id", F.lit(None).cast("string").alias("email"), "error"))
+
+
+@query("emails_from_odd_json", "SELECT company_id, email FROM odd_tokens")
+def _(spark, sf):
+    return results.emails_from_results(read(spark, sf, "result_json_odd"), ["company_id"])
+
+
+def _site_sql(reached: str) -> str:
+    return f"""SELECT DISTINCT d.company_id, a.email, d.domain FROM company_domains d JOIN (
+  SELECT k.host, unnest({S.strict_tokens('k.html')}) AS email FROM page_keys k JOIN {reached} r ON r.host = k.host AND r.key = k.key
+) a ON d.domain = a.host"""
+
+
+def _site(spark, sf, **limits) -> DataFrame:
+    found = SiteFinder(read(spark, sf, "pages"), **limits).find(tracked_companies(spark, sf), AS_OF)
+    return found.select("company_id", "email", F.col("metadata")["domain"].alias("domain"))
+
+
+@query("site_emails_depth1", _site_sql("site_roots"))
+def _(spark, sf):
+    return _site(spark, sf, depth=1)
+
+
+@query("site_emails_capped", _site_sql("(SELECT * FROM site_reached WHERE place <= 4)"))
+def _(spark, sf):
+    return _site(spark, sf, depth=2, limit_urls=4)
+
+
+# Bulk runs of the other methods
+
+
+def _bulk_sql(method: str, found: str, confidence: str) -> str:
+    return f"""SELECT * FROM (WITH queue AS (SELECT * FROM companies WHERE {S.REAL_WEBSITE} AND NOT {S.done('email_methods_completed', method)}),
+own AS (SELECT company_id, email FROM {found} WHERE company_id IN (SELECT id FROM queue)),
+every AS (SELECT company_id, email, '{method}' AS source, {confidence}::DOUBLE AS confidence, 0 AS seq FROM own
+UNION ALL SELECT e.company_id, e.email, 'existing', 0.95, e.place + 1000000 FROM existing_rows e
+WHERE e.company_id IN (SELECT id FROM queue) AND NOT EXISTS (
+  SELECT 1 FROM own s WHERE s.company_id = e.company_id AND lower(s.email) = lower(e.email)))
+SELECT company_id, email, source, confidence FROM ({S.first_wins('every', 'seq')}) f
+WHERE NOT EXISTS (SELECT 1 FROM stored_emails s WHERE s.company_id = f.company_id AND s.email = f.email)) t"""
+
+
+@query("bulk_find_harvester", _bulk_sql("harvester", "harvest_found", "0.8"))
+def _(spark, sf):
+    finder = HarvestFinder(read(spark, sf, "result_json"))
+    done = find_plans.bulk_find(tracked_companies(spark, sf), read(spark, sf, "stored_emails"), finder, AS_OF)
+    return done.added.select("company_id", "email", "source", "confidence")
+
+
+@query("bulk_find_site", _bulk_sql("scraper", "site_found", "0.9"))
+def _(spark, sf):
+    finder = SiteFinder(read(spark, sf, "pages"))
+    done = find_plans.bulk_find(tracked_companies(spark, sf), read(spark, sf, "stored_emails"), finder, AS_OF)
+    return done.added.select("company_id", "email", "source", "confidence")
+
+
+@query(
+    "bulk_find_mapped",
+    f"""SELECT company_id, email, 'static' AS source, confidence FROM ({S.first_wins(
+        '(' + S.static_rows('(SELECT * FROM companies_big WHERE id % 4 <> 1)', 0.7, 8, S.smart_choice(), 'p.ord') + ') m', 'seq')}) f
+WHERE NOT EXISTS (SELECT 1 FROM stored_emails s WHERE s.company_id = f.company_id AND s.email = f.email)""",
+)
+def _(spark, sf):
+    big = read(spark, sf, "companies_big").select(
+        F.col("id").alias("nr"), F.col("name").alias("firm"), F.col("website").alias("site"),
+        F.when(F.col("id") % 4 == 1, '["static"]').alias("done"),
+    )
+    names = {"id": "nr", "name": "firm", "website": "site", "email_methods_completed": "done"}
+    mapped = tables.map_companies(big, names, tracking=True)
+    done = find_plans.bulk_find(mapped, read(spark, sf, "stored_emails"), StaticFinder(), AS_OF)
+    return done.added.select("company_id", "email", "source", "confidence")

@@ -289,6 +289,25 @@ SELECT DISTINCT company_id, email FROM (
   UNION ALL SELECT company_id, lower(json_extract_string(body, '$.email')) FROM result_json
   UNION ALL SELECT company_id, lower(unnest(json_extract_string(body, '$.people[*].email'))) FROM result_json) t
 WHERE {email_basic('email')}""",
+    "odd_tokens": f"""
+SELECT DISTINCT company_id, email FROM (
+  SELECT company_id, unnest({tokens('body')}) AS email FROM result_json_odd WHERE doc_id % 4 <> 3) t
+WHERE {email_basic('email')}""",
+    "page_keys": f"""
+SELECT *, concat(host, regexp_extract(address, '^[^:]+://[^/?#]*(.*)', 1)) AS key FROM (
+  SELECT *, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)$', '\\1/') AS address FROM page_hosts) t
+WHERE host IS NOT NULL""",
+    "site_roots": """
+SELECT host, key FROM (SELECT host, key, row_number() OVER (PARTITION BY host
+  ORDER BY len(string_split(key, '/')), length(key), key, url) AS rn FROM page_keys) t WHERE rn = 1""",
+    "site_links": f"""
+SELECT DISTINCT host, concat(host, regexp_extract(src, '^[^:]+://[^/?#]*(.*)', 1)) AS src,
+  concat(host, regexp_extract(regexp_replace(dst, '^(https?://[^/]+)$', '\\1/'), '^[^:]+://[^/?#]*(.*)', 1)) AS dst FROM links""",
+    "site_reached": """
+SELECT host, key, row_number() OVER (PARTITION BY host ORDER BY depth, key) AS place FROM (
+  SELECT host, key, 1 AS depth FROM site_roots
+  UNION ALL SELECT DISTINCT r.host, l.dst, 2 FROM site_roots r JOIN site_links l ON l.host = r.host AND l.src = r.key
+  WHERE l.dst <> r.key) t""",
     "page_hosts": f"SELECT page_id, url, html, {domain_strict('url')} AS host FROM pages",
     "site_addresses": f"""
 SELECT DISTINCT host, email FROM (SELECT host, unnest({strict_tokens('html')}) AS email FROM page_hosts) t""",

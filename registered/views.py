@@ -72,6 +72,14 @@ FROM events""",
 SELECT event_id AS doc_id, user_id AS company_id,
   concat('{"emails": ["', event_type, '@U', user_id, '.example.com", "bad"], "people": [{"email": "p', event_id,
     '@x.example.org"}], "email": "a..b@c.com"}') AS body
+FROM events""",
+    "result_json_odd": """
+SELECT event_id AS doc_id, user_id AS company_id,
+  CASE event_id % 4
+    WHEN 0 THEN concat('[{"score": NaN, "email": "n', event_id, '@nan.example.com"}, -Infinity]')
+    WHEN 1 THEN concat('["', event_type, '@list', user_id, '.example.com", ["deep', event_id, '@x.example.org"]] ')
+    WHEN 2 THEN concat('{"email": "first', event_id, '@twice.example.com", "email": "second@twice.example.com", "x": Infinity}')
+    ELSE concat('["broken@b', event_id, '.example.com", NaN') END AS body
 FROM events""",
     "bench_candidates": """
 SELECT l_partkey AS company_id, concat('s', l_suppkey, '@p', l_partkey, '.example.com') AS email,
