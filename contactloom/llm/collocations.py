@@ -32,7 +32,9 @@ from .vocabulary import Words
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNDETERMINED = "und"
 # Phrases a task holds in its filter before it hands on segments; occurrences gathered before they are added.
-SLOTS, GATHERED = 1 << 20, 1 << 19
+SLOTS, GATHERED = 1 << 19, 1 << 18
+# Different words a task remembers.
+REMEMBERED = 400_000
 # Bits of a quotient; segments of a filter; counters up to this value take one byte.
 QUOTIENT, SEGMENTS, SMALL = 16, 1 << 10, 255
 # Bits of the array of frequent parts: so many for each, within these bounds.
@@ -73,8 +75,10 @@ class Texts:
     def __init__(self, seed: int):
         self.vocabulary, self.seed, self.languages = Words(), seed, {}
 
-    def of(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], list[str]]:
-        """(ids, whether it is a word, words, language of each text); texts end with a break."""
+    def of(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, whether it is a word) of all texts of a batch; each text ends with a break."""
+        if len(self.vocabulary.number) > REMEMBERED:
+            self.vocabulary = Words()
         languages = [UNDETERMINED if x is None else x for x in part.column("lang").to_pylist()]
         words: list[bytes] = []
         sizes = []
@@ -84,13 +88,14 @@ class Texts:
             words += found
             sizes.append(len(found))
         numbers = self.vocabulary.numbers(words)
-        salts = np.repeat(np.array([self._salt(x) for x in languages], np.uint64), sizes)
+        salts = np.repeat(np.array([self.salt(x) for x in languages], np.uint64), sizes)
         ids = mixed(self.vocabulary.hashes[numbers] ^ salts)
-        return ids, numbers != self.vocabulary.number.get(b"\xff"), words, languages
+        return ids, numbers != self.vocabulary.number[b"\xff"]
 
-    def _salt(self, language: str) -> int:
+    def salt(self, language: str) -> int:
         if language not in self.languages:
-            self.languages[language] = xxhash.xxh3_64_intdigest(language.encode("utf-8", "surrogatepass"), self.seed)
+            # Seeds differ from that of words, since a word may be the name of a language.
+            self.languages[language] = xxhash.xxh3_64_intdigest(language.encode(), self.seed + 1)
         return self.languages[language]
 
 
@@ -100,32 +105,32 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         texts = Texts(seed)
-        counts: dict[tuple, int] = {}
+        # Per language a count for every number of the vocabulary.
+        counts: dict[str, np.ndarray] = {}
 
         def rows():
-            langs, words = zip(*counts)
-            numbers = texts.vocabulary.numbers(list(words))
-            salts = np.array([texts._salt(x) for x in langs], np.uint64)
-            ids = mixed(texts.vocabulary.hashes[numbers] ^ salts).view(np.int64)
-            columns = (langs, [w.decode() for w in words], ids, list(counts.values()))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+            words = list(texts.vocabulary.number)
+            for language, found in counts.items():
+                at = np.flatnonzero(found)
+                ids = mixed(texts.vocabulary.hashes[at] ^ np.uint64(texts.salt(language))).view(np.int64)
+                columns = ([language] * len(at), [words[i].decode() for i in at.tolist()], ids, found[at])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
+                if len(texts.vocabulary.number) > REMEMBERED:
+                    yield from rows()
+                    counts.clear()
+                    texts.vocabulary = Words()
                 languages = [UNDETERMINED if x is None else x for x in part.column("lang").to_pylist()]
                 for language in set(languages):
                     own = [t for t, x in zip(utf8(part.column("text")), languages) if x == language]
-                    found = [w for t in own for w in pieces(t) if w != b"\xff"]
-                    numbers = texts.vocabulary.numbers(found)
-                    some, first, n = np.unique(numbers, return_index=True, return_counts=True)
-                    for at, m in zip(first.tolist(), n.tolist()):
-                        key = (language, found[at])
-                        counts[key] = counts.get(key, 0) + m
-                if len(counts) > SLOTS:
-                    yield rows()
-                    counts.clear()
-        if counts:
-            yield rows()
+                    numbers = texts.vocabulary.numbers([w for t in own for w in pieces(t) if w != b"\xff"])
+                    found = np.bincount(numbers, minlength=len(texts.vocabulary.number))
+                    before = counts.get(language, found[:0])
+                    found[: len(before)] += before
+                    counts[language] = found
+        yield from rows()
 
     rows = docs.mapInArrow(run, "lang string, word string, id long, f long")
     return written(rows.groupBy("lang", "word", "id").agg(F.sum("f").alias("f")), "collocation-words")
@@ -300,7 +305,7 @@ def filters(docs: DataFrame, seed: int, k: int, given, bits: int) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids, is_word, _, _ = texts.of(part)
+                ids, is_word = texts.of(part)
                 n = len(ids) - k + 1
                 if n < 1:
                     continue

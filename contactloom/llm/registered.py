@@ -39,7 +39,7 @@ def _(spark, sf):
 @query("op2_language_id")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    model = language_id.fit(language_id.training_rows(docs))
+    model = language_id.fit_documents(docs)
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -10,6 +10,7 @@ order and says how many ids lie before each part of them.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import json
@@ -39,9 +40,10 @@ MAGIC, SUFFIX, MANIFEST = b"HUFFIDS1", ".ids", "_manifest-"
 LONGEST, EVERY = 20, 64
 # Ids after which a block ends, with the document they belong to; bytes of a file read by one task.
 BLOCK_IDS, PART_BYTES = 1 << 17, 32 << 20
-# Different pieces of text whose ids a process remembers.
-REMEMBERED = 500_000
+# Different words whose ids a process remembers.
+REMEMBERED = 1_000_000
 END_ID = 0
+NO_TEXT = b""
 _BLOCK = struct.Struct("<IQQIII")
 COLUMNS = "doc_id long, start long, n_tokens long, ids binary"
 LAYOUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -91,7 +93,7 @@ class Code:
         places = np.cumsum(share) - share
         self.words = np.zeros(len(self.lengths), np.uint64)
         self.words[order] = (places >> (self.most - sizes)).astype(np.uint64)
-        self._order, self._share = order, share
+        self._order, self._share, self._sizes = order, share, self.lengths.astype(np.int64)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Id and bits of the word that the next ``most`` bits begin with."""
@@ -103,23 +105,27 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """64-bit words, the bit offset of every EVERY-th id, and the number of bits."""
-        sizes, words = self.lengths[ids].astype(np.int64), self.words[ids]
+        sizes, words = self._sizes[ids], self.words[ids]
         if len(ids) and not sizes.all():
             raise ValueError("an id without a code word")
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ids) else 0
         out = np.zeros(total // 64 + 1, np.uint64)
-        if total:
-            starts = ends - sizes
-            cell, room = starts >> 6, 64 - (starts & 63) - sizes
-            over = room < 0
-            high = np.where(over, words >> (-room * over).astype(np.uint64), words << (room * ~over).astype(np.uint64))
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            out[cell[first]] = np.bitwise_or.reduceat(high, first)
-            # No cell takes more than one word's rest.
-            out[cell[over] + 1] |= words[over] << (64 + room[over]).astype(np.uint64)
-            return out, starts[::EVERY], total
-        return out, np.zeros(0, np.int64), 0
+        if not total:
+            return out, np.zeros(0, np.int64), 0
+        starts = ends - sizes
+        cell = starts >> 6
+        room = 64 - (starts & 63) - sizes
+        over = np.flatnonzero(room < 0)
+        late, rest = words[over], (-room[over]).astype(np.uint64)
+        room[over] = 0
+        high = words << room.astype(np.uint64)
+        high[over] = late >> rest
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        out[cell[first]] = np.bitwise_or.reduceat(high, first)
+        # No cell takes more than one word's rest.
+        out[cell[over] + 1] |= late << (np.uint64(64) - rest)
+        return out, starts[::EVERY], total
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
@@ -350,48 +356,68 @@ class Tokens:
         self.within = re.compile(rf"(?<=[{self.LETTERS}])(?=[{self.SIGNS}])|(?<=\S\n)(?=[{self.LETTERS}])")
         # Strings that stand for one id of their own, whatever is around them.
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Ids of what follows a space, None where that is no text of its own; ids of its pieces.
-        self.known: dict[str, bytes | None] = {}
+        # Ids of what follows a space, NO_TEXT where that is no text of its own; ids of pieces that follow something else.
+        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned integers of ``dtype``; a first space is one of its own."""
-        for kept in (self.known, self.pieces):
-            if len(kept) > REMEMBERED:  # what came first comes most often
-                for key in list(itertools.islice(kept, REMEMBERED // 2, None)):
+        for kept, most in ((self.known, REMEMBERED), (self.pieces, REMEMBERED // 4)):
+            if len(kept) > most:  # what came first comes most often
+                for key in list(itertools.islice(kept, most // 2, None)):
                     del kept[key]
-        known = self.known
+        get = self.known.get
         cut = [t.split(" ") for t in texts]
-        fresh = set().union(*(parts[1:] for parts in cut)).difference(known)
-        alone = [p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(fresh))
-        known.update(zip(alone, self._ids([" " + p for p in alone])))
-        out = [self._joined(known, parts) for parts in cut]
+        found = [list(map(get, parts[1:])) for parts in cut]
+        self._learn({p for parts, ids in zip(cut, found) if None in ids for p, i in zip(parts[1:], ids) if i is None})
+        out = [self._joined(parts, ids) for parts, ids in zip(cut, found)]
         first = self._ids([parts[0] if done is not None else "" for parts, done in zip(cut, out)])
         return [head + done if done is not None else self._slowly(t) for head, done, t in zip(first, out, texts)]
 
-    @staticmethod
-    def _joined(known: dict, parts: list[str]) -> bytes | None:
+    def _joined(self, parts: list[str], ids: list[bytes | None]) -> bytes | None:
+        """None where white space is longer than one space."""
         if parts[0][-1:].isspace() or (len(parts) > 1 and not parts[0]):
             return None
-        try:
-            return b"".join(map(known.__getitem__, parts[1:]))
-        except TypeError:
-            return None
+        if None in ids:
+            ids = [self.known[p] if i is None else i for p, i in zip(parts[1:], ids)]
+        return None if NO_TEXT in ids else b"".join(ids)
 
     def _slowly(self, text: str) -> bytes:
         """Texts with longer white space are cut at single spaces only."""
         first, *rest = self.apart.split(text)
         return b"".join(self._ids([first, *[" " + p for p in rest]]))
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
+    def _cut(self, chunk: str) -> list[str]:
+        return [chunk] if any(t in chunk for t in self.special) else self.within.split(chunk)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of all that follow a space: a word by itself, others from the word they begin with and the pieces after it."""
+        known = self.known
+        alone = {p for p in chunks if p.isalpha()}
+        rest = [p for p in chunks if p and p not in alone and not p[0].isspace() and not p[-1].isspace()]
+        known.update(dict.fromkeys(chunks, NO_TEXT))
+        cut = {p: self._cut(" " + p) for p in rest}
+        alone.update(parts[0][1:] for parts in cut.values())
+        words = [p for p in alone if not known.get(p)]
+        self._ask(known, words, [" " + p for p in words])
+        self._ids([q for parts in cut.values() for q in parts[1:]], whole=True)
+        pieces = self.pieces
+        for p, parts in cut.items():
+            if len(parts) > 1:
+                known[p] = b"".join([known[parts[0][1:]], *[pieces[q] for q in parts[1:]]])
+
+    def _ask(self, kept: dict, keys: list[str], texts: list[str]) -> None:
+        """One question to the library for every text."""
+        kind = "H" if self.dtype == "<u2" else "I"
+        for at in range(0, len(keys), 10_000):
+            found = self.library.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
+            kept.update(zip(keys[at : at + 10_000], [array.array(kind, e.ids).tobytes() for e in found]))
+
+    def _ids(self, chunks: list[str], whole: bool = False) -> list[bytes]:
         pieces = self.pieces
-        cut = [[c] if any(t in c for t in self.special) else self.within.split(c) for c in chunks]
+        cut = [[c] if whole else self._cut(c) for c in chunks]
         fresh = list({p for parts in cut for p in parts if p not in pieces})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            pieces.update(zip(some, [np.array(e.ids, self.dtype).tobytes() for e in found]))
+        self._ask(pieces, fresh, fresh)
         return [b"".join([pieces[p] for p in parts]) for parts in cut]
 
 
