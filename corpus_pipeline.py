@@ -34,7 +34,7 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a language's centroids; rejected ones, null and letterless texts go."""
     held, back = _aside(docs)
-    model = language_id.fit(language_id.training_rows(held))
+    model = language_id.fit_documents(held)
     return back(language_id.identify(held, model).filter("not rejected"))
 
 
