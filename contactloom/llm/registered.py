@@ -61,13 +61,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "warc")
     warc.save_pages(table(spark, sf, "pages"), path)
-    return warc.load(spark, path, payload=False).select(
-        warc.page_of(F.col("record_id")).alias("page_id"),
-        F.col("payload_length").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        warc.page_of(F.col("refers_to")).alias("refers_to"),
-    )
+    return warc.page_payloads(spark, path)
 
 
 @query("op6_sharding", sharding.ORACLE)

@@ -32,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from contactloom.session import new_path
 
 from .batches import arrow_schema, one_column, slices
-from .warc import filesystem
+from .warc import filesystem, qualified
 
 FORMAT = "token_huffman"
 MAGIC, SUFFIX, MANIFEST = b"HUFFIDS1", ".ids", "_manifest-"
@@ -485,6 +485,7 @@ def save_ids(documents: DataFrame, path: str, model: str, end_id: int = END_ID,
     docs = one_column(documents, "doc_id", "text")
     spark = docs.sparkSession
     register(spark)
+    path = qualified(spark, path)
     plain = new_path(spark, "plain-ids")
     tokenized(docs, model, end_id).write.option("compression", "zstd").parquet(plain)
     ids = spark.read.parquet(plain)
@@ -504,7 +505,7 @@ def save_ids(documents: DataFrame, path: str, model: str, end_id: int = END_ID,
 def load_ids(spark: SparkSession, path: str) -> DataFrame:
     """COLUMNS of every document under ``path``: ``start`` ids lie before it; ``ids`` in four little-endian bytes each."""
     register(spark)
-    return spark.read.format(FORMAT).load(path)
+    return spark.read.format(FORMAT).load(qualified(spark, path))
 
 
 def written_ids(documents: DataFrame, model: str) -> DataFrame:

@@ -5,12 +5,16 @@ the extra field ``sl``, so a reader that needs no more than the headers inflates
 the beginning of a member and steps to the next. Files are partitions.
 Predicates on record type and other header columns are pushed down and judged
 on the parsed headers, before a payload is inflated.
+
+Archives of other writers are read as a stream: members without a length or with
+several records, and files that are not compressed, where unwanted blocks are
+inflated piece by piece, or stepped over, and never held.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 import struct
 import urllib.parse
 import uuid
@@ -33,8 +37,14 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from contactloom.session import written
+
+from .hot import join_counted
+
 FORMAT = "warc"
-SUFFIX = ".warc.gz"
+SUFFIX, PLAIN = ".warc.gz", ".warc"
+# Names of this writer's files: the write they belong to, then their own.
+OWN_FILE = re.compile(r"part-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz")
 # A task starts another file beyond this size, so that readers get enough partitions.
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
@@ -53,8 +63,16 @@ INPUT = "record_id string, record_type string, target_uri string, refers_to stri
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a path or URI, and the path in it."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The store of a URI, and the path in it. Without a scheme only Spark knows the store: see ``qualified``."""
+    if "://" not in path and not path.startswith("file:"):
+        raise ValueError(f"{path} names no store: use load and save_pages, or a path such as file:{path}")
+    return pafs.FileSystem.from_uri(path.replace(" ", "%20"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store; one without a scheme lies in Spark's default store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 # ---- records
@@ -95,21 +113,29 @@ def _header_safe(value: str) -> str:
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
+    """Names in lower case; values of a name that repeats are joined by a comma and a blank."""
     out: dict[str, str] = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            out[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
 @dataclass
 class Record:
-    """Headers, and how to get at the rest of the member."""
+    """Headers of the record and of its HTTP message, if it holds one; ``payload`` where it was asked for."""
 
     headers: dict[str, str]
-    http: dict[str, str]
-    block: bytes | None
+    http: dict[str, str] | None
+    payload: bytes | None = None
+
+    @property
+    def size(self) -> int:
+        """Bytes of the block."""
+        length = self.headers.get("content-length", "")
+        return int(length) if length.isdigit() else 0
 
     def value(self, column: str):
         h = self.headers
@@ -123,9 +149,19 @@ class Record:
             return h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None
         if column == "payload_digest":
             name, _, digest = h.get("warc-payload-digest", "").partition(":")
-            return base64.b32decode(digest).hex() if name == "sha1" and digest else None
-        length = self.http.get("content-length")
-        return int(length) if length and length.isdigit() else None
+            return _hex_digest(digest) if name.lower() == "sha1" and digest else None
+        if self.http is None:
+            return self.size
+        length = self.http.get("content-length", "")
+        return int(length) if length.isdigit() else None
+
+
+def _hex_digest(digest: str) -> str | None:
+    """SHA-1 in base 32 or in hex; None where it is neither."""
+    try:
+        return (bytes.fromhex(digest) if len(digest) == 40 else base64.b32decode(digest.upper())).hex()
+    except ValueError:
+        return None
 
 
 class _Buffered:
@@ -142,63 +178,170 @@ class _Buffered:
         return self.held[at - self.start : at - self.start + n]
 
 
-def read_file(file, wanted, with_payload: bool) -> Iterator[Record]:
-    """The records of one file. ``wanted`` judges a record by its headers; others are stepped over."""
-    source, at = _Buffered(file), 0
-    while at < source.size:
-        length = _member_length(source.get(at, 24))
-        whole = None
-        if length is None:
-            whole, length = _unsized(source, at)
+class _Stream:
+    """The bytes of a plain file, or of gzip members one after the other, read forwards. Holds what was looked at and not yet taken."""
+
+    def __init__(self, source: _Buffered, at: int, plain: bool):
+        self.source, self.at, self.plain = source, at, plain
+        self.engine = None
+        self.held = bytearray()
+
+    def _more(self) -> bool:
+        """Some more bytes into ``held``; False at the end."""
+        if self.at >= self.source.size and not (self.engine and self.engine.unconsumed_tail):
+            if self.engine is not None and not self.engine.eof:
+                raise ValueError("the archive ends within a record")
+            return False
+        if self.plain:
+            part = self.source.get(self.at, READ_BYTES)
+            self.at += len(part)
+            self.held += part
+            return True
+        if self.engine is None or self.engine.eof:
+            self.engine = zlib.decompressobj(31)
+        part = self.engine.unconsumed_tail
+        if not part:
+            part = self.source.get(self.at, READ_BYTES)
+            self.at += len(part)
+        self.held += self.engine.decompress(part, READ_BYTES)
+        if self.engine.eof:
+            self.at -= len(self.engine.unused_data)
+        return True
+
+    def until(self, mark: bytes) -> int:
+        """Place of ``mark`` in the bytes ahead, -1 where the end comes first."""
+        seen = 0
+        while (found := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if not self._more():
+                return -1
+        return found
+
+    def ahead(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        return bytes(self.held[:n])
+
+    def skip(self, n: int) -> None:
+        """A plain file is stepped over; a member is inflated and forgotten."""
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if self.plain:
+                self.at += n
+                return
+            if not self._more():
+                return
+        del self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.ahead(n)
+        self.skip(len(out))
+        return out
+
+
+def _http_end(block: bytes) -> int:
+    """Where the payload begins in an HTTP message; -1 where the block is none, or its head is not complete yet."""
+    if not block.startswith(b"HTTP/"):
+        return -1
+    end = block.find(b"\r\n\r\n")
+    return end + 4 if end >= 0 else -1
+
+
+def stream_records(source: _Buffered, at: int, plain: bool, wanted, with_payload: bool) -> Iterator[Record]:
+    """All records from ``at`` to the end of the file."""
+    stream = _Stream(source, at, plain)
+    while True:
+        while stream.ahead(2) in (b"\r\n", b"\n\n"):
+            stream.skip(2)
+        end = stream.until(b"\r\n\r\n")
+        if end < 0:
+            if stream.held.strip():
+                raise ValueError("the archive ends within a record")
+            return
+        head = parse_headers(stream.take(end + 4))
+        record = Record(head, None)
         n = HEAD_BYTES
         while True:
-            head = whole if whole is not None else _inflate(source.get(at, min(length, n)), n)
-            end = head.find(b"\r\n\r\n")
-            http_end = head.find(b"\r\n\r\n", end + 4) if end >= 0 else -1
-            if http_end >= 0 or whole is not None or n >= 1 << 30:
+            block = stream.ahead(min(record.size, n))
+            body = _http_end(block)
+            if body >= 0 or len(block) == record.size or not block.startswith(b"HTTP/"):
                 break
             n *= 4
-            if n > 4 * length * 1100:  # deflate never grows by more: all of it has been seen
-                break
-        found = Record(parse_headers(head[:end]), parse_headers(head[end + 4 : http_end]) if http_end >= 0 else {}, None)
-        if wanted(found):
-            if with_payload:
-                raw = whole if whole is not None else _inflate(source.get(at, length), 0)
-                body = int(found.headers.get("content-length", 0))
-                found.block = raw[end + 4 : end + 4 + body]
-            yield found
-        at += length
-
-
-def _member_length(head: bytes) -> int | None:
-    """From the extra field; None where there is none."""
+        if body >= 0:
+            record.http = parse_headers(block[:body])
+        if not wanted(record):
+            stream.skip(record.size)
+            continue
+        if with_payload:
+            record.payload = stream.take(record.size)[max(0, body) :]
+        else:
+            stream.skip(record.size)
+        yield record
+
+
+def read_file(file, wanted, with_payload: bool, plain: bool = False) -> Iterator[Record]:
+    """The records of one file. ``wanted`` judges a record by its headers; others are stepped over."""
+    source, at = _Buffered(file), 0
+    if plain:
+        yield from stream_records(source, 0, True, wanted, with_payload)
+        return
+    while at < source.size:
+        sizes = _member_sizes(source.get(at, 24))
+        found = _sized_record(source, at, *sizes, wanted, with_payload) if sizes else None
+        if found is None:
+            # Not one record with its length: the rest is read as a stream.
+            yield from stream_records(source, at, False, wanted, with_payload)
+            return
+        if found[0]:
+            yield found[1]
+        at += sizes[0]
+
+
+def _sized_record(source: _Buffered, at: int, length: int, whole: int, wanted, with_payload: bool):
+    """(wanted, record) of a member that holds ``whole`` bytes; None where that is not one record exactly."""
+    n = HEAD_BYTES
+    while True:
+        head = _inflate(source.get(at, min(length, n)), n)
+        end = head.find(b"\r\n\r\n")
+        record = Record(parse_headers(head[:end]), None) if end >= 0 else None
+        body = _http_end(head[end + 4 :]) if record else -1
+        begun = b"HTTP/".startswith(head[end + 4 : end + 9]) if record else True
+        if len(head) >= whole or body >= 0 or not begun or n > 1 << 30:
+            break
+        n *= 4
+    if record is None or (end + 4 + record.size + 4) & 0xFFFFFFFF != whole:
+        return None
+    if body >= 0:
+        record.http = parse_headers(head[end + 4 : end + 4 + body])
+    if not wanted(record):
+        return False, record
+    if with_payload:
+        raw = _inflate(source.get(at, length), 0)
+        record.payload = raw[end + 4 + max(0, body) : end + 4 + record.size]
+    return True, record
+
+
+def _member_sizes(head: bytes) -> tuple[int, int] | None:
+    """Compressed and plain length from the extra field; None where there is none."""
     if len(head) < 24 or head[:2] != b"\x1f\x8b" or not head[3] & 4 or head[12:14] != b"sl":
         return None
-    return struct.unpack("<I", head[16:20])[0] or None
+    sizes = struct.unpack("<II", head[16:24])
+    return sizes if sizes[0] else None
 
 
 def _inflate(data: bytes, most: int) -> bytes:
     return zlib.decompressobj(31).decompress(data, most)
 
 
-def _unsized(source: _Buffered, at: int) -> tuple[bytes, int]:
-    """A member of another writer: it has to be inflated to find its end."""
-    engine, out, used = zlib.decompressobj(31), [], 0
-    while not engine.eof:
-        part = source.get(at + used, min(READ_BYTES, source.size - at - used))
-        if not part:
-            raise ValueError("the archive ends within a record")
-        out.append(engine.decompress(part))
-        used += len(part) - len(engine.unused_data)
-    return b"".join(out), used
-
-
 # ---- data source
 
 
 @dataclass
 class FilePartition(InputPartition):
-    path: str
+    """A file by its place in the folder; None where there is none."""
+
+    inside: str | None
 
 
 @dataclass
@@ -243,35 +386,36 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         store, path = filesystem(self.path)
         if store.get_file_info(path).type == pafs.FileType.File:
-            return [FilePartition(self.path)]
-        listed = store.get_file_info(pafs.FileSelector(path))
-        names = sorted(i.base_name for i in listed if i.base_name.endswith(SUFFIX))
-        # Where writers have committed, only their files count, not those of lost attempts.
-        committed = [i.base_name for i in listed if i.base_name.startswith("_files-")]
-        if committed:
-            named: set[str] = set()
-            for c in committed:
-                with store.open_input_stream(f"{path}/{c}", compression=None) as f:
-                    named |= set(f.read().decode().split())
-            names = [n for n in names if n in named]
-        return [FilePartition(f"{self.path.rstrip('/')}/{n}") for n in names] or [FilePartition("")]
+            return [FilePartition("")]
+        files = [i for i in store.get_file_info(pafs.FileSelector(path, recursive=True)) if i.type == pafs.FileType.File]
+        # Of this writer's files those count that their write has listed, not those of lost attempts; others' files all do.
+        committed: set[str] = set()
+        for i in files:
+            if i.base_name.startswith("_files-"):
+                with store.open_input_stream(i.path, compression=None) as f:
+                    committed |= {f"{i.path.rpartition('/')[0]}/{n}" for n in f.read().decode().split()}
+        archives = [i.path for i in files if i.base_name.lower().endswith((SUFFIX, PLAIN)) and not i.base_name.startswith((".", "_"))]
+        counted = [a for a in archives if not OWN_FILE.fullmatch(a.rpartition("/")[2]) or a in committed]
+        root = path.rstrip("/")
+        return [FilePartition(a[len(root) :]) for a in sorted(counted)] or [FilePartition(None)]
 
     def read(self, partition):
-        if not partition.path:
+        if partition.inside is None:
             return
-        store, path = filesystem(partition.path)
+        store, path = filesystem(self.path.rstrip("/"))
+        path += partition.inside
         tests, with_payload = self.tests, self.with_payload
+        plain = path.lower().endswith(PLAIN)
         with store.open_input_file(path) as file:
-            for r in read_file(file, lambda r: all(r.value(c) in values for c, values in tests), with_payload):
-                payload = r.block.partition(b"\r\n\r\n")[2] if r.block is not None else None
-                yield (*(r.value(c) for c in HEADER_COLUMNS), dict(r.headers), payload)
+            for r in read_file(file, lambda r: all(r.value(c) in values for c, values in tests), with_payload, plain):
+                yield (*(r.value(c) for c in HEADER_COLUMNS), dict(r.headers), r.payload)
 
 
 class WarcWriter(DataSourceArrowWriter):
     """Each task writes files under names of its own; the commit lists those that count."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.name = path, uuid.uuid4().hex
 
     def write(self, iterator) -> Files:
         store, path = filesystem(self.path)
@@ -285,7 +429,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or held > FILE_BYTES:
                         if out is not None:
                             out.close()
-                        names.append(f"part-{uuid.uuid4().hex}{SUFFIX}")
+                        names.append(f"part-{self.name}-{uuid.uuid4().hex}{SUFFIX}")
                         out, held = store.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
                     data = member(record({c: batch.column(c)[i].as_py() for c in batch.schema.names}))
                     out.write(data)
@@ -298,7 +442,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         store, path = filesystem(self.path)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/_files-{uuid.uuid4().hex}", compression=None) as f:
+        with store.open_output_stream(f"{path}/_files-{self.name}", compression=None) as f:
             f.write("\n".join(n for m in messages if m is not None for n in m.names).encode())
 
     def abort(self, messages) -> None:
@@ -323,10 +467,11 @@ def page_records(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     Of rows with equal payloads of at least ``least`` bytes, the largest page_id
     is the response and the others revisit it; all smaller ones are responses.
     Rows that repeat the largest page_id are responses too. A null html is an
-    empty payload, a null page_id the smallest of all.
+    empty payload, a null page_id the smallest of all. An empty table gives no
+    records; other columns are left out. A very long html is one record.
 
-    One shuffle of digests, one of the pages by digest; a payload that fills a third of all rows
-    is one row on the other side, so its partition may be split.
+    Digests are shuffled, pages are not where the digests that repeat are few;
+    a digest of more than a thousandth of all rows is broadcast, so its pages stay where they are.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_length"))
@@ -336,9 +481,8 @@ def page_records(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1")
-        .drop("_n")
     )
-    met = rows.join(first, "payload_digest", "left")
+    met = join_counted(rows, written(first, "warc-first"), ["payload_digest"], "_n", "left")
     again = large & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return met.select(
         _urn(F.col("page_id")).alias("record_id"),
@@ -362,13 +506,43 @@ def page_of(urn) -> F.Column:
 def save_pages(pages: DataFrame, path: str) -> None:
     """Writes the pages as archives under ``path``."""
     register(pages.sparkSession)
-    page_records(pages).write.format(FORMAT).mode("append").save(path)
+    page_records(pages).write.format(FORMAT).mode("append").save(qualified(pages.sparkSession, path))
 
 
 def load(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under ``path``; without ``payload`` that column is null and nothing is inflated for it."""
+    """The records of all archives under ``path``, subfolders included; without ``payload`` that column is null and nothing is inflated for it.
+
+    A revisit holds no payload, so it is empty; a record that is no HTTP message is payload as a whole.
+    """
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(qualified(spark, path))
+
+
+def page_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page record.
+
+    Responses are inflated, and their lengths and digests taken from the
+    payloads; revisits, which hold none, tell them in their headers, so for
+    them nothing else is read. Each half pushes its record type down.
+    """
+    read = load(spark, path).filter(F.col("record_type") == "response")
+    responses = read.select(
+        page_of(F.col("record_id")).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = load(spark, path, payload=False).filter(F.col("record_type") == "revisit")
+    return responses.unionByName(
+        revisits.select(
+            page_of(F.col("record_id")).alias("page_id"),
+            F.col("payload_length").alias("payload_bytes"),
+            "payload_digest",
+            "record_type",
+            page_of(F.col("refers_to")).alias("refers_to"),
+        )
+    )
 
 
 #: Digests and revisits by definition.
