@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +37,19 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def aside(df: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``own`` under names of no meaning, and the way back, which leaves other columns as they are.
+
+    So no column of a table can clash with one that an operator needs for itself.
+    """
+    names = {c if c in own else f"_aside{i}": c for i, c in enumerate(df.columns)}
+
+    def back(done: DataFrame) -> DataFrame:
+        return done.toDF(*[names.get(c, c) for c in done.columns])
+
+    return df.toDF(*names), back
+
+
 def one_column(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; fails early where one is missing or named twice."""
     for name in names:
