@@ -32,8 +32,12 @@ from .hot import join_counted
 LENGTH, GRAM = 400, 32
 # Bytes looked at at once; small enough for the processor's cache.
 STEP = 1 << 18
-# Windows in a batch of the family; bytes of contexts in a task; an anchor gram with more is dealt to several tasks.
+# Windows in a batch of the family; bytes of contexts in a task.
 BATCH, TASK_BYTES = 1 << 18, 4 << 20
+# An anchor gram with more bytes than an average task, and than this, is dealt to several tasks.
+WHOLE_BYTES = 1 << 16
+# Pairs of windows compared at once, byte by byte.
+COMPARED = 1 << 11
 # Different texts a task remembers, to hand on copies once.
 REMEMBERED = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -104,7 +108,7 @@ def _contexts_of(pieces: list[tuple[int, int, bytes]]) -> list[tuple[int, int, i
 
 
 class Level:
-    """One suffix array: a sorted key per window, and the windows' numbers."""
+    """One suffix array: a sorted key per window, and the windows' numbers. Each key stands once."""
 
     def __init__(self, keys: np.ndarray, numbers: np.ndarray):
         self.keys, self.numbers = keys, numbers
@@ -116,6 +120,9 @@ class Family:
     def __init__(self):
         self.levels: list[Level] = []
         self.hit = np.zeros(0, bool)
+        # All bytes so far, in batches, and where in them each window begins.
+        self.data: list[np.ndarray] = []
+        self.starts = np.zeros(0, np.int64)
 
     def add(self, texts: list[bytes]) -> None:
         """One batch: its windows get the next numbers, text by text."""
@@ -136,9 +143,10 @@ class Family:
         keys = keys.view("S16").ravel()
         numbers = order + base
         self.hit = np.concatenate([self.hit, np.zeros(len(order), bool)])
+        self.starts = np.concatenate([self.starts, starts + sum(map(len, self.data))])
+        self.data.append(data)
         same = keys[1:] == keys[:-1]
-        self.hit[numbers[1:][same]] = True
-        self.hit[numbers[:-1][same]] = True
+        self._meet(numbers[1:][same], numbers[:-1][same])
         single = np.concatenate([[True], ~same])
         new = Level(keys[single], numbers[single])
         for level in self.levels:
@@ -150,8 +158,29 @@ class Family:
     def _scan(self, level: Level, new: Level) -> None:
         at = np.minimum(np.searchsorted(level.keys, new.keys), len(level.keys) - 1)
         met = level.keys[at] == new.keys
-        self.hit[new.numbers[met]] = True
-        self.hit[level.numbers[at[met]]] = True
+        self._meet(new.numbers[met], level.numbers[at[met]])
+
+    def _meet(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Windows of equal keys are hit where their bytes are equal. Other windows with one key would be an error of the hash."""
+        if not len(a):
+            return
+        whole = self.data[0] if len(self.data) == 1 else np.concatenate(self.data)
+        self.data = [whole]
+        # Neighbouring pairs of windows share all but a byte: of each such run the first, every LENGTH-th and the last are compared.
+        left, right = self.starts[a], self.starts[b]
+        order = np.lexsort((left, left - right))
+        left, right = left[order], right[order]
+        begin = np.concatenate([[True], (np.diff(left) != 1) | (np.diff(right) != 1)])
+        end = np.concatenate([begin[1:], [True]])
+        at = np.arange(len(left))
+        place = at - np.maximum.accumulate(np.where(begin, at, 0))
+        judged = np.flatnonzero((place % LENGTH == 0) | end)
+        windows = np.lib.stride_tricks.sliding_window_view(whole, LENGTH)
+        for some in np.array_split(judged, max(1, len(judged) // COMPARED)):
+            if not (windows[left[some]] == windows[right[some]]).all():
+                raise ValueError("two different strings have one 128-bit key")
+        self.hit[a] = True
+        self.hit[b] = True
 
     def _merged(self, a: Level, b: Level) -> Level:
         at = np.searchsorted(a.keys, b.keys)
@@ -181,7 +210,7 @@ def _distinct_in_task(docs: DataFrame) -> DataFrame:
 
 
 def _context_rows(texts: DataFrame) -> DataFrame:
-    """(gram, context, key, first, last): ``context`` is a fingerprint of all bytes of its windows."""
+    """(gram, context, key, first, last): ``context`` is a 128-bit fingerprint of all bytes of its windows."""
 
     def run(batches):
         for batch in batches:
@@ -190,11 +219,11 @@ def _context_rows(texts: DataFrame) -> DataFrame:
                 rows = contexts(raw)
                 if rows:
                     owner, grams, first, last = zip(*rows)
-                    prints = [xxhash.xxh3_64_intdigest(raw[i][a : b + LENGTH]) - (1 << 63) for i, _, a, b in rows]
+                    prints = [xxhash.xxh3_128_digest(raw[i][a : b + LENGTH]) for i, _, a, b in rows]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(grams, pa.int64()),
-                            pa.array(prints, pa.int64()),
+                            pa.array(prints, pa.binary()),
                             pa.array([keys[i] for i in owner], pa.binary()),
                             pa.array(first, pa.int64()),
                             pa.array(last, pa.int64()),
@@ -202,7 +231,7 @@ def _context_rows(texts: DataFrame) -> DataFrame:
                         ["gram", "context", "key", "first", "last"],
                     )
 
-    return texts.mapInArrow(run, "gram long, context long, key binary, first long, last long")
+    return texts.mapInArrow(run, "gram long, context binary, key binary, first long, last long")
 
 
 def _with_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,9 +313,10 @@ def _found(family: Family, owners: list[tuple]):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
-def _tasks(rows: DataFrame) -> int:
+def _tasks(rows: DataFrame) -> tuple[int, int]:
+    """Tasks for the families, and bytes of all contexts."""
     size = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES), size
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -306,11 +336,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spans = whole.select("key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     wanted = groups.filter("mixed").select("gram", "one.*", (F.col("n") == 1).alias("open"))
     data = written(_with_bytes(texts, wanted), "suffix-bytes")
-    share = data.groupBy("gram").agg(F.ceil(F.sum(F.octet_length("bytes")) / TASK_BYTES).cast("int").alias("salts"))
+    sizes = data.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
+    tasks, size = _tasks(data)
+    most = min(TASK_BYTES, max(WHOLE_BYTES, size // tasks))
+    share = sizes.select("gram", F.ceil(F.col("size") / most).cast("int").alias("salts"))
     share = written(share.filter("salts > 1"), "suffix-shares")
     split = join_counted(data, share, ["gram"], "salts", "left").withColumn("split", F.col("salts").isNotNull())
     salted = split.withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.coalesce("salts", F.lit(1))))
-    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes"), _tasks(data)), "suffix-found")
+    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes"), tasks), "suffix-found")
     across = found.filter("kind = 1")
     twice = across.groupBy("head_print").count().filter("count > 1").select("head_print")
     late = across.filter("open").join(twice, "head_print", "left_semi")
@@ -337,8 +370,8 @@ def remove_repeats(documents: DataFrame, with_kept: bool = False) -> DataFrame:
     Every byte is removed that a string of LENGTH bytes covers which starts
     anywhere else too, in this document or another. Strings are judged on the
     input. A null text is empty; texts under LENGTH bytes lose nothing; rows with equal texts of
-    LENGTH bytes or more lose everything, whatever their ids. Other columns are
-    left out.
+    LENGTH bytes or more lose everything, whatever their ids. An empty table gives an empty one. Other columns are
+    left out. A very long text is scanned in parts, and cut as one row.
 
     Equal texts are one text after the first scan. Moved are: anchors (one for
     about 185 bytes), texts that hold contexts to compare, and every text once
@@ -349,9 +382,10 @@ def remove_repeats(documents: DataFrame, with_kept: bool = False) -> DataFrame:
     )
     spans = repeated_spans(_distinct_in_task(docs))
     long = docs.filter(F.octet_length("text") >= LENGTH)
-    copies = long.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"))
-    marks = written(copies.join(spans, "key", "full_outer"), "suffix-marks")
-    return _cut(docs.join(marks, "key", "left"), with_kept)
+    copies = long.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"), F.col("count").alias("n"))
+    marks = copies.join(spans, "key", "full_outer").withColumn("n", F.coalesce("n", F.lit(1)))
+    # The copies of one text stay where they are; every other text moves once.
+    return _cut(join_counted(docs, written(marks, "suffix-marks"), ["key"], "n", "left"), with_kept)
 
 
 def _cut(state: DataFrame, with_kept: bool) -> DataFrame:
