@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from contactloom.session import written
 
-from .batches import arrow_schema, one_column, slices
+from .batches import arrow_schema, aside, one_column, slices
+from .hot import join_counted
 
 SITES = 10
 # Words a line needs to be judged: shorter ones meet by chance.
@@ -44,7 +45,7 @@ def _digest(bare: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """(line, keeper) for every line on ``sites`` distinct sites or more; ``keeper`` is its smallest doc_id.
+    """(line, keeper, rows) for every line on ``sites`` distinct sites or more; ``keeper`` is its smallest doc_id.
 
     A null source is no site. Three steps, each on what the one before left:
     lines met at least ``sites`` times on more than one site; their sketches;
@@ -53,17 +54,18 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     third of the corpus arrives as one row per task.
     """
     seen = lines.groupBy("line").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count("source").alias("n"),
         F.min("source").alias("low"),
         F.max("source").alias("high"),
         F.min("doc_id").alias("keeper"),
     )
     often = written(
-        seen.filter((F.col("n") >= sites) & (F.col("low") < F.col("high") if sites > 1 else F.lit(True))).select("line", "keeper"),
+        seen.filter((F.col("n") >= sites) & (F.col("low") < F.col("high") if sites > 1 else F.lit(True))).select("line", "keeper", "rows"),
         "lines-often",
     )
     # The sites of those lines, each pair once per task before it moves.
-    pairs = lines.filter("source is not null").join(often.select("line"), "line", "left_semi")
+    pairs = join_counted(lines.filter("source is not null"), often.select("line", "rows"), ["line"], "rows")
     sketched = pairs.groupBy("line").agg(F.expr(f"hll_sketch_estimate(hll_sketch_agg(source, {SKETCH_BITS}))").alias("about"))
     low, high = sites * (1 - BAND) - 1, sites * (1 + BAND) + 1
     judged = written(sketched.filter(F.col("about") >= low), "lines-sketched")
@@ -82,7 +84,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 def removals(lines: DataFrame, spread: DataFrame) -> DataFrame:
     """doc_id and the hashes of the boilerplate lines to remove from it; documents without any are left out."""
-    met = lines.select("line", "doc_id").join(spread, "line")
+    met = join_counted(lines.select("line", "doc_id"), spread, ["line"], "rows")
     away = met.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return away.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
 
@@ -94,10 +96,12 @@ def remove_lines(documents: DataFrame, sites: int = SITES, min_words: int = MIN_
     are compared without blanks at both ends; lines of fewer words stay. A null
     text stays null with zero lines; rows with equal doc_id are one document
     for the counting; a document with a null doc_id never is a keeper unless
-    all are. Other columns pass through, those with the new names are replaced.
+    all are. An empty table gives an empty one; a very long text is split where it is, and rewritten as one row. Other
+    columns pass through, whatever their names; those with the new names are replaced.
     """
-    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    docs = one_column(documents, *kept)
+    given = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    docs, back = aside(one_column(documents, *given), "doc_id", "text", "source")
+    kept = docs.columns
     lines = written(line_table(docs, min_words), "lines")
     spread = written(boilerplate(lines, sites), "lines-spread")
     gone = removals(lines, spread)
@@ -106,7 +110,7 @@ def remove_lines(documents: DataFrame, sites: int = SITES, min_words: int = MIN_
         F.coalesce(gone["doc_id"], keeps["doc_id"]).alias("_doc"), "_gone", "_once"
     )
     state = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]), "left").select(*kept, "_gone", "_once")
-    return _rewritten(state, kept)
+    return back(_rewritten(state, kept))
 
 
 def _rewritten(state: DataFrame, kept: list[str]) -> DataFrame:
@@ -162,4 +166,5 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS clean_sha256
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """

@@ -91,7 +91,7 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     done = line_spread.remove_lines(docs)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return done.filter("text is not null").select("doc_id", "n_lines", "n_removed", digest.alias("clean_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", digest.alias("clean_sha256"))
 
 
 @query("op11_word_runs")

@@ -23,5 +23,5 @@ def sampled(df: DataFrame, keys: list[str], group: str, most: int, groups: int =
     counts = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = F.broadcast(counts.orderBy(F.desc("_n"), group).limit(groups))
     place = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(SPACE))
-    near = df.join(sizes, group).withColumn("_place", place).filter(F.col("_place") < F.lit(2.0 * most * SPACE) / F.col("_n"))
-    return top_n_per_group(near, [group], ["_place", *keys], most).select(*df.columns)
+    near = df.join(sizes, group).withColumn("_sample", place).filter(F.col("_sample") < F.lit(2.0 * most * SPACE) / F.col("_n"))
+    return top_n_per_group(near, [group], ["_sample", *keys], most).select(*df.columns)

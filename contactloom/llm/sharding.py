@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from contactloom.session import written
 
+from .batches import aside, one_column
+
 # Bits of the hash; how many bits finer than the expected depth the histogram is, and each later one.
 HASH_BITS, FINER, STEP = 60, 6, 12
 LIMIT_BYTES = 1 << 20
@@ -38,13 +40,16 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", size: str = "n_bytes", l
     share all bits: where they alone are over the limit, they form a family of
     their own (``family`` is their hash, else null), divided in the same way by a hash
     of their place in the table. Repeated rows count each; an empty table gives
-    no rows; other columns pass through, those with the new names are replaced.
+    no rows; other columns pass through, whatever their names; those with the new names are replaced. A very long text
+    is nothing but its size here.
 
     Only sums over prefixes are shuffled to find the shards, a number of rows
     in proportion to the shards; then the rows once, by prefix.
     """
-    kept = [c for c in rows.columns if c not in ADDED]
-    bare = rows.select(*kept)
+    given = [c for c in rows.columns if c not in ADDED]
+    bare, back = aside(one_column(rows, *given))
+    kept = bare.columns
+    key, size = kept[given.index(key)], kept[given.index(size)]
     sized = bare.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
     main = sized.withColumn("_family", F.lit(None).cast("long")).withColumn("_hash", key_hash(F.col(key)))
     done, over = _divided(main, limit)
@@ -57,7 +62,7 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", size: str = "n_bytes", l
     shards = done[0]
     for part in done[1:]:
         shards = shards.unionByName(part)
-    return shards.select(*kept, *ADDED)
+    return back(shards.select(*kept, *ADDED))
 
 
 def _alone(rows: DataFrame) -> Column:
