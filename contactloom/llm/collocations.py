@@ -1,12 +1,13 @@
 """Phrases whose words come together more often than they would by chance, counted in quotient filters.
 
-A word is a 64-bit id, checked to be different for all words of the corpus, and
-a phrase the packed ids of its words. Ids are permuted invertibly, so that the
-first 64 bits look random; their upper part is the quotient, the rest and all
-further ids are the remainder. A filter keeps remainders by quotient with a
-counter each and so gives back every phrase with its exact count. Tasks fill
-filters, cut them by quotient into segments, and segments of the same quotients
-are merged, sorted as they are, by adding counters.
+A word is a 64-bit id, checked to be different for all words of the corpus; the
+frequent ones are numbered, if they are not too many, so that two words fit
+64 bits. A phrase is the packed numbers of its words. They are permuted
+invertibly, so that the first 64 bits look random; their upper part is the
+quotient, the rest and all further bits are the remainder. A filter keeps
+remainders by quotient with a counter each and so gives back every phrase with
+its exact count. Tasks fill filters, cut them by quotient into segments, and
+segments of the same quotients are merged, sorted as they are, by adding counters.
 
 Phrases are counted length by length. A phrase is counted only where both its
 shorter parts may be frequent, as a bit array of bounded size tells; wrong
@@ -15,6 +16,7 @@ bits cost time and no result, since counts of what is counted are complete.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,14 @@ from .vocabulary import Words
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNDETERMINED = "und"
-# Phrases a task holds in its filter before it hands on segments; occurrences gathered before they are added.
-SLOTS, GATHERED = 1 << 19, 1 << 18
-# Different words a task remembers.
-REMEMBERED = 400_000
+# Bytes of the filters a task holds before it hands on segments; phrases gathered before they are added.
+HELD_BYTES, GATHERED = 16 << 20, 1 << 17
+# Different words a task remembers, and counts before it hands them on; rows in a batch of counts.
+REMEMBERED, COUNTED, BATCH_ROWS = 300_000, 600_000, 1 << 16
+# Frequent words are numbered up to so many (eight bytes each go to every task); beyond, ids stay as they are.
+NUMBERED = 1 << 22
+# Phrases merged in a task, about.
+MERGED = 1 << 19
 # Bits of a quotient; segments of a filter; counters up to this value take one byte.
 QUOTIENT, SEGMENTS, SMALL = 16, 1 << 10, 255
 # Bits of the array of frequent parts: so many for each, within these bounds.
@@ -69,6 +75,38 @@ def pieces(text: bytes) -> list[bytes]:
     return text.lower().translate(_TO_BREAK).replace(b"\xff", b" \xff ").split()
 
 
+class Alphabet:
+    """How words are packed: two to a lane by their number among the frequent words, or, without numbers, one to a lane by id."""
+
+    def __init__(self, ids: np.ndarray | None):
+        self.ids = ids
+
+    def lanes(self, k: int) -> int:
+        return k if self.ids is None else -(-k // 2)
+
+    def letters(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stands for each word, and which words may be in a frequent phrase."""
+        if self.ids is None:
+            return ids, np.ones(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        return at.astype(np.uint64), self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), bool)
+
+    def packed(self, letters: list[np.ndarray]) -> list[np.ndarray]:
+        if self.ids is None:
+            return letters
+        pairs = [(a << np.uint64(32)) | b for a, b in zip(letters[::2], letters[1::2])]
+        return [*pairs, letters[-1]] if len(letters) % 2 else pairs
+
+    def unpacked(self, lanes: list[np.ndarray], k: int) -> list[np.ndarray]:
+        """The ids of the words."""
+        if self.ids is None:
+            return lanes
+        out = []
+        for lane in lanes[: k // 2]:
+            out += [lane >> np.uint64(32), lane & np.uint64(0xFFFFFFFF)]
+        return [self.ids[x.astype(np.int64)] for x in (out if k % 2 == 0 else [*out, lanes[-1]])]
+
+
 class Texts:
     """Word ids of texts, one after the other, and where words follow each other in a piece."""
 
@@ -100,40 +138,50 @@ class Texts:
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """(lang, word, id, f) of all words; written."""
-    out = arrow_schema("lang string, word string, id long, f long")
+    """(lang, word, f, id) of all words; written."""
+    out = arrow_schema("lang string, word string, f long")
 
     def run(batches):
-        texts = Texts(seed)
+        vocabulary = Words()
         # Per language a count for every number of the vocabulary.
         counts: dict[str, np.ndarray] = {}
 
         def rows():
-            words = list(texts.vocabulary.number)
+            words = list(vocabulary.number)
             for language, found in counts.items():
-                at = np.flatnonzero(found)
-                ids = mixed(texts.vocabulary.hashes[at] ^ np.uint64(texts.salt(language))).view(np.int64)
-                columns = ([language] * len(at), [words[i].decode() for i in at.tolist()], ids, found[at])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+                used = np.flatnonzero(found)
+                for at in np.array_split(used, len(used) // BATCH_ROWS + 1):
+                    columns = ([language] * len(at), [words[i].decode() for i in at.tolist()], found[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                if len(texts.vocabulary.number) > REMEMBERED:
+                if len(vocabulary.number) > COUNTED:
                     yield from rows()
                     counts.clear()
-                    texts.vocabulary = Words()
+                    vocabulary = Words()
                 languages = [UNDETERMINED if x is None else x for x in part.column("lang").to_pylist()]
                 for language in set(languages):
                     own = [t for t, x in zip(utf8(part.column("text")), languages) if x == language]
-                    numbers = texts.vocabulary.numbers([w for t in own for w in pieces(t) if w != b"\xff"])
-                    found = np.bincount(numbers, minlength=len(texts.vocabulary.number))
+                    numbers = vocabulary.numbers([w for t in own for w in pieces(t) if w != b"\xff"])
+                    found = np.bincount(numbers, minlength=len(vocabulary.number))
                     before = counts.get(language, found[:0])
                     found[: len(before)] += before
                     counts[language] = found
         yield from rows()
 
-    rows = docs.mapInArrow(run, "lang string, word string, id long, f long")
-    return written(rows.groupBy("lang", "word", "id").agg(F.sum("f").alias("f")), "collocation-words")
+    sums = docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    named = arrow_schema("lang string, word string, f long, id long")
+
+    def name(batches):
+        for batch in batches:
+            texts = Texts(seed)
+            numbers = texts.vocabulary.numbers(utf8(batch.column("word")))
+            salts = np.array([texts.salt(x) for x in batch.column("lang").to_pylist()], np.uint64)
+            ids = mixed(texts.vocabulary.hashes[numbers] ^ salts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], schema=named)
+
+    return written(sums.mapInArrow(name, "lang string, word string, f long, id long"), "collocation-words")
 
 
 def numbered_words(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -265,31 +313,33 @@ def bit_array(frequent: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _with_place(frequent: DataFrame, k: int, bits: int) -> DataFrame:
+def _with_place(frequent: DataFrame, k: int, bits: int, given) -> DataFrame:
     """``place`` of every phrase in column ``ids``; bitmap buckets count places from 1."""
     out = arrow_schema("place long")
 
     def run(batches):
+        alphabet = given.value
         for batch in batches:
             ids = np.array(batch.column("ids").to_pylist(), np.int64).reshape(-1, k).view(np.uint64)
-            place = place_of([ids[:, j] for j in range(k)], bits) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64())], schema=out)
+            lanes = alphabet.packed([alphabet.letters(ids[:, j])[0] for j in range(k)])
+            yield pa.RecordBatch.from_arrays([pa.array(place_of(lanes, bits) + 1, pa.int64())], schema=out)
 
     return frequent.select("ids").mapInArrow(run, "place long")
 
 
-def filters(docs: DataFrame, seed: int, k: int, given, bits: int) -> DataFrame:
+def filters(docs: DataFrame, seed: int, k: int, given, likely, bits: int) -> DataFrame:
     """(segment, slots, filter) of the phrases of ``k`` words whose parts of k - 1 words have their bits set."""
     out = arrow_schema("segment int, slots long, filter binary")
 
     def run(batches):
-        array, texts = given.value, Texts(seed)
+        alphabet, array, texts = given.value, likely.value, Texts(seed)
+        slots = HELD_BYTES // (8 * alphabet.lanes(k) + 8)
         gathered: list[list[np.ndarray]] = []
         levels: list[QuotientFilter] = []
         held = 0
 
         def added():
-            lanes = [np.concatenate([g[j] for g in gathered]) for j in range(k)]
+            lanes = [np.concatenate([g[j] for g in gathered]) for j in range(alphabet.lanes(k))]
             new = QuotientFilter.of(permuted(lanes))
             # Filters of about equal size merge, so a phrase is moved a logarithmic number of times.
             while levels and len(levels[-1]) <= 2 * len(new):
@@ -299,9 +349,10 @@ def filters(docs: DataFrame, seed: int, k: int, given, bits: int) -> DataFrame:
 
         def rows():
             whole = levels[0].merged(*levels[1:]) if len(levels) > 1 else levels[0]
-            columns = zip(*whole.segments())
             levels.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+            found = whole.segments()
+            while some := list(itertools.islice(found, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), out)], schema=out)
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -309,57 +360,58 @@ def filters(docs: DataFrame, seed: int, k: int, given, bits: int) -> DataFrame:
                 n = len(ids) - k + 1
                 if n < 1:
                     continue
-                parts = [ids[j : len(ids) - k + 2 + j] for j in range(k - 1)]
-                place = place_of(parts, bits)
-                likely = (array[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                ok = likely[:-1] & likely[1:]
-                for j in range(k):
-                    ok &= is_word[j : j + n]
+                letters, frequent = alphabet.letters(ids)
+                ok = is_word & frequent
+                ok = np.logical_and.reduce([ok[j : j + n] for j in range(k)])
                 at = np.flatnonzero(ok)
-                gathered.append([ids[at + j] for j in range(k)])
+                # The parts without the last and without the first word.
+                for begin in (0, 1):
+                    place = place_of(alphabet.packed([letters[at + begin + j] for j in range(k - 1)]), bits)
+                    at = at[(array[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                gathered.append(alphabet.packed([letters[at + j] for j in range(k)]))
                 held += len(at)
                 if held > GATHERED:
                     added()
                     held = 0
-                    if sum(map(len, levels)) > SLOTS:
-                        yield rows()
+                    if sum(map(len, levels)) > slots:
+                        yield from rows()
         if held:
             added()
         if levels:
-            yield rows()
+            yield from rows()
 
     return docs.mapInArrow(run, "segment int, slots long, filter binary")
 
 
-def merged_filters(parts: DataFrame, k: int, least: int) -> DataFrame:
+def merged_filters(parts: DataFrame, k: int, least: int, given) -> DataFrame:
     """(ids, f) of the phrases that occur ``least`` times, from the segments of all tasks."""
     out = arrow_schema("ids array<long>, f long")
     slots = parts.agg(F.sum("slots")).first()[0] or 0
-    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(SEGMENTS, 2 * slots // SLOTS))
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(SEGMENTS, slots // MERGED))
 
-    def rows(segment, held):
+    def rows(held, alphabet):
         whole = held[0].merged(*held[1:]) if len(held) > 1 else held[0]
         often = whole.counts >= least
-        lanes = restored([lane[often] for lane in whole.lanes])
-        flat = np.stack(lanes, axis=1).view(np.int64).ravel()
+        words = alphabet.unpacked(restored([lane[often] for lane in whole.lanes]), k)
+        flat = np.stack(words, axis=1).view(np.int64).ravel()
         ids = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), pa.array(flat, pa.int64()))
         return pa.RecordBatch.from_arrays([ids.cast(out.field(0).type), pa.array(whole.counts[often], pa.int64())], schema=out)
 
     def run(batches):
-        last, held, grown = None, [], 0
+        alphabet, last, held, grown = given.value, None, [], 0
         for batch in batches:
             for segment, data in zip(batch.column("segment").to_pylist(), batch.column("filter").to_pylist()):
                 if segment != last and held:
-                    yield rows(last, held)
+                    yield rows(held, alphabet)
                     held, grown = [], 0
                 last = segment
-                held.append(QuotientFilter.unpacked(segment, k, data))
+                held.append(QuotientFilter.unpacked(segment, alphabet.lanes(k), data))
                 grown += len(held[-1])
                 if len(held) > 1 and grown > 2 * len(held[0]):
                     held = [held[0].merged(*held[1:])]
                     grown = len(held[0])
         if held:
-            yield rows(last, held)
+            yield rows(held, alphabet)
 
     laid = parts.repartition(tasks, "segment").sortWithinPartitions("segment")
     return laid.select("segment", "filter").mapInArrow(run, "ids array<long>, f long")
@@ -367,18 +419,21 @@ def merged_filters(parts: DataFrame, k: int, least: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, seed: int, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(ids, f) of all phrases of one to ``longest`` words that occur ``least`` times or more."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     found = written(words.filter(F.col("f") >= least).select(F.array("id").alias("ids"), "f"), "collocation-1")
-    every = found
+    every, n = found, found.count()
+    ids = None
+    if n <= NUMBERED:
+        ids = np.sort(found.select(F.col("ids")[0].alias("id")).toArrow().column("id").to_numpy().view(np.uint64))
+    given = context.broadcast(Alphabet(ids))
     for k in range(2, longest + 1):
-        n = found.count()
         if not n:
             break
         bits = max(FEWEST_BITS, min(MOST_BITS, 1 << (n * BITS_EACH - 1).bit_length()))
-        given = spark.sparkContext.broadcast(bit_array(_with_place(found, k - 1, bits), bits))
-        parts = written(filters(docs, seed, k, given, bits), f"collocation-filters-{k}")
-        found = written(merged_filters(parts, k, least), f"collocation-{k}")
-        every = every.unionByName(found)
+        likely = context.broadcast(bit_array(_with_place(found, k - 1, bits, given), bits))
+        parts = written(filters(docs, seed, k, given, likely, bits), f"collocation-filters-{k}")
+        found = written(merged_filters(parts, k, least, given), f"collocation-{k}")
+        every, n = every.unionByName(found), found.count()
     return every
 
 

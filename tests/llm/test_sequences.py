@@ -273,10 +273,12 @@ def slow_collocations(rows, least, longest, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slots", [1 << 20, 40])
-def test_collocations(spark, monkeypatch, slots):
-    monkeypatch.setattr(collocations, "SLOTS", slots)
-    monkeypatch.setattr(collocations, "GATHERED", slots)
+@pytest.mark.parametrize("held, numbered", [(1 << 24, 1 << 22), (600, 1 << 22), (600, 3)])
+def test_collocations(spark, monkeypatch, held, numbered):
+    monkeypatch.setattr(collocations, "HELD_BYTES", held)
+    monkeypatch.setattr(collocations, "GATHERED", min(collocations.GATHERED, held))
+    monkeypatch.setattr(collocations, "NUMBERED", numbered)
+    monkeypatch.setattr(collocations, "COUNTED", numbered)
     rng = random.Random(6)
     word = lambda: rng.choice(["a", "b", "C", "é", "new", "York", "the", "\xff", "ſ"])
     texts = [" ".join(word() + rng.choice(["", "", "", ".", "\n", "\t", "!?"]) for _ in range(rng.randrange(80))) for _ in range(60)]
@@ -300,6 +302,6 @@ def test_another_seed_where_ids_meet(spark, monkeypatch):
     assert seed == 0 and {r.word: r.f for r in one.collect()} == {"a": 2, "b": 2, "c": 1}
     counts = collocations.word_counts
     monkeypatch.setattr(
-        collocations, "word_counts", lambda d, s: counts(d, s) if s else spark.createDataFrame([("en", "a", 1, 1), ("en", "b", 1, 1)], "lang string, word string, id long, f long")
+        collocations, "word_counts", lambda d, s: counts(d, s) if s else spark.createDataFrame([("en", "a", 1, 1), ("en", "b", 1, 1)], "lang string, word string, f long, id long")
     )
     assert collocations.numbered_words(docs)[1] == 1
