@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.emails import json_items
+from ..sources.results import nothing_behind
 
 REPLY = (
     "is_reachable string, mx struct<accepts_mail boolean, records array<string>>, "
@@ -33,8 +34,8 @@ def _has_key(document: Column, key: str) -> Column:
 
 
 def reply_problem(reply: Column) -> Column:
-    """(is_error, code) of a reply text; the key ``error`` counts even when null."""
-    keys = F.json_object_keys(reply)
+    """(is_error, code) of a reply text; the key ``error`` counts even when null. What has text behind the object can't be decoded."""
+    keys = F.when(nothing_behind(reply), F.json_object_keys(reply))
     empty = reply.isNull() | reply.rlike(r"^\s*(?:null|\{\s*\}|\[\s*\]|)\s*$")
     code = (
         F.when(empty, F.lit("no_response"))

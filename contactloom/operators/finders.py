@@ -22,6 +22,7 @@ from ..sources.results import emails_from_results
 from .links import page_address, pages_in_scope, site_key
 from .queues import has_website, site_domain, with_domain, with_valid_domain
 from .rank import top_n_per_group
+from .shared import SharedRows
 from .skew import grid_join, hot_keys, salted_join
 
 
@@ -205,6 +206,13 @@ class SiteFinder:
             .distinct()
         )
 
+    def shared(self, companies: DataFrame) -> SharedRows:
+        """What ``find`` gives, before any row is multiplied: one list per host, and its companies."""
+        addresses = self.addresses()
+        if self.limit:
+            addresses = top_n_per_group(addresses, ["domain"], ["email"], self.limit)
+        return SharedRows.of(self.valid(companies).select(F.col("id").alias("company_id"), "domain"), addresses)
+
     def find(self, companies: DataFrame, as_of: str, method_ord: int = 2) -> DataFrame:
         targets = self.valid(companies).select(F.col("id").alias("company_id"), "domain")
         # Hosts of many pages stand for hosts of many addresses: only URLs are read.

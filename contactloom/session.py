@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.files import Folder
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# The folder of the run that is going on, if any.
+RUN = "contactloom.run"
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -36,8 +43,40 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder, below that of the run if one goes on."""
+    return f"{spark.conf.get(RUN, None) or work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[str]:
+    """Whatever is written for later use inside goes below one folder, which is deleted at the end, also after an error.
+
+    Results have to be saved or collected inside: they may read what goes. Runs may lie
+    in each other. What a killed run leaves is found by ``sweep_runs``.
+    """
+    before = spark.conf.get(RUN, None)
+    root = before or work_dir(spark)
+    name = f"run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN, f"{root}/{name}")
+    Folder(spark, f"{root}/{name}").create("started", str(int(time.time())))
+    try:
+        yield f"{root}/{name}"
+    finally:
+        if before:
+            spark.conf.set(RUN, before)
+        else:
+            spark.conf.unset(RUN)
+        Folder(spark, root).delete(name)
+
+
+def sweep_runs(spark: SparkSession, older_than_hours: float = 24) -> list[str]:
+    """Deletes the folders of runs in which nothing was written for so long: their programs are gone."""
+    root, now, gone = Folder(spark, work_dir(spark)), int(time.time() * 1000), []
+    for name in root.names():
+        if name.startswith("run-") and root.newest_ms(name) <= now - older_than_hours * 3_600_000:
+            root.delete(name)
+            gone.append(name)
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

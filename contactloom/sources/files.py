@@ -33,6 +33,15 @@ class Folder:
     def age_ms(self, name: str, now_ms: int) -> int:
         return now_ms - self._fs.getFileStatus(self._at(name)).getModificationTime()
 
+    def newest_ms(self, name: str) -> int:
+        """When something in a folder, or right below a folder in it, was last written."""
+        latest = 0
+        for status in (self._fs.getFileStatus(self._at(name)), *self._fs.listStatus(self._at(name))):
+            latest = max(latest, status.getModificationTime())
+            if status.isDirectory():
+                latest = max([latest, *[s.getModificationTime() for s in self._fs.listStatus(status.getPath())]])
+        return latest
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:

@@ -12,7 +12,7 @@ from contactloom.functions import domains as D
 from contactloom.functions import emails as E
 from contactloom.functions import patterns as P
 from contactloom.functions import text as X
-from contactloom.operators import checks, links, listing, queues, rank, reports, store
+from contactloom.operators import checks, links, listing, queues, rank, report_state, reports, store
 from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, StaticFinder
 from contactloom.operators.guarded import GuardedChecker, GuardedFinder
 from contactloom.plans import check as check_plans
@@ -1366,3 +1366,37 @@ def _(spark, sf):
     mapped = tables.map_companies(big, names, tracking=True)
     done = find_plans.bulk_find(mapped, read(spark, sf, "stored_emails"), StaticFinder(), AS_OF)
     return done.added.select("company_id", "email", "source", "confidence")
+
+
+# Shared hosts and carried reports without their rows
+
+
+@query(
+    "site_shared_counts",
+    """SELECT f.company_id, count(*) AS n FROM (SELECT DISTINCT company_id, lower(trim(email)) AS email FROM site_found) f
+WHERE NOT EXISTS (SELECT 1 FROM site_stored s WHERE s.company_id = f.company_id AND s.email = f.email) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """What a site run would add to a store that holds a part of it, per company, before any row is made."""
+    shared = SiteFinder(read(spark, sf, "pages")).shared(tracked_companies(spark, sf))
+    stored = shared.expand().filter("company_id % 3 = 0").select("company_id", "email")
+    return shared.without(stored).counts()
+
+
+@query(
+    "report_state",
+    """SELECT CAST(created_at AS DATE) AS day, source, count(*) AS n_emails, count(checked_at) AS n_checked,
+  count(*) FILTER (is_reachable = 'safe') AS n_reachable, count(check_error) AS n_errors FROM emails GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Days are added one after the other; half of the checks come later, as changes."""
+    emails = schema.conform(read(spark, sf, "emails"), schema.EMAILS)
+    late = F.col("id") % 2 == 0
+    early = emails.withColumns(
+        {c: F.when(~late, F.col(c)).alias(c) for c in ("checked_at", "is_reachable", "check_error")}
+    )
+    even = F.dayofyear("created_at") % 2 == 0
+    state = report_state.merged(report_state.email_state(early.filter(even)), report_state.email_state(early.filter(~even)))
+    state = written(state, "report-state")
+    changed = report_state.change_state(early.filter(late), emails.filter(late))
+    return report_state.merged(state, changed).select(*report_state.KEY, *report_state.COUNTS)

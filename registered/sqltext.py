@@ -319,6 +319,7 @@ WHERE website <> '' AND {domain_strict('website')} IS NOT NULL""",
 SELECT d.company_id, t.email, d.domain FROM company_domains d JOIN result_tokens t USING (company_id)""",
     "site_found": """
 SELECT d.company_id, a.email, d.domain FROM company_domains d JOIN site_addresses a ON d.domain = a.host""",
+    "site_stored": "SELECT company_id, lower(trim(email)) AS email FROM site_found WHERE company_id % 3 = 0",
     "all_found": """
 SELECT company_id, 'static' AS method, 0 AS method_ord, seq, email, confidence FROM static_found
 UNION ALL SELECT company_id, 'harvester', 1, 0, email, 0.8 FROM harvest_found

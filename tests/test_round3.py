@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from contactloom import schema
 from contactloom.functions.patterns import PATTERN_ROWS
-from contactloom.operators import links
+from contactloom.operators import checks, links, report_state
 from contactloom.operators.finders import Registry, StaticFinder
 from contactloom.operators.guarded import GuardedFinder, guarded
 from contactloom.plans.check import check_run
 from contactloom.plans.find import bulk_find, find_emails
+from contactloom.operators.shared import SharedRows
+from contactloom.session import new_path, run, sweep_runs, work_dir, written
 from contactloom.sources import results
+from contactloom.sources.files import Folder
 
 AS_OF = "2024-06-01 00:00:00"
 LAYOUT = schema.T.StructType([schema.FOUND[c] for c in ("company_id", "email")])
@@ -108,6 +111,13 @@ def test_documents_the_variant_parser_refuses(spark, body, want):
     assert results.rejected_results(docs).count() == (want is None)
 
 
+def test_text_behind_a_reply(spark):
+    replies = ['{"is_reachable": "safe"} and more', '{"is_reachable": "safe"}', ' {"is_reachable": "risky"} \n', '{"a": 1}{"b": 2}']
+    rows = spark.createDataFrame(list(enumerate(replies)), "company_id long, reply string").withColumn("email", F.lit("a@x.com"))
+    got = sorted((r.company_id, r.is_error, r.check_error, r.is_reachable) for r in checks.flatten_replies(rows).collect())
+    assert got == [(0, True, "json_decode_error", None), (1, False, None, "safe"), (2, False, None, "risky"), (3, True, "json_decode_error", None)]
+
+
 def test_batches_of_a_check_run(spark):
     rows = [(i, f"a{i}@x.com", i, None if i else "done") for i in range(10)]
     emails = spark.createDataFrame(rows, "company_id long, email string, id long, d string")
@@ -149,3 +159,62 @@ def test_role_patterns():
         "mail": (0.45, "general"),
     }
     assert sorted(r[0] for r in PATTERN_ROWS) == list(range(1, 27))
+
+
+def test_a_shared_host_is_not_multiplied(spark):
+    members = spark.range(100_000).select(F.col("id").alias("company_id"), F.lit("big.com").alias("domain"))
+    addresses = spark.range(100_000).select(F.lit("big.com").alias("domain"), F.concat(F.lit("A"), "id", F.lit("@big.com")).alias("email"))
+    rows = SharedRows.of(members, addresses)
+    stored = spark.createDataFrame([(7, "a1@big.com"), (7, "a2@big.com"), (8, "x@other.com"), (-1, "a1@big.com")], "company_id long, email string")
+    left = rows.without(stored)
+    assert [tuple(r) for r in left.totals().collect()] == [(100_000, 100_000, 10**10 - 2)]
+    assert left.counts().filter("n <> 100000").collect() == [(7, 99_998)] and left.counts().count() == 100_000
+    one = left.expand(spark.createDataFrame([(7,)], "company_id long"))
+    assert one.count() == 99_998
+
+
+def test_shared_rows_equal_their_expansion(spark, tmp_path):
+    companies = [(i, f"d{i % 4}.com") for i in range(23)] + [(99, None), (5, "d1.com")]
+    found = [(f"d{i % 5}.com", f" U{i}@x.com") for i in range(17)] + [(None, "a@x.com"), ("d1.com", "u1@x.com"), ("d1.com", None)]
+    rows = SharedRows.of(spark.createDataFrame(companies, "company_id long, domain string"), spark.createDataFrame(found, "domain string, email string"))
+    rows = rows.without(spark.createDataFrame([(1, "u1@x.com"), (2, "u1@x.com")], "company_id long, email string"))
+    rows.save(f"{tmp_path}/shared")
+    for r in (rows, SharedRows.load(spark, f"{tmp_path}/shared")):
+        pairs = [(p.company_id, p.email) for p in r.expand().collect()]
+        assert len(set(pairs)) == len(pairs) and (1, "u1@x.com") not in pairs and (5, "u1@x.com") in pairs
+        per = {c: sum(1 for p in pairs if p[0] == c) for c, _ in pairs}
+        assert {c.company_id: c.n for c in r.counts().collect()} == per
+        total = r.totals().first()
+        assert (total.n_companies, total.n_pairs) == (len(per), len(pairs))
+
+
+def test_carried_reports_equal_recounts(spark):
+    rows = [(i, i % 7, f"a{i}@d{i % 50}.com", "static" if i % 2 else "scraper", f"2024-01-0{1 + i % 3} 10:00:00", i % 5 == 0, i % 10 == 0) for i in range(400)]
+    raw = spark.createDataFrame(rows, "id long, company_id long, email string, source string, t string, c boolean, s boolean")
+    emails = schema.conform(
+        raw.withColumn("created_at", F.col("t").cast("timestamp_ntz")).withColumn("checked_at", F.when(F.col("c"), schema.instant(AS_OF))).withColumn("is_reachable", F.when(F.col("s"), "safe")),
+        schema.EMAILS,
+    )
+    whole = report_state.email_state(emails)
+    parts = [report_state.email_state(emails.filter(f"id % 3 = {i}")) for i in range(3)]
+    assert sorted(map(str, report_state.report(report_state.merged(*parts), "day", "source").collect())) == sorted(map(str, report_state.report(whole, "day", "source").collect()))
+    total = report_state.report(report_state.merged(report_state.merged(*parts[:2]), parts[2])).first()
+    assert (total.n_emails, total.n_checked, total.n_reachable) == (400, 80, 40) and abs(total.n_domains - 50) <= 2 and total.n_companies == 7
+
+
+def test_runs_leave_nothing_behind(spark):
+    root = Folder(spark, work_dir(spark))
+    before = set(root.names())
+    with run(spark) as folder:
+        inner = written(spark.range(5), "table")
+        with run(spark):
+            assert written(inner, "again").count() == 5
+        assert Folder(spark, folder).names()
+    assert set(root.names()) == before
+    with pytest.raises(ValueError), run(spark):
+        written(spark.range(5), "table")
+        raise ValueError
+    assert set(root.names()) == before and "run-" not in new_path(spark, "x")
+    lost = Folder(spark, f"{work_dir(spark)}/run-lost")
+    lost.create("started", "0")
+    assert "run-lost" not in sweep_runs(spark, 1) and "run-lost" in sweep_runs(spark, -1)
