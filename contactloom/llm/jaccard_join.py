@@ -3,12 +3,12 @@
 1 - Jaccard is a metric, and two texts without a common shingle lie at its
 greatest distance, 1. So the space first falls apart into islands: texts are
 connected when they share one of the rare shingles that two linked texts must
-share. An island small enough is joined in one task. A larger one gets pivots;
-every text goes to the Voronoi region of its nearest pivot, and also to every
-region whose pivot is nearer than that plus twice the threshold, which the
-triangle inequality says is enough. Regions are divided again until they fit.
-Texts within the threshold of one pivot are linked through it and need no
-comparison among themselves.
+share. Every island gets pivots; every text goes to the Voronoi region of its
+nearest pivot, and also to every region whose pivot is nearer than that plus
+twice the threshold, which the triangle inequality says is enough. Regions are
+divided again, by Spark while they are larger than a task should hold and in the task from
+there on, until a few texts are left to compare. Texts within the threshold of one pivot are
+linked through it and need no comparison among themselves.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ PERCENT = 90
 SHINGLE = 3
 # Texts joined in one task; pivots of a larger region; divisions before what is left is joined block by block.
 REGION, PIVOTS, LEVELS = 256, 16, 4
+# Pivots of a division inside a task.
+TASK_PIVOTS = 4
 # Where the regions of a division hold more than so many times its texts, it is not worth it.
 SPREAD = 3
 # Shingles with hashes below are counted over all documents, so that rare ones can come first: a fifth of all.
@@ -179,6 +181,70 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return 100 * inter >= PERCENT * union
 
 
+def voronoi_links(sets: list[np.ndarray], core: list[bool], names: list[int], joined: Forest) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that connect the texts as all links with a core text would, by pivots, regions and windows.
+
+    A region holds the texts at home in it, its core, and those in its window.
+    Any two linked texts meet in the home region of either, so a region only
+    looks for pairs with a core text. What is connected already, by earlier
+    links or by names that stand for each other, is looked for no more.
+    """
+    found: list[tuple[int, int]] = []
+    open_ = [(list(range(len(sets))), list(core))]
+    while open_:
+        members, at_home = open_.pop()
+        if len(members) < 2 or not any(at_home) or joined.is_one([names[m] for m in members]):
+            continue
+        pivots = members[:TASK_PIVOTS]
+        if len(members) <= 2 * TASK_PIVOTS:
+            pivots = members
+        near = overlaps([sets[p] for p in pivots], [sets[m] for m in members]).astype(np.int64)
+        sizes = np.array([len(sets[m]) for m in members])
+        union = np.array([len(sets[p]) for p in pivots])[:, None] + sizes[None, :] - near
+        for i, j in np.argwhere(100 * near >= PERCENT * union).tolist():
+            a, b = pivots[i], members[j]
+            if (at_home[i] or at_home[j]) and joined.join(names[a], names[b]):
+                found.append((a, b))
+        if pivots is members:
+            continue
+        far = 1 - near / union
+        home = far.argmin(axis=0)
+        window = far <= far[home, np.arange(len(members))][None, :] + 2 * (1 - PERCENT / 100) + 1e-9
+        if window.sum() > SPREAD * len(members) or window.all(axis=1).any():
+            # All texts near all pivots: the next ones have to do, until all have been a pivot.
+            open_.append((members[TASK_PIVOTS:], at_home[TASK_PIVOTS:]))
+            continue
+        for i in range(len(pivots)):
+            inside = np.flatnonzero(window[i]).tolist()
+            open_.append(([members[j] for j in inside], [at_home[j] and home[j] == i for j in inside]))
+    return found
+
+
+class Forest:
+    """Which names are connected; the smallest stands for all."""
+
+    def __init__(self, root: dict[int, int]):
+        self.root = root
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False where they were connected."""
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+        return x != y
+
+    def is_one(self, names: list[int]) -> bool:
+        first = self.top(names[0])
+        return all(self.top(n) == first for n in names)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Consecutive rows with equal keys."""
     key, rows = None, []
@@ -208,21 +274,17 @@ def _joined(cells: DataFrame) -> DataFrame:
             right = left if rows[0]["a"] == rows[0]["b"] else [r for r in rows if r["side"] == 1]
             if not left or not right:
                 continue
-            root = {r["sig"]: r["sig"] if r["label"] is None else r["label"] for r in rows}
-
-            def top(x):
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
             # A label is a text already known to be linked; it stands for its followers.
+            joined = Forest({r["sig"]: r["sig"] if r["label"] is None else r["label"] for r in rows})
             found = []
-            for i, j in np.argwhere(linked([r["set"] for r in left], [r["set"] for r in right])).tolist():
-                x, y = left[i], right[j]
-                if (x["core"] or y["core"]) and (p := top(x["sig"])) != (q := top(y["sig"])):
-                    root[max(p, q)] = min(p, q)
-                    root.setdefault(min(p, q), min(p, q))
-                    found.append((x["sig"], y["sig"]))
+            if right is left:
+                links = voronoi_links([r["set"] for r in left], [r["core"] for r in left], [r["sig"] for r in left], joined)
+                found = [(left[i]["sig"], left[j]["sig"]) for i, j in links]
+            else:
+                for i, j in np.argwhere(linked([r["set"] for r in left], [r["set"] for r in right])).tolist():
+                    x, y = left[i], right[j]
+                    if (x["core"] or y["core"]) and joined.join(x["sig"], y["sig"]):
+                        found.append((x["sig"], y["sig"]))
             if found:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])

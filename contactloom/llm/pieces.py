@@ -196,8 +196,8 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = False) ->
 
     ``path`` is the model file, at the same place on every machine. With
     ``keep_ids`` the ids and the decoded text follow. A null text is empty: the
-    end id alone. Repeated rows get equal results; other columns are left out.
-    Moves no rows.
+    end id alone. Repeated rows get equal results; an empty table gives an empty one; other columns are left out.
+    A very long text is one row, encoded whole. Moves no rows.
     """
     docs = one_column(documents, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

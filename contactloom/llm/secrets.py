@@ -135,7 +135,9 @@ def find_secrets(documents: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, digest of their spans, all spans as text.
 
     Spans are in code points, end exclusive. A null or empty text has none;
-    repeated rows get equal results; other columns are left out. Moves no rows.
+    repeated rows get equal results; an empty table gives an empty one; other columns are left out.
+    Where spans of several kinds begin at one place, kinds come as listed. A very long text is read whole,
+    in one row. Moves no rows.
     """
     docs = one_column(documents, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -41,7 +41,7 @@ LONGEST, EVERY = 20, 64
 # Ids after which a block ends, with the document they belong to; bytes of a file read by one task.
 BLOCK_IDS, PART_BYTES = 1 << 17, 32 << 20
 # Different words whose ids a process remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 END_ID = 0
 NO_TEXT = b""
 _BLOCK = struct.Struct("<IQQIII")
