@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's docs. All but the last return the columns of docs.
+
+In every stage an empty table gives an empty one, equal rows get equal
+verdicts, a very long text is one row, judged whole, and columns of any name
+pass through; what becomes of null and empty texts is said at each.
 """
 
 from __future__ import annotations
@@ -48,19 +52,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+    """One document of each group of near copies: that with the smallest doc_id; all rows of that id.
+
+    Texts without a word, null ones too, are near to nothing and stay.
+    """
     held, back = _aside(docs)
     return back(jaccard_join.keep_one(held))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items; those without a word are clean."""
     held, back = _aside(docs)
     return back(decontaminate.clean(held, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, counted and digested, and the digest of the text decoded from them."""
+    """Ids of every text, counted and digested, and the digest of the text decoded from them; a null text has the end id only."""
     import public_tokenizers
 
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
