@@ -29,8 +29,8 @@ MISSED, SHARE = 0.01, 0.6
 # Letters needed before distance may reject: very short texts lie far from everything.
 MIN_LETTERS = 40
 UNDETERMINED = "und"
-# Characters of a text looked at together.
-PART = 1 << 20
+# Characters of a text, and texts, looked at together.
+PART, TOGETHER = 1 << 20, 64
 COLUMNS = "lang_pred string, score double, rejected boolean"
 
 
@@ -87,17 +87,26 @@ class Centroids:
     langs: list[str]
     least: np.ndarray
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroid and cosine of each row of counts."""
-        x = unit(np.log1p(counts, dtype=np.float32) * self.idf)
+    def predict(self, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest centroid and cosine of each vector of counts."""
+        x = weighted(np.stack(counts, dtype=np.float32, casting="unsafe"), self.idf)
         similar = x @ self.vectors.T
         best = similar.argmax(axis=1)
         return best, similar[np.arange(len(best)), best]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+    """Rows of length 1, in place."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 0, norm, 1)
+    return x
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF vectors of length 1, in the place of the counts."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    return unit(counts)
 
 
 def clustered(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +120,9 @@ def clustered(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     centres = x[starts]
     for _ in range(ROUNDS):
         own = (x @ centres.T).argmax(axis=1)
-        centres = unit(np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))]))
+        member = (own[None, :] == np.arange(len(centres))[:, None]).astype(x.dtype)
+        sums, sizes = member @ x, member.sum(axis=1)[:, None]
+        centres = unit(np.where(sizes > 0, sums / np.maximum(sizes, 1), centres))
     return centres, (x @ centres.T).argmax(axis=1)
 
 
@@ -125,7 +136,7 @@ def language_centroids(vectors: list[tuple[bytes, bytes]], idf: np.ndarray) -> l
     x = np.zeros((len(vectors), FEATURES), np.float32)
     for row, (index, counts) in zip(x, sorted(vectors)):
         row[np.frombuffer(index, "<u2")] = np.frombuffer(counts, "<f4")
-    x = unit(np.log1p(x, out=x) * idf)
+    x = weighted(x, idf)
     centres, member = clustered(x, CLUSTERS)
     everywhere = (x @ centres.T).max(axis=1)
     out = []
@@ -238,13 +249,13 @@ def identify(documents: DataFrame, model: Centroids | None) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 langs, scores, rejected = [], [], []
                 texts = part.column("text").to_pylist()
-                for at in range(0, len(texts), 256):
-                    found = [features(t or "", table) for t in texts[at : at + 256]]
+                for at in range(0, len(texts), TOGETHER):
+                    found = [features(t or "", table) for t in texts[at : at + TOGETHER]]
                     sizes = [n for _, n in found]
                     if centroids is None:
                         best, near = [0] * len(found), [0.0] * len(found)
                     else:
-                        best, near = centroids.predict(np.stack([c for c, _ in found]))
+                        best, near = centroids.predict([c for c, _ in found])
                     for n, b, s in zip(sizes, best, near):
                         known = n > 0 and centroids is not None
                         langs.append(centroids.langs[b] if known else UNDETERMINED)
