@@ -16,7 +16,7 @@ from contactloom.llm.vocabulary import Words
 
 from . import brute
 
-LONG = "the quick brown fox jumps over the lazy dog again " * 30_000
+LONG = "the quick brown fox jumps over the lazy dog again " * 6_000
 SAME = "one two three four five six seven eight nine ten " * 12
 ROWS = [(1, None), (2, ""), (3, " \n"), (4, LONG), (5, SAME), (5, SAME), (6, SAME), (7, "a"), (None, None), (None, SAME), (8, "A"), (9, LONG[: -1])]
 # Names the operators use themselves, or might.
