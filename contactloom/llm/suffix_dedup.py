@@ -17,9 +17,11 @@ share 400 bytes is all that is asked of the order.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,28 +291,41 @@ def _indexed(rows: DataFrame, tasks: int) -> DataFrame:
 def _found(family: Family, owners: list[tuple]):
     names = ["kind", "key", "start", "stop", "head_print", "open"]
     kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-    out, at = [], 0
-    shown = {}
-    if any(split for *_, split, _ in owners):
-        for level in family.levels:
-            keep = ~np.isin(level.numbers, list(shown))
-            shown |= dict(zip(level.numbers[keep].tolist(), level.keys[keep].tolist()))
-    for key, first, is_open, split, n in owners:
-        hit = family.hit[at : at + n]
-        if is_open and hit.any():
+    if not owners:
+        return
+    sizes = np.array([n for *_, n in owners], np.int64)
+    ends = np.cumsum(sizes)
+    firsts = np.array([first for _, first, *_ in owners], np.int64)
+    is_open = np.array([x for _, _, x, _, _ in owners], bool)
+    split = np.array([x for _, _, _, x, _ in owners], bool)
+
+    def batches(rows):
+        while some := list(itertools.islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names)
+
+    def repeated():
+        for (key, first, wanted, _, n), end in zip(owners, ends.tolist()):
+            if not wanted:
+                continue
+            hit = family.hit[end - n : end]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             for a, b in edge.reshape(-1, 2).tolist():
-                out.append((0, key, first + a, first + b - 1 + LENGTH, None, None))
-        if split:
-            for j in range(n):
-                if (k := shown.get(at + j)) is not None:
-                    out.append((1, key, first + j, first + j + LENGTH, k.ljust(16, b"\0"), bool(is_open and not hit[j])))
-        at += n
-        if len(out) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                yield 0, key, first + a, first + b - 1 + LENGTH, None, None
+
+    def shown():
+        """One window of every key, of the rows whose gram other tasks have too."""
+        for level in family.levels:
+            owner = np.searchsorted(ends, level.numbers, "right")
+            for at in np.array_split(np.flatnonzero(split[owner]), len(owner) // 50_000 + 1):
+                own, number = owner[at], level.numbers[at]
+                start = firsts[own] + number - (ends - sizes)[own]
+                late = is_open[own] & ~family.hit[number]
+                for o, x, k, y in zip(own.tolist(), start.tolist(), level.keys[at].tolist(), late.tolist()):
+                    yield 1, owners[o][0], x, x + LENGTH, k.ljust(16, b"\0"), y
+
+    yield from batches(repeated())
+    if split.any():
+        yield from batches(shown())
 
 
 def _tasks(rows: DataFrame) -> tuple[int, int]:
@@ -353,15 +368,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return every.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def merged_spans(spans: list, n: int) -> list[tuple[int, int]]:
+def merged_spans(start: np.ndarray, stop: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Sorted, and joined where they overlap or touch."""
-    out: list[list[int]] = []
-    for start, stop in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [(a, min(b, n)) for a, b in out]
+    if not len(start):
+        return []
+    order = np.argsort(start)
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    begin = np.concatenate([[True], start[1:] > stop[:-1]])
+    end = np.concatenate([begin[1:], [True]])
+    return list(zip(start[begin].tolist(), np.minimum(stop[end], n).tolist()))
 
 
 def remove_repeats(documents: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -383,7 +398,10 @@ def remove_repeats(documents: DataFrame, with_kept: bool = False) -> DataFrame:
     spans = repeated_spans(_distinct_in_task(docs))
     long = docs.filter(F.octet_length("text") >= LENGTH)
     copies = long.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("copied"), F.col("count").alias("n"))
-    marks = copies.join(spans, "key", "full_outer").withColumn("n", F.coalesce("n", F.lit(1)))
+    # Copies go as a whole, so their spans needn't follow each of them.
+    marks = copies.join(spans, "key", "full_outer").withColumns(
+        {"n": F.coalesce("n", F.lit(1)), "spans": F.when(F.col("copied").isNull(), F.col("spans"))}
+    )
     # The copies of one text stay where they are; every other text moves once.
     return _cut(join_counted(docs, written(marks, "suffix-marks"), ["key"], "n", "left"), with_kept)
 
@@ -397,10 +415,15 @@ def _cut(state: DataFrame, with_kept: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                lists = zip(utf8(part.column("text")), part.column("copied").to_pylist(), part.column("spans").to_pylist())
-                for text, copied, spans in lists:
+                spans = part.column("spans")
+                flat = spans.flatten()
+                start, stop = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+                before = 0
+                for text, copied, end in zip(utf8(part.column("text")), part.column("copied").to_pylist(), ends.tolist()):
                     n = len(text)
-                    gone = [(0, n)] if copied else merged_spans([(s["start"], s["stop"]) for s in spans or ()], n)
+                    gone = [(0, n)] if copied else merged_spans(start[before:end], stop[before:end], n)
+                    before = end
                     kept, at = [], 0
                     for a, b in gone:
                         kept.append(text[at:a])
