@@ -34,10 +34,9 @@ from .hot import join_counted
 LENGTH, GRAM = 400, 32
 # Bytes looked at at once; small enough for the processor's cache.
 STEP = 1 << 18
-# Windows in a batch of the family; bytes of contexts in a task.
+# Windows in a batch of the family; bytes of contexts in a task; an anchor gram with more is dealt to several tasks,
+# at the price of a row for each of its windows.
 BATCH, TASK_BYTES = 1 << 18, 4 << 20
-# An anchor gram with more bytes than an average task, and than this, is dealt to several tasks.
-WHOLE_BYTES = 1 << 16
 # Pairs of windows compared at once, byte by byte.
 COMPARED = 1 << 11
 # Different texts a task remembers, to hand on copies once.
@@ -328,10 +327,9 @@ def _found(family: Family, owners: list[tuple]):
         yield from batches(shown())
 
 
-def _tasks(rows: DataFrame) -> tuple[int, int]:
-    """Tasks for the families, and bytes of all contexts."""
+def _tasks(rows: DataFrame) -> int:
     size = rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES), size
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -352,13 +350,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     wanted = groups.filter("mixed").select("gram", "one.*", (F.col("n") == 1).alias("open"))
     data = written(_with_bytes(texts, wanted), "suffix-bytes")
     sizes = data.groupBy("gram").agg(F.sum(F.octet_length("bytes")).alias("size"))
-    tasks, size = _tasks(data)
-    most = min(TASK_BYTES, max(WHOLE_BYTES, size // tasks))
-    share = sizes.select("gram", F.ceil(F.col("size") / most).cast("int").alias("salts"))
+    share = sizes.select("gram", F.ceil(F.col("size") / TASK_BYTES).cast("int").alias("salts"))
     share = written(share.filter("salts > 1"), "suffix-shares")
     split = join_counted(data, share, ["gram"], "salts", "left").withColumn("split", F.col("salts").isNotNull())
     salted = split.withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.coalesce("salts", F.lit(1))))
-    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes"), tasks), "suffix-found")
+    found = written(_indexed(salted.select("gram", "salt", "key", "first", "open", "split", "bytes"), _tasks(data)), "suffix-found")
     across = found.filter("kind = 1")
     twice = across.groupBy("head_print").count().filter("count > 1").select("head_print")
     late = across.filter("open").join(twice, "head_print", "left_semi")
