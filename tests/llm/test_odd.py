@@ -171,3 +171,23 @@ def test_equally_near_centroids_and_the_same_model_in_any_order(spark):
     two = language_id.fit_documents(spark.createDataFrame(texts[::-1], "doc_id long, text string, lang string").repartition(5))
     assert one.langs == two.langs and np.allclose(one.vectors, two.vectors) and np.allclose(one.least, two.least)
     assert language_id.fit_documents(spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, "1", "x")], "doc_id long, text string, lang string")) is None
+
+
+def test_quality_fitted_on_every_trusted_document(spark):
+    """More trusted documents than a sample would hold (20,000): the threshold is that of all their scores."""
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}-"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(40))) for i in range(52)])
+    documents = spark.range(24_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = documents.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality_rules.bucket_counts(documents, quality_rules.trusted_labels(labels))[1].sum() == 24_000 * (52 + 51)
+    got = quality_rules.judge_quality(documents, labels).select("score", "threshold").collect()
+    scores = [r.score for r in got]
+    low = np.quantile(scores, quality_rules.MISSED)
+    assert math.isclose(got[0].threshold, low - quality_rules.ROOM * (np.median(scores) - low), rel_tol=1e-12)
+
+
+def test_values_at_places(spark):
+    rows = [(-1.5, 3), (0.0, 1), (1e-300, 2), (0.25, 1_000_000), (0.25000000000000006, 4), (7.0, 1)]
+    counted = spark.createDataFrame(rows, "v double, n long")
+    places = [0, 2, 3, 4, 5, 6, 1_000_005, 1_000_006, 1_000_010]
+    want = [-1.5, -1.5, 0.0, 1e-300, 1e-300, 0.25, 0.25, 0.25000000000000006, 7.0]
+    assert quality_rules.values_at(counted, places) == dict(zip(places, want))
