@@ -13,9 +13,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 from ..session import written
+from .skew import dealt
 
 # Rows handed to a user's function at once; characters of an error that are kept.
 BATCH_ROWS, ERROR_CHARS = 1000, 500
+# Rows of a task that calls a user's function.
+CALL_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,8 @@ def guarded(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], layout,
 
     A batch on which ``fn`` raises, or gives something else than ``layout``, is
     halved until single rows are left; those become errors, all others keep
-    their results. ``fn`` may so see a row several times. The outcome is
+    their results. ``fn`` may so see a row several times. Rows are dealt into
+    tasks of CALL_ROWS first, since a table of one row group would be one task. The outcome is
     written once, so that results and errors come from the same calls.
     """
     fields = [rows.schema[c] for c in key]
@@ -66,7 +70,7 @@ def guarded(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], layout,
             for start in range(0, batch.num_rows, batch_rows):
                 yield from attempt(batch.slice(start, batch_rows))
 
-    done = written(rows.mapInArrow(run, out_type), "guarded")
+    done = written(dealt(rows, CALL_ROWS).mapInArrow(run, out_type), "guarded")
     good = done.filter(F.col("_error").isNull()).select(*names)
     return Guarded(good, done.filter(F.col("_error").isNotNull()).select("_key.*", F.col("_error").alias("error")))
 

@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALTS = 16
+# Rows a task works on where it makes several of each or calls a user's function.
+TASK_ROWS = 50_000
 MAX_HOT = 200
 TRACKED = 10_000
 
 
+def dealt(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``task_rows`` rows, however the files it comes from are cut; as it is where no task has twice as many.
+
+    One row group is one task, of any number of rows. Rows go by a hash of all
+    their columns, so a common key is spread; only equal rows stay together.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= 2 * task_rows:
+        return df
+    plain = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // task_rows))
+    return df.repartition(tasks, F.xxhash64(*plain))
+
+
 def hot_keys(df: DataFrame, key: str, max_hot: int = MAX_HOT, at_least: int = 1000) -> list:
     """Keys holding more than a ``1 / max_hot`` share of the rows: at most ``max_hot`` values.
 

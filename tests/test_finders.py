@@ -1,11 +1,14 @@
 """Finders, their registry, and the jobs built on them."""
 
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from contactloom import schema
 from contactloom.functions import patterns as P
 from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, StaticFinder
+from contactloom.operators.guarded import guarded
 from contactloom.plans import check as check_plans
 from contactloom.plans import find as find_plans
 
@@ -216,3 +219,18 @@ def test_site_depth(spark, depth, limit_urls, want):
     found = SiteFinder(pages, depth, limit_urls).find(companies(spark, [(1, "S", "s.org")]), AS_OF)
     assert sorted(locals_of(found)) == want.split()
     assert {r["metadata"]["crawl_depth"] for r in found.collect()} == {str(depth)}
+
+
+def test_user_function_runs_in_many_tasks(spark):
+    """A table of one partition (one row group) is no single task of calls."""
+    layout = schema.T.StructType([schema.T.StructField("id", schema.T.LongType()), schema.T.StructField("task", schema.T.LongType())])
+
+    def fn(frame):
+        if (frame["id"] == 7).any():
+            raise ValueError("seven")
+        return pd.DataFrame({"id": frame["id"], "task": TaskContext.get().partitionId()})
+
+    done = guarded(spark.range(0, 30_000, 1, 1), fn, layout, ["id"])
+    assert done.rows.select("task").distinct().count() > 1
+    assert done.rows.select("id").distinct().count() == 29_999
+    assert [tuple(r) for r in done.errors.collect()] == [(7, "ValueError: seven")]
