@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..operators import queues, reports, store
 from ..operators.finders import Finder, Registry
+from ..operators.skew import dealt
 from ..session import written
 from ..sources.results import existing_emails
 from .check import Checker, ReplyLogChecker
@@ -86,7 +87,7 @@ def bulk_find(
         queue = written(queues.bulk_queue(companies, finder.name, limit, offset), "queue")
     else:
         queue = queues.open_for(companies, finder.name)
-    named = queue.withColumn("name", F.coalesce("name", F.lit(schema.UNNAMED_COMPANY)))
+    named = dealt(queue.withColumn("name", F.coalesce("name", F.lit(schema.UNNAMED_COMPANY))))
     found = finder.find(named, as_of, 0)
     if existing and "existing" in companies.columns:
         found = store.merge_existing(found, existing_emails(named), finder.name, 0, as_of)

@@ -234,3 +234,10 @@ def test_user_function_runs_in_many_tasks(spark):
     assert done.rows.select("task").distinct().count() > 1
     assert done.rows.select("id").distinct().count() == 29_999
     assert [tuple(r) for r in done.errors.collect()] == [(7, "ValueError: seven")]
+
+
+def test_bulk_run_of_one_partition_runs_in_many_tasks(spark):
+    c = schema.conform(spark.range(0, 120_000, 1, 1).selectExpr("id", "'A' AS name", "concat('c', id, '.org') AS website"), schema.COMPANIES)
+    done = find_plans.bulk_find(c, schema.empty_table(spark, schema.EMAILS), StaticFinder(0.95, 1), AS_OF)
+    assert len(done.found.inputFiles()) > 1
+    assert done.added.count() == 120_000
