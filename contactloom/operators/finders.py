@@ -8,7 +8,7 @@ Pandas UDF or ``mapInPandas`` inside.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +18,13 @@ from .. import schema
 from ..functions import patterns as P
 from ..functions.domains import domain_static, domain_strict, is_valid_domain
 from ..functions.emails import extract_emails
+from ..session import written
 from ..sources.results import emails_from_results
 from .links import page_address, pages_in_scope, site_key
 from .queues import has_website, site_domain, with_domain, with_valid_domain
 from .rank import top_n_per_group
-from .shared import SharedRows
-from .skew import grid_join, hot_keys, salted_join
+from .shared import SharedFound, SharedRows
+from .skew import dealt, grid_join, hot_keys, salted_join
 
 
 class Finder(Protocol):
@@ -132,7 +133,7 @@ class HarvestFinder:
 
     def find(self, companies: DataFrame, as_of: str, method_ord: int = 1) -> DataFrame:
         # Repeats go before the join, partly on the map side.
-        addresses = emails_from_results(self.results, ["company_id"])
+        addresses = emails_from_results(dealt(self.results.select("company_id", "body")), ["company_id"])
         targets = self.valid(companies).select(F.col("id").alias("company_id"), "domain")
         hot = hot_keys(self.results, "company_id")
         rows = salted_join(addresses, targets, "company_id", "inner", F.col("email"), hot)
@@ -225,6 +226,9 @@ class SiteFinder:
         rows = grid_join(targets, addresses, "domain", F.col("company_id"), F.col("email"), hot)
         if self.limit:
             rows = top_n_per_group(rows, ["company_id"], ["email"], self.limit)
+        return self._layout(rows, as_of, method_ord)
+
+    def _layout(self, rows: DataFrame, as_of: str, method_ord: int) -> DataFrame:
         metadata = F.create_map(
             F.lit("domain"), F.col("domain"), F.lit("crawl_depth"), F.lit(str(self.depth))
         )
@@ -232,6 +236,18 @@ class SiteFinder:
         rows = rows.withColumn("seq", F.lit(0))
         return _found(rows, self.name, method_ord, as_of, details, F.lit(self.confidence), metadata)
 
+    def split(self, companies: DataFrame, as_of: str, method_ord: int) -> tuple[DataFrame, SharedFound]:
+        """What ``find`` gives without a cap: the rows of companies with several domains or no id, and all others unmultiplied."""
+        targets = self.valid(companies).groupBy(F.col("id").alias("company_id"), "domain").agg(F.count(F.lit(1)).alias("copies"))
+        targets = written(targets, "site-targets")
+        addresses = written(self.addresses().filter(F.col("domain").isNotNull()), "site-addresses")
+        domains = F.min("domain").alias("domain"), F.max("domain").alias("_last"), F.sum("copies").alias("copies")
+        per = targets.filter(F.col("company_id").isNotNull()).groupBy("company_id").agg(*domains)
+        members = written(per.filter(F.col("domain") == F.col("_last")).drop("_last"), "site-members")
+        others = targets.join(members.select("company_id"), "company_id", "left_anti")
+        shared = SharedFound(members, addresses, self.name, method_ord, lambda rows: self._layout(rows, as_of, method_ord))
+        return replace(shared, members=others).found(), shared
+
 
 class Registry:
     """Finders by name. They run in the order asked for, else by priority (low first), then as added.

@@ -102,13 +102,17 @@ def top_domains(sizes: DataFrame, n: int = 10) -> DataFrame:
     return sizes.filter(F.col("n_emails") > 0).orderBy(F.desc("n_emails"), "domain").limit(n)
 
 
-def workflow_counters(companies: DataFrame, found: DataFrame, methods: list[str]) -> DataFrame:
+def found_per_method(found: DataFrame) -> DataFrame:
+    return found.groupBy("company_id", "method").agg(_count().alias("n"))
+
+
+def workflow_counters(companies: DataFrame, found: DataFrame, methods: list[str], counted: DataFrame | None = None) -> DataFrame:
     """Per company: addresses found before any dedup, and the methods that ran.
 
-    Counted per company and method first, so a company of many rows is small
+    Counted per company and method first (``counted``, where that is known), so a company of many rows is small
     before it is gathered.
     """
-    per_method = found.groupBy("company_id", "method").agg(_count().alias("n"))
+    per_method = found_per_method(found) if counted is None else counted
     per_company = per_method.groupBy("company_id").agg(F.sum("n").alias("n"), _count().alias("m"))
     ids = companies.select(F.col("id").alias("company_id"))
     return ids.join(per_company, "company_id", "left").select(

@@ -7,6 +7,7 @@ totals are worked out from the two, and rows are made only where asked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +92,63 @@ class SharedRows:
     @staticmethod
     def load(spark: SparkSession, path: str) -> SharedRows:
         return SharedRows(*[spark.read.parquet(f"{path}/{part}") for part in ("members", "addresses", "known")])
+
+
+# Taken addresses of a company that are carried as a list in its row.
+LISTED = 64
+
+
+@dataclass(frozen=True)
+class SharedFound:
+    """Found rows as ``members`` (company_id, domain, copies) times ``addresses`` (domain, email).
+
+    Every company stands once with its only domain, and how many rows it has
+    itself; every address stands once per domain, in the form it is stored in.
+    ``layout`` makes found rows of (company_id, domain, email). Rows are made
+    where they are read, by a join that sorts members and addresses alone.
+    """
+
+    members: DataFrame
+    addresses: DataFrame
+    method: str
+    method_ord: int
+    layout: Callable[[DataFrame], DataFrame]
+
+    def _pairs(self, members: DataFrame) -> DataFrame:
+        hot = sorted({*hot_keys(self.members, "domain"), *hot_keys(self.addresses, "domain")})
+        return grid_join(members, self.addresses, "domain", F.col("company_id"), F.col("email"), hot)
+
+    def found(self) -> DataFrame:
+        """All rows, as often as they were found."""
+        return self.layout(self._pairs(self.members.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))))
+
+    def inside(self, keys: DataFrame) -> DataFrame:
+        """The distinct (company_id, email) among ``keys`` that are in the product, with domain and copies; written once."""
+        own = keys.select(*PAIR).join(self.members, "company_id")
+        return written(own.join(self.addresses, ["domain", "email"], "left_semi").distinct(), "shared-inside")
+
+    def rows(self, inside: DataFrame) -> DataFrame:
+        """Found rows of what ``inside`` gave."""
+        return self.layout(inside)
+
+    def rows_without(self, taken: DataFrame) -> DataFrame:
+        """Each row once, but for the (company_id, email) of ``taken``, which come from ``inside``.
+
+        A company carries its taken addresses, so the product is not sorted to
+        leave them out; only companies with more than LISTED of them meet them in a join.
+        """
+        sizes = written(taken.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")), "shared-taken")
+        many = sizes.filter(F.col("n") > LISTED).select("company_id")
+        few = taken.join(sizes.filter(F.col("n") <= LISTED).select("company_id"), "company_id", "left_semi")
+        lists = few.groupBy("company_id").agg(F.collect_list("email").alias("_taken"))
+        light = self.members.join(many, "company_id", "left_anti").join(lists, "company_id", "left")
+        free = F.col("_taken").isNull() | ~F.array_contains("_taken", F.col("email"))
+        rows = self.layout(self._pairs(light).filter(free))
+        heavy = self._pairs(self.members.join(many, "company_id", "left_semi")).join(taken.select(*PAIR), PAIR, "left_anti")
+        return rows.unionByName(self.layout(heavy))
+
+    def counts(self) -> DataFrame:
+        """(company_id, method, n) of the companies with rows."""
+        sizes = self.addresses.groupBy("domain").agg(F.count(F.lit(1)).alias("_size"))
+        each = salted_join(self.members, sizes, "domain", "inner", F.col("company_id"), hot_keys(self.members, "domain"))
+        return each.select("company_id", F.lit(self.method).alias("method"), (F.col("copies") * F.col("_size")).alias("n"))

@@ -1,5 +1,7 @@
 """Finders, their registry, and the jobs built on them."""
 
+import glob
+
 import pandas as pd
 import pytest
 from pyspark import TaskContext
@@ -11,6 +13,7 @@ from contactloom.operators.finders import HarvestFinder, Registry, SiteFinder, S
 from contactloom.operators.guarded import guarded
 from contactloom.plans import check as check_plans
 from contactloom.plans import find as find_plans
+from contactloom.session import run
 
 AS_OF = "2024-01-01 00:00:00"
 
@@ -241,3 +244,69 @@ def test_bulk_run_of_one_partition_runs_in_many_tasks(spark):
     done = find_plans.bulk_find(c, schema.empty_table(spark, schema.EMAILS), StaticFinder(0.95, 1), AS_OF)
     assert len(done.found.inputFiles()) > 1
     assert done.added.count() == 120_000
+
+
+HOST_ROWS = [(i, "S", "big.org") for i in range(40)] + [
+    (40, "S", "big.org"), (40, "S", "big.org"), (41, "S", "big.org"), (41, "S", "other.org"), (None, "S", "big.org"), (None, "S", "other.org"),
+    (42, "S", "none.org"), (43, "S", None),
+]
+HOST_MAILS = {"big.org": [f"m{i}@big.org" for i in range(99)] + ["info@big.org"], "other.org": ["m1@big.org", "o@other.org"]}
+
+
+@pytest.fixture(scope="module")
+def shared_host(spark):
+    pages = [(i, f"http://{d}/{i}", f"<p>{m}</p>") for i, (d, m) in enumerate((d, m) for d, all_ in HOST_MAILS.items() for m in all_)]
+    results = [(3, '["m3@big.org", "x@y.org"]'), (40, '["m4@big.org"]')]
+    held = [(5, m) for m in HOST_MAILS["big.org"][:80]] + [(6, "m0@big.org"), (6, "far@big.org"), (41, "m1@big.org"), (None, "m0@big.org")]
+    stored = spark.createDataFrame([(i, m, "old") for i, m in held], "company_id bigint, email string, source string")
+    registry = Registry(
+        SiteFinder(spark.createDataFrame(pages, "page_id bigint, url string, html string"), priority=2),
+        HarvestFinder(spark.createDataFrame(results, "company_id bigint, body string"), priority=1),
+        StaticFinder(0.9, 8, priority=3),
+    )
+    return registry, schema.conform(stored, schema.EMAILS), held
+
+
+def test_shared_host_is_not_multiplied(spark, shared_host):
+    """The workflow writes no table with a row for every company and address, and gives all of them all the same."""
+    registry, stored, held = shared_host
+    said = [(2, "m2@big.org", "safe"), (2, "M2@big.org", "safe"), (40, "m9@big.org", "safe"), (5, "m1@big.org", "risky"), (9, "gone@big.org", "safe")]
+    replies = spark.createDataFrame([(i, m, f'{{"is_reachable": "{r}"}}') for i, m, r in said], "company_id bigint, email string, reply string")
+    order = {"harvester": 0, "scraper": 1, "static": 2}
+    found = [(i, m, "scraper") for i, _, d in HOST_ROWS for m in HOST_MAILS.get(d, ())]
+    found += [(3, "m3@big.org", "harvester"), (3, "x@y.org", "harvester"), *[(40, "m4@big.org", "harvester")] * 2]
+    found += [(i, f"{x}@{d}", "static") for i, _, d in HOST_ROWS if d for x in ("info", "contact")]
+    best = {}
+    for i, m, s in sorted(found, key=lambda r: order[r[2]]):
+        best.setdefault((i, m), s)
+    results = {(2, "m2@big.org"): "safe", (40, "m9@big.org"): "safe", (5, "m1@big.org"): "risky"}
+    taken = {(i, m) for i, m in held if i is not None}
+    want = [(i, m, "old") for i, m in held] + [(i, m, s) for (i, m), s in best.items() if (i, m) not in taken]
+
+    with run(spark) as folder:
+        done = find_plans.complete_workflow(tracked(spark, HOST_ROWS), stored, registry, AS_OF, replies=replies)
+        emails = [(r.company_id, r.email, r.source, r.is_reachable) for r in done.emails.collect()]
+        assert sorted(map(str, emails)) == sorted(str((*w, results.get(w[:2]))) for w in want)
+        assert sorted(map(str, ((r.company_id, r.email, r.method) for r in done.found.collect()))) == sorted(map(str, found))
+        checked = sum((i, m) in results for i, m, _ in found)
+        # Every row of a repeated company counts what its id has; rows without an id have no count.
+        counted = sum(j == i is not None for i, _, _ in HOST_ROWS for j, _, _ in found)
+        assert tuple(done.totals.first()) == (len(HOST_ROWS), counted, checked)
+        ran = {r.id: r.email_methods_completed for r in done.companies.collect()}
+        assert ran[0] == ["scraper", "static"] and ran[3] == ["harvester", "scraper", "static"] and ran[42] == ["static"] and ran[43] is None
+        assert max(spark.read.parquet(p).count() for p in glob.glob(f"{folder}/*-*") if glob.glob(f"{p}/*.parquet")) < 1000
+
+
+def test_shared_host_bulk_run(spark, shared_host):
+    registry, stored, held = shared_host
+    c = tracked(spark, HOST_ROWS).withColumn("existing", F.lit("M7@big.org, own@big.org"))
+    with run(spark):
+        done = find_plans.bulk_find(c, stored, registry.finders["scraper"], AS_OF)
+        added = [(r.company_id, r.email, r.source) for r in done.added.collect()]
+        counts = {r.company_id: tuple(r)[1:] for r in done.counts.collect()}
+    taken = {(i, m) for i, m in held if i is not None}
+    scraped = {(i, m) for i, _, d in HOST_ROWS for m in HOST_MAILS.get(d, ())}
+    listed = {(i, m) for i, _, d in HOST_ROWS if d for m in ("m7@big.org", "own@big.org")} - scraped
+    want = [(*k, "scraper") for k in scraped - taken] + [(*k, "existing") for k in listed - taken]
+    assert sorted(map(str, added)) == sorted(map(str, want))
+    assert counts[0] == (100, 1, 101) and counts[5] == (100, 1, 21) and counts[40] == (200, 2, 101) and counts[42] == (0, 2, 2)
