@@ -10,12 +10,9 @@ order and says how many ids lie before each part of them.
 
 from __future__ import annotations
 
-import array
 import functools
-import itertools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -24,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +38,9 @@ MAGIC, SUFFIX, MANIFEST = b"HUFFIDS1", ".ids", "_manifest-"
 LONGEST, EVERY = 20, 64
 # Ids after which a block ends, with the document they belong to; bytes of a file read by one task.
 BLOCK_IDS, PART_BYTES = 1 << 17, 32 << 20
-# Different words whose ids a process remembers.
-REMEMBERED = 1_600_000
+# Bytes in which a process remembers ids of different pieces of texts, some three million.
+REMEMBERED = 160 << 20
 END_ID = 0
-NO_TEXT = b""
 _BLOCK = struct.Struct("<IQQIII")
 COLUMNS = "doc_id long, start long, n_tokens long, ids binary"
 LAYOUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -335,16 +332,156 @@ class TokenWriter(DataSourceArrowWriter):
 # ---- tokens
 
 
-class Tokens:
-    """Ids of texts by the tokenizers library, which is asked once for every different piece of a text.
-
-    This tokenizer never joins characters across a space between two others,
-    nor across a change from a letter to a sign, so a text may be cut there and
-    the ids put together again.
+# What a byte belongs to. OTHER is a character that surely is no white space, ANY one of which nothing is said.
+LETTER, DIGIT, SIGN, OTHER, SPACE, ANY = (1 << i for i in range(6))
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[:128] = SIGN
+_KINDS[[*range(ord("0"), ord("9") + 1)]] = DIGIT
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+_KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+_KINDS[0x1C:0x20] = ANY
+# White space beyond Latin-1, and characters that once were.
+_SPACES = np.array([0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000])
+# Bytes of a piece that are a key by themselves, and what fills up shorter ones: no text has the byte 255.
+KEY_BYTES = 16
+_FILL = np.array([[2**64 - 2 ** (8 * min(8, max(0, n - 8 * lane))) for lane in (0, 1)] for n in range(KEY_BYTES + 1)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+# Pieces looked up at once; pieces in one question to the library.
+LOOKED_UP, ASKED = 1 << 18, 1000
+
+
+def byte_kinds(data: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """The kind of every byte of UTF-8 texts; strings that stand for an id of their own are ANY."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first, second = data[lead], data[lead + 1]
+        letter = lead[(first == 0xC3) & (second != 0x97) & (second != 0xB7)]
+        kinds[letter] = kinds[letter + 1] = LETTER
+        space = lead[(first == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        kinds[space] = kinds[space + 1] = ANY
+        wide = lead[(first >= 0xE1) & (first <= 0xE3)]
+        point = (data[wide] & np.int64(15)) << 12 | (data[wide + 1] & np.int64(63)) << 6 | (data[wide + 2] & np.int64(63))
+        space = wide[np.isin(point, _SPACES)]
+        kinds[space] = kinds[space + 1] = kinds[space + 2] = ANY
+    raw = data.tobytes()
+    for text in special:
+        at = raw.find(text)
+        while at >= 0:
+            kinds[at : at + len(text)] = ANY
+            at = raw.find(text, at + 1)
+    return kinds
+
+
+def piece_starts(data: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin that this tokenizer never joins; no cut where a kind leaves that open.
+
+    It parts letters, digits and other signs, but for "'s" and the like. A space goes with what follows it. Of
+    longer white space before something else the last character stands by itself or, a space, goes with that; the rest
+    is one.
     """
+    n = len(data)
+    cut = np.zeros(n + 2, bool)
+    solid, space = (kinds & (LETTER | DIGIT | SIGN | OTHER)) > 0, kinds == SPACE
+    last = np.zeros(n, bool)
+    last[1:-1] = space[:-2] & space[1:-1] & solid[2:]
+    # What follows the end of a text belongs to the next one.
+    last[begins[begins > 0] - 1] = False
+    cut[:n] = last
+    cut[1:n] |= solid[:-1] & space[1:]
+    cut[begins] = True
+    cut[1:n] |= cut[: n - 1] & space[:-1] & (data[:-1] != 32) & solid[1:]
+    clear = kinds & (LETTER | DIGIT | SIGN)
+    change = (clear[1:] != clear[:-1]) & (clear[1:] > 0) & (clear[:-1] > 0)
+    cut[1:n] |= change & ~((data[:-1] == ord("'")) & (clear[1:] == LETTER))
+    return np.flatnonzero(cut[:n])
+
+
+class Known:
+    """Ids of pieces by number, from 1 on. Pieces of up to KEY_BYTES are found side by side, in an open hash table of whole keys."""
+
+    def __init__(self, dtype: str):
+        self.size, self.n_ids = 1, 0
+        # No piece has the key of number 0, which stands for a free slot.
+        self.keys = np.full((1 << 12, 2), 2**64 - 1, np.uint64)
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, dtype)
+        self.slots = np.zeros(1 << 13, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def held(self) -> int:
+        """Bytes, about."""
+        return 32 * self.size + self.ids.itemsize * self.n_ids + self.slots.nbytes + self.long_bytes
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys[:, 0] * _MIX[0]) ^ (keys[:, 1] * _MIX[1])
+        h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+        return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, 0 where unknown."""
+        slot = self._slot(keys)
+        found = self.slots[slot]
+        todo = np.flatnonzero(found)
+        while len(todo):
+            at = self.keys[found[todo]]
+            todo = todo[(at[:, 0] != keys[todo, 0]) | (at[:, 1] != keys[todo, 1])]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+            found[todo] = self.slots[slot[todo]]
+            todo = todo[found[todo] > 0]
+        return found
+
+    def add(self, pieces: list[bytes], keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Different pieces not known so far, their keys, and their ids one after another."""
+        begin, end = self.size, self.size + len(pieces)
+        while end > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.full_like(self.keys, 2**64 - 1)])
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.keys[begin:end] = keys
+        self.first[begin:end], self.count[begin:end] = self.n_ids + np.cumsum(count) - count, count
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.size, self.n_ids = end, self.n_ids + len(ids)
+        long = [len(p) > KEY_BYTES for p in pieces]
+        for number in np.flatnonzero(long).tolist():
+            self.long[pieces[number]] = begin + number
+            self.long_bytes += len(pieces[number]) + 150
+            self.keys[begin + number] = 2**64 - 1
+        if 2 * end > len(self.slots):
+            self._lay()
+        else:
+            self._place(begin + np.flatnonzero(~np.array(long, bool)))
+
+    def _lay(self) -> None:
+        self.slots = np.zeros(max(1 << 13, 1 << (4 * self.size).bit_length()), np.int32)
+        self._place(np.flatnonzero(self.keys[: self.size, 0] != 2**64 - 1))
+
+    def _place(self, numbers: np.ndarray) -> None:
+        slot = self._slot(self.keys[numbers])
+        while len(numbers):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = numbers[free]  # of several the last stays
+            left = self.slots[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def keep(self, n: int) -> None:
+        """Forgets all but the first ``n`` pieces: what came first comes most often."""
+        self.size, self.n_ids = n + 1, int(self.first[n] + self.count[n])
+        self.long = {p: number for p, number in self.long.items() if number <= n}
+        self.long_bytes = sum(len(p) + 150 for p in self.long)
+        self._lay()
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbers one after another, and where those of each end."""
+        count = self.count[numbers]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.first[numbers] - ends + count, count) + np.arange(count.sum())], ends
+
 
-    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-    SIGNS = r"\x00-@\[-`{-\x7f"
+class Tokens:
+    """Ids of texts by the tokenizers library, which is asked once for every different piece of a text."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -352,73 +489,78 @@ class Tokens:
 
         self.library = Tokenizer.from_file(model)
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.apart = re.compile(r"(?<=\S)[ ](?=\S)")
-        self.within = re.compile(rf"(?<=[{self.LETTERS}])(?=[{self.SIGNS}])|(?<=\S\n)(?=[{self.LETTERS}])")
         # Strings that stand for one id of their own, whatever is around them.
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Ids of what follows a space, NO_TEXT where that is no text of its own; ids of pieces that follow something else.
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        # What parts the pieces of one question.
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.known = Known(self.dtype)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned integers of ``dtype``; a first space is one of its own."""
-        for kept, most in ((self.known, REMEMBERED), (self.pieces, REMEMBERED // 4)):
-            if len(kept) > most:  # what came first comes most often
-                for key in list(itertools.islice(kept, most // 2, None)):
-                    del kept[key]
-        get = self.known.get
-        cut = [t.split(" ") for t in texts]
-        found = [list(map(get, parts[1:])) for parts in cut]
-        self._learn({p for parts, ids in zip(cut, found) if None in ids for p, i in zip(parts[1:], ids) if i is None})
-        out = [self._joined(parts, ids) for parts, ids in zip(cut, found)]
-        first = self._ids([parts[0] if done is not None else "" for parts, done in zip(cut, out)])
-        return [head + done if done is not None else self._slowly(t) for head, done, t in zip(first, out, texts)]
-
-    def _joined(self, parts: list[str], ids: list[bytes | None]) -> bytes | None:
-        """None where white space is longer than one space."""
-        if parts[0][-1:].isspace() or (len(parts) > 1 and not parts[0]):
-            return None
-        if None in ids:
-            ids = [self.known[p] if i is None else i for p, i in zip(parts[1:], ids)]
-        return None if NO_TEXT in ids else b"".join(ids)
-
-    def _slowly(self, text: str) -> bytes:
-        """Texts with longer white space are cut at single spaces only."""
-        first, *rest = self.apart.split(text)
-        return b"".join(self._ids([first, *[" " + p for p in rest]]))
-
-    def _cut(self, chunk: str) -> list[str]:
-        return [chunk] if any(t in chunk for t in self.special) else self.within.split(chunk)
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of all that follow a space: a word by itself, others from the word they begin with and the pieces after it."""
-        known = self.known
-        alone = {p for p in chunks if p.isalpha()}
-        rest = [p for p in chunks if p and p not in alone and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(chunks, NO_TEXT))
-        cut = {p: self._cut(" " + p) for p in rest}
-        alone.update(parts[0][1:] for parts in cut.values())
-        words = [p for p in alone if not known.get(p)]
-        self._ask(known, words, [" " + p for p in words])
-        self._ids([q for parts in cut.values() for q in parts[1:]], whole=True)
-        pieces = self.pieces
-        for p, parts in cut.items():
-            if len(parts) > 1:
-                known[p] = b"".join([known[parts[0][1:]], *[pieces[q] for q in parts[1:]]])
-
-    def _ask(self, kept: dict, keys: list[str], texts: list[str]) -> None:
-        """One question to the library for every text."""
-        kind = "H" if self.dtype == "<u2" else "I"
-        for at in range(0, len(keys), 10_000):
-            found = self.library.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
-            kept.update(zip(keys[at : at + 10_000], [array.array(kind, e.ids).tobytes() for e in found]))
-
-    def _ids(self, chunks: list[str], whole: bool = False) -> list[bytes]:
-        pieces = self.pieces
-        cut = [[c] if whole else self._cut(c) for c in chunks]
-        fresh = list({p for parts in cut for p in parts if p not in pieces})
-        self._ask(pieces, fresh, fresh)
-        return [b"".join([pieces[p] for p in parts]) for parts in cut]
+        """Ids as little-endian unsigned integers of ``dtype``."""
+        raw = [t.encode() for t in texts]
+        ids, ends = self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_bytes(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after another in UTF-8, between ``edges``, and where those of each end."""
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(edges) - 1, np.int64)
+        if self.known.held() > REMEMBERED:
+            self.known.keep(self.known.size // 2)
+        kinds = byte_kinds(data, self.special)
+        starts = piece_starts(data, kinds, edges[:-1])
+        stops = np.append(starts[1:], len(data))
+        odd = np.add.reduceat(kinds == ANY, starts) > 0 if (kinds == ANY).any() else np.zeros(len(starts), bool)
+        padded = np.concatenate([data, np.zeros(KEY_BYTES, np.uint8)])
+        raw = padded.tobytes()
+        eights = np.ndarray(len(data) + KEY_BYTES - 7, "<u8", padded, strides=(1,))
+        numbers = np.empty(len(starts), np.int32)
+        for at in range(0, len(starts), LOOKED_UP):
+            some = slice(at, at + LOOKED_UP)
+            numbers[some] = self._numbers(raw, eights, starts[some], stops[some], odd[some])
+        ids, ends = self.known.gathered(numbers)
+        # Pieces before the end of each text.
+        before = np.searchsorted(starts, edges[1:])
+        return ids, np.concatenate([[0], ends])[before]
+
+    def _numbers(self, raw: bytes, eights: np.ndarray, starts: np.ndarray, stops: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        known, sizes = self.known, stops - starts
+        keys = _FILL[np.minimum(sizes, KEY_BYTES)]
+        keys[:, 0] |= eights[starts]
+        keys[:, 1] |= eights[starts + 8]
+        numbers = known.find(keys)
+        numbers[sizes > KEY_BYTES] = 0
+        miss = np.flatnonzero(numbers == 0)
+        if len(miss):
+            pieces = [raw[a:b] for a, b in zip(starts[miss].tolist(), stops[miss].tolist())]
+            fresh = {p: i for i, p in enumerate(pieces) if p not in known.long}
+            at = miss[list(fresh.values())]
+            self._learn(list(fresh), keys[at], odd[at])
+            numbers[miss] = known.find(keys[miss])
+            for i in np.flatnonzero(sizes[miss] > KEY_BYTES).tolist():
+                numbers[miss[i]] = known.long[pieces[i]]
+        return numbers
+
+    def _learn(self, pieces: list[bytes], keys: np.ndarray, odd: np.ndarray) -> None:
+        """Pieces of one text each are asked for together, parted by a line feed, which goes with no other; white space and odd ones alone."""
+        single = odd | (np.array([p[-1] for p in pieces]) <= 32) | (len(self.newline) != 1)
+        for some in np.array_split(np.flatnonzero(~single), np.count_nonzero(~single) // ASKED + 1):
+            asked = [pieces[i] for i in some.tolist()]
+            ids = np.array(self._ask([b"\n".join(asked)])[0], np.int64)
+            parted = ids == self.newline[0] if asked else np.zeros(0, bool)
+            ends = np.append(np.flatnonzero(parted), len(ids))
+            if asked and len(ends) != len(asked):
+                raise ValueError("this tokenizer joins pieces across a line feed")
+            if asked:
+                self.known.add(asked, keys[some], np.diff(ends, prepend=-1) - 1, ids[~parted])
+        for some in np.array_split(np.flatnonzero(single), np.count_nonzero(single) // ASKED + 1):
+            asked = [pieces[i] for i in some.tolist()]
+            found = self._ask(asked)
+            if asked:
+                self.known.add(asked, keys[some], np.array([len(x) for x in found]), np.array(sum(found, []), np.int64))
+
+    def _ask(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -434,17 +576,27 @@ def tokenized(documents: DataFrame, model: str, end_id: int = END_ID) -> DataFra
     def run(batches):
         tokens = tokens_of(model)
         width = np.dtype(tokens.dtype).itemsize
-        end = end_id.to_bytes(width, "little")
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = pa.array([i + end for i in tokens.encode(texts)], pa.binary())
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array([width] * len(texts), pa.int32()), ids]
+                ids, ends = tokens.encode_bytes(*_laid(part.column("text")))
+                ids = np.insert(ids, ends, end_id)
+                edges = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
+                cells = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array([width] * len(ends), pa.int32()), cells.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, width int, ids binary")
 
 
+def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, null as empty, and the edges between them."""
+    column = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, edges, data = column.buffers()
+    edges = np.frombuffer(edges, np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(data or b"", np.uint8)
+    return data[edges[0] : edges[-1]], edges - edges[0]
+
+
 def _ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(raw, f"<u{w}") for w, raw in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist())]
 

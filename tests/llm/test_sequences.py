@@ -160,6 +160,44 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(ids, ours.dtype).tolist() == want.ids, text
 
 
+class Asked:
+    """A tokenizer that counts the texts it is asked for."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_many_words_are_asked_for_together():
+    path, library = tokenizer()
+    ours, rng = token_files.Tokens(path), random.Random(4)
+    ours.library = asked = Asked(ours.library)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(4, 24))) for _ in range(5000)]
+    text = " ".join(words)
+    (ids,) = ours.encode([text])
+    assert np.frombuffer(ids, ours.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked.texts < 50
+    before = asked.texts
+    assert ours.encode([text[: len(words[0])] + " " + text]) and asked.texts - before < 10
+
+
+def test_tokens_forgotten_and_asked_again(monkeypatch):
+    path, library = tokenizer()
+    monkeypatch.setattr(token_files, "REMEMBERED", 1 << 16)
+    monkeypatch.setattr(token_files, "LOOKED_UP", 100)
+    ours, rng = token_files.Tokens(path), random.Random(6)
+    parts = [" wordword", "\x00", "\u00a0", "\u2003", "\u3000", "—", "×", "²", "\r\n", "'t", " 's", "мир", "<|endof", "<|endoftext|> ", "  \n", "1٣"]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts) + str(rng.randrange(10**9)) * rng.randrange(3) for _ in range(rng.randrange(12))) for _ in range(200)]
+        for text, ids, want in zip(texts, ours.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(ids, ours.dtype).tolist() == want.ids, text
+    assert ours.known.held() < 1 << 19
+    assert ours.encode([]) == [] and ours.encode(["", ""]) == [b"", b""]
+
+
 def expected_ids(rows):
     _, library = tokenizer()
     out, start = [], 0
