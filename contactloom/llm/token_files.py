@@ -557,7 +557,7 @@ class Tokens:
             asked = [pieces[i] for i in some.tolist()]
             found = self._ask(asked)
             if asked:
-                self.known.add(asked, keys[some], np.array([len(x) for x in found]), np.array(sum(found, []), np.int64))
+                self.known.add(asked, keys[some], np.array([len(x) for x in found]), np.concatenate([np.array(x, np.int64) for x in found]))
 
     def _ask(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
