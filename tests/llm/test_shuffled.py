@@ -94,6 +94,16 @@ def test_jaccard_query(spark, sf_dir):
     assert sorted(got) == sorted(brute.jaccard_components(rows))
 
 
+def test_suffix_contexts_one_worker_per_task(spark):
+    part = prose(random.Random(11), 120)
+    texts = docs(spark, [(i, part) for i in range(6)] + [(6, "short"), (7, part + " é")]).selectExpr("unhex(md5(text)) AS key", "text").coalesce(1)
+    rows = suffix_dedup._context_rows(texts)
+    # A second step in Python would be a second worker for each task, kept by the executor.
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert len(set(rows.select("key", "first").collect())) == rows.count() > 0
+    assert rows.select("key").distinct().count() == 2
+
+
 def test_long_pieces_of_one_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP", 700)
     part = prose(random.Random(8), 200)
