@@ -95,10 +95,13 @@ def _divided(rows: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame |
         sizes = written(
             marked.groupBy("_f", "_fine").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "shard-sizes"
         )
-        leaf = written(_leaves(sizes, start, grain, limit), "shard-leaves")
-        placed = marked.join(leaf, ["_f", "_fine"])
+        judged = written(_judged(sizes, start, grain, limit), "shard-judged")
+        least, left = judged.agg(F.min(F.when(F.col("settled"), F.col("depth"))), F.count_if(~F.col("settled"))).first()
+        leaf = written(_leaves(sizes, judged.filter("settled"), grain if least is None else least, grain), "shard-leaves")
+        # Tables of prefixes are never broadcast: small as files, they are too large for the driver.
+        placed = marked.join(leaf.hint("merge"), ["_f", "_fine"], "left")
         done.append(_named(placed.filter("_leaf is not null")))
-        if leaf.filter("_leaf is null").isEmpty():
+        if not left:
             return done, None
         rows = placed.filter("_leaf is null").drop("_leaf", "_fine", "_f")
         if grain == HASH_BITS:
@@ -106,16 +109,33 @@ def _divided(rows: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame |
         start, grain = grain, min(HASH_BITS, grain + STEP)
 
 
-def _leaves(sizes: DataFrame, start: int, grain: int, limit: int) -> DataFrame:
-    """For each fine prefix its shallowest bucket that needs no split; null where even the finest does."""
-    depths = sizes.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(grain)))).withColumn(
-        "bucket", F.expr(f"shiftright(_fine, {grain} - depth)")
+def _at_depths(sizes: DataFrame, start: int, grain: int) -> DataFrame:
+    """Every fine prefix once for each depth from ``start``, with its bucket there."""
+    depths = sizes.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(grain))))
+    return depths.withColumn("bucket", F.expr(f"shiftright(_fine, {grain} - depth)"))
+
+
+def _judged(sizes: DataFrame, start: int, grain: int, limit: int) -> DataFrame:
+    """Buckets that need no split while the one above does (``settled``), and the finest that still need one.
+
+    So many rows as shards, not as prefixes: two halves meet in one group, which tells whether their whole was to be split.
+    """
+    sums = _at_depths(sizes, start, grain).groupBy("_f", "depth", "bucket").agg(
+        F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")
     )
-    sums = depths.groupBy("_f", "depth", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    settled = sums.filter((F.col("bytes") <= limit) | (F.col("rows") == 1))
-    met = depths.select("_f", "_fine", "depth", "bucket").join(settled, ["_f", "depth", "bucket"])
-    first = met.groupBy("_f", "_fine").agg(F.min(F.struct("depth", "bucket", "bytes", "rows")).alias("_leaf"))
-    return sizes.select("_f", "_fine").join(first, ["_f", "_fine"], "left")
+    fits = (F.col("bytes") <= limit) | (F.col("rows") == 1)
+    halves = sums.groupBy("_f", "depth", F.shiftright("bucket", 1).alias("above")).agg(
+        F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.collect_list(F.struct("bucket", "bytes", "rows")).alias("halves")
+    )
+    parted = halves.filter((F.col("depth") == start) | ~fits)
+    buckets = parted.select("_f", "depth", F.inline("halves")).withColumn("settled", fits)
+    return buckets.filter(F.col("settled") | (F.col("depth") == grain))
+
+
+def _leaves(sizes: DataFrame, settled: DataFrame, least: int, grain: int) -> DataFrame:
+    """For each fine prefix its shallowest bucket that needs no split, where there is one; none is above depth ``least``."""
+    met = _at_depths(sizes, least, grain).select("_f", "_fine", "depth", "bucket").join(settled.hint("merge"), ["_f", "depth", "bucket"])
+    return met.groupBy("_f", "_fine").agg(F.min(F.struct("depth", "bucket", "bytes", "rows")).alias("_leaf"))
 
 
 def write_shards(rows: DataFrame, path: str, key: str = "doc_id", size: str = "n_bytes", limit: int = LIMIT_BYTES) -> None:

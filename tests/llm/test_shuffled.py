@@ -5,6 +5,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactloom.llm import jaccard_join, line_spread, sharding, suffix_dedup, warc
 from contactloom.llm.components import components
@@ -125,6 +126,35 @@ def test_line_spread(spark):
     assert few.filter("n_removed > 0").count() == 0
 
 
+def test_sharding_broadcasts_no_prefixes(spark, monkeypatch):
+    """Tables of prefixes are small files but large in the driver: no join may collect them there."""
+    plans, write = [], sharding.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(sharding, "written", seen)
+    table = spark.range(3000).selectExpr("id as doc_id", "id % 7 as n_bytes")
+    out = sharding.assign_shards(table, limit=100)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+    # Each row in the shallowest bucket that needs no split, by the definition.
+    hashes = {r.doc_id: (r.h, r.n_bytes) for r in table.withColumn("h", sharding.key_hash(F.col("doc_id"))).collect()}
+    sums = {}
+    for h, n in hashes.values():
+        for d in range(40):
+            size, count = sums.get((d, h >> (60 - d)), (0, 0))
+            sums[d, h >> (60 - d)] = size + n, count + 1
+    rows = out.collect()
+    assert len(rows) == 3000
+    for r in rows:
+        own = [(d, hashes[r.doc_id][0] >> (60 - d)) for d in range(40)]
+        first = next(b for b in own if sums[b][0] <= 100 or sums[b][1] == 1)
+        assert (r.depth, r.bucket, r.shard_bytes, r.shard_rows, r.family) == (*first, *sums[first], None)
+
+
 def test_sharding(spark, tmp_path):
     rows = [(i, 10) for i in range(500)] + [(7, 3)] * 400 + [(900, 5000), (None, 5), (901, None)]
     table = spark.createDataFrame(rows, "doc_id long, n_bytes long")
