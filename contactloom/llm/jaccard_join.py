@@ -35,6 +35,8 @@ SHINGLE = 3
 REGION, PIVOTS, LEVELS = 256, 16, 4
 # Pivots of a division inside a task.
 TASK_PIVOTS = 4
+# An island of more texts is cut again: in blocks, each of its texts would meet more than 32 blocks.
+CUT = 32 * REGION
 # Where the regions of a division hold more than so many times its texts, it is not worth it.
 SPREAD = 3
 # Shingles with hashes below are counted over all documents, so that rare ones can come first: a fifth of all.
@@ -76,6 +78,11 @@ def prefix_length(n: int) -> int:
 SCAN = "kind int, doc_id long, n long, sig long, shingle long, spare int, size_class int"
 
 
+def _size_class(n: int) -> int:
+    """Linked texts are of one class or of neighbouring ones; a little wide, so that rounding parts no pair."""
+    return int(np.log(n) / (-1.001 * np.log(PERCENT / 100)) + 1e-6)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """Kind 0: doc_id, size and signature of every document; no signature without words.
 
@@ -84,7 +91,6 @@ def _scan(docs: DataFrame) -> DataFrame:
     are no first shingles. Linked texts are of one size class or of
     neighbouring ones. Copies met in one task come once.
     """
-    ratio = -1.001 * np.log(PERCENT / 100)  # a little wide, so that rounding parts no pair
     out = arrow_schema(SCAN)
 
     def rows(kind, **columns):
@@ -112,7 +118,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     taken.append(found[:n])
                     owners.append(np.full(n, sig, np.int64))
                     spares.append(np.full(n, n - needed, np.int32))
-                    classes.append(np.full(n, int(np.log(len(found)) / ratio + 1e-6), np.int32))
+                    classes.append(np.full(n, _size_class(len(found)), np.int32))
                 yield rows(0, doc_id=part.column("doc_id").to_pylist(), n=sizes, sig=sigs)
                 if taken:
                     yield rows(
@@ -126,28 +132,80 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SCAN)
 
 
-def _islands(rows: DataFrame) -> DataFrame:
+def _islands(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """(sig, region) of the texts that share a first shingle with another text of their size.
 
     All texts share one order of shingles: those of the zone first, the rarer
     the earlier, then all others by hash. Shingles of one text alone come
     before all that are shared and meet nothing, so only shared ones are
-    ranked: a text drops its ``spare`` most common ones.
+    ranked: a text drops its ``spare`` most common ones. Texts that differ in
+    the columns ``within`` don't meet; their rows have all shingles, so that
+    there is no zone, and rare is what is rare there.
     """
+    key = [*within, "shingle"]
     # The zone is told from the others by the sign of the hash, read as a number.
-    counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "jaccard-counts")
-    met = written(join_counted(rows, counts, ["shingle"], "times").distinct(), "jaccard-shared")
-    zone = F.col("shingle").between(0, int(ZONE) - 1)
-    latest = Window.partitionBy("sig").orderBy(zone, F.desc("times"), F.desc("shingle"))
+    counts = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "jaccard-counts")
+    met = written(join_counted(rows, counts, key, "times").distinct(), "jaccard-shared")
+    zone = [] if within else [F.col("shingle").between(0, int(ZONE) - 1)]
+    latest = Window.partitionBy("sig").orderBy(*zone, F.desc("times"), F.desc("shingle"))
     # Beyond the zone nothing is spare: there all candidates are first shingles.
     first = met.withColumn("_last", F.row_number().over(latest)).filter(F.col("_last") > F.col("spare")).drop("_last")
     # A text stands in its own class and in the one below, so texts of neighbouring classes meet.
-    placed = first.select("shingle", "sig", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("size_class"))
-    shared = placed.groupBy("shingle", "size_class").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
-    edges = placed.join(shared.drop("high"), ["shingle", "size_class"]).select(F.col("sig").alias("u"), F.col("low").alias("v"))
+    placed = first.select(*key, "sig", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)).alias("size_class"))
+    shared = placed.groupBy(*key, "size_class").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low < high")
+    edges = placed.join(shared.drop("high"), [*key, "size_class"]).select(F.col("sig").alias("u"), F.col("low").alias("v"))
     return components(edges).select(F.col("node").alias("sig"), F.col("component").alias("region"))
 
 
+def _sized(islands: DataFrame) -> DataFrame:
+    """(sig, region, size); written islands."""
+    return join_counted(islands, islands.groupBy("region").agg(F.count(F.lit(1)).alias("size")), ["region"], "size")
+
+
+def _all_shingles(texts: DataFrame) -> DataFrame:
+    """As the scan's rows of kind 1, with all shingles of the texts and their region."""
+
+    def run(batches):
+        vocabulary = Words()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [shingles(t, vocabulary) for t in utf8(part.column("text"))]
+                sizes = np.array([len(f) for f in found])
+                each = {
+                    "region": np.array(part.column("region"), np.int64),
+                    "sig": np.array(part.column("sig"), np.int64),
+                    "spare": np.array([len(f) - prefix_length(len(f)) for f in found], np.int32),
+                    "size_class": np.array([_size_class(len(f)) for f in found], np.int32),
+                }
+                spread = {k: pa.array(np.repeat(v, sizes)) for k, v in each.items()}
+                yield pa.RecordBatch.from_pydict(spread | {"shingle": pa.array(np.concatenate(found).view(np.int64))})
+
+    return texts.select("region", "sig", "text").mapInArrow(run, "region long, sig long, spare int, size_class int, shingle long")
+
+
+def _finer(texts: DataFrame) -> DataFrame:
+    """Texts with their islands (region, size, sig, text), of which those over CUT are cut again while that parts a tenth of their texts.
+
+    Texts without an island any more go: they are linked with nothing.
+    """
+    done, before = [], None
+    while True:
+        texts = written(texts, "jaccard-texts")
+        large = texts.filter(F.col("size") > CUT)
+        n = large.count()
+        if not n or before and 10 * n > 9 * before:
+            done.append(texts)
+            break
+        done.append(texts.filter(F.col("size") <= CUT))
+        cut = written(_islands(written(_all_shingles(large), "jaccard-all"), ("region",)), "jaccard-islands")
+        texts = large.select("sig", "text").join(_sized(cut), "sig").select("region", "size", "sig", "text")
+        before = n
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ---- joins inside regions
 
 
@@ -380,11 +438,11 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _links(members: DataFrame) -> DataFrame:
-    """(u, v) links that connect the texts of every region as all links would; members (region, size, sig, text)."""
+    """(u, v) links that connect the texts of every region as all links would; members (region, size, sig, text), written."""
     rows = members.select("region", "size", "sig", "text", F.lit(True).alias("core"), F.lit(None).cast("long").alias("label"))
     found = []
     for level in range(LEVELS + 1):
-        sized = written(_open(rows) if level else rows, "regions")
+        sized = written(_open(rows), "regions") if level else rows
         large = F.col("size") > REGION if level < LEVELS else F.lit(False)
         found.append(written(_joined(_blocks(sized.filter(~large))), "region-links"))
         more = sized.filter(large)
@@ -431,12 +489,10 @@ def join_documents(documents: DataFrame) -> DataFrame:
     nodes = scanned.filter("kind = 0").select("doc_id", "n", "sig")
     candidates = scanned.filter("kind = 1").select("shingle", "sig", "spare", "size_class")
     islands = written(_islands(candidates), "jaccard-islands")
-    sizes = islands.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-    islands = join_counted(islands, sizes, ["region"], "size")
     first = nodes.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    wanted = islands.join(first, "sig")
+    wanted = _sized(islands).join(first, "sig")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("region", "size", "sig", "text")
-    found = components(_links(_one_text(texts)))
+    found = components(_links(_finer(_one_text(texts))))
     named = first.join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig")
     )

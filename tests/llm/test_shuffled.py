@@ -55,6 +55,30 @@ def test_jaccard_join(spark, monkeypatch, region):
     assert sorted(got, key=str) == sorted(brute.jaccard_components(rows), key=str)
 
 
+def test_jaccard_chance_islands_are_cut(spark, monkeypatch):
+    """Short texts that share common triples only are not compared all with all."""
+    monkeypatch.setattr(jaccard_join, "REGION", 8)
+    monkeypatch.setattr(jaccard_join, "CUT", 32, raising=False)
+    rng, compared, joined = random.Random(5), [], jaccard_join._joined
+
+    def counted(cells):
+        compared.append(cells.count())
+        return joined(cells)
+
+    monkeypatch.setattr(jaccard_join, "_joined", counted)
+    common = ["of", "the", "in", "and", "to"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.6 else "w%d" % rng.randrange(10**6) for _ in range(24)) for _ in range(400)]
+    chain = [prose(rng, 100).split()]
+    for _ in range(59):  # each linked with the one before, the ends are far apart
+        chain.append([*chain[-1]])
+        chain[-1][len(chain) % 100] = "edit%d" % len(chain)
+    rows = list(enumerate([*texts, *(t + " end" for t in texts[:20]), *map(" ".join, chain)]))
+    rng.shuffle(rows)
+    got = [tuple(r) for r in jaccard_join.join_documents(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(brute.jaccard_components(rows), key=str)
+    assert sum(compared) < 4000
+
+
 def test_jaccard_empty_and_keep_one(spark):
     assert jaccard_join.join_documents(docs(spark, [])).count() == 0
     text = prose(random.Random(1), 30)
